@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lines, packing, warc, wavelet
+from . import chunks, lines, packing, toxicity, warc, wavelet
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -31,7 +35,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_best_fit_packing, op7_token_ids, op9_warc, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_best_fit_packing, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
