@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lines, packing, toxicity, warc, wavelet
+from . import chunks, lines, minhash, packing, toxicity, warc, wavelet
 from .common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_best_fit_packing, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op4_best_fit_packing, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
