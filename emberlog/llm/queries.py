@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lines, minhash, packing, toxicity, warc, wavelet
+from . import chunks, decontaminate, lines, minhash, packing, toxicity, warc, wavelet
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op4_best_fit_packing, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_decontamination, op4_best_fit_packing, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
