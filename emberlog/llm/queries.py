@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, lines, minhash, packing, toxicity, warc, wavelet, winnow
+from . import chunks, decontaminate, lines, minhash, packing, suffixes, toxicity, warc, wavelet, winnow
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_strings(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_decontamination, op4_best_fit_packing, op5_winnowing, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_decontamination, op4_best_fit_packing, op5_winnowing, op6_suffix_dedup, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
