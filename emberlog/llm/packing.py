@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts, tokenizer_path
-from .token_ids import ChunkEncoder
+from .common import pieces_of, stored, texts, tokenizer_path
+from .token_ids import encoder as encoder_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 ROUND = PIECE + ", bin binary"
@@ -105,15 +105,14 @@ class _Out:
 
 
 def first_round(path: str, end_id: int, limit: int, slack: int, window: int):
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, short = ChunkEncoder(path, leading_space=True), _Out(0, limit, slack), []
+        encoder, out, short = encoder_of(path, True), _Out(0, limit, slack), []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += tail
+            for part in pieces_of(batch, 4 << 20):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    ids = np.concatenate([ids, tail]).tobytes()
                     for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
                         crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                         member = np.array([(doc or 0, doc is None, k, start, length, crc)], MEMBER)

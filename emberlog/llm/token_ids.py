@@ -1,24 +1,28 @@
-"""Token ids of whole texts from a tokenizer file, with a bounded cache of space-separated chunks.
+"""Token ids of whole texts from a tokenizer file, with a bounded cache of chunks between spaces.
 
-Both tokenizers never merge across a single space, so a text's ids are its chunks' ids
-end to end. Where that isn't certain (a space beside other white space), the whole text
-goes through the tokenizer.
+Both tokenizers never merge across a single space or line feed, so a text's ids are its
+chunks' ids end to end. Where that isn't certain (a space or line feed beside other
+white space), the whole text goes through the tokenizer.
 """
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_SPACES = re.compile(r" \s|\s ")
+#: texts with white space other than single spaces and line feeds between words
+_ODD = r"^[ \n]|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MARKS = frozenset(".,;:!?")
 
 
 class ChunkEncoder:
-    """ids of a text as bytes of little-endian unsigned 32-bit integers.
+    """ids of texts as little-endian unsigned 32-bit integers.
 
     ``leading_space``: a chunk's ids depend on the space before it (byte-level BPE);
-    otherwise white space only separates (word-end BPE).
+    otherwise white space only separates (word-end BPE). ``most``: chunks kept.
     """
 
     def __init__(self, path: str, leading_space: bool, most: int = 300_000):
@@ -28,37 +32,82 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # the special tokens' strings are ordinary text
         self.leading, self.most = leading_space, most
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
+        self.feed = self._raw(["\n"])[0]
+        self.cut = int(np.frombuffer(self.feed if leading_space else self._raw(["|"])[0], "<u4")[0])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        for at in range(0, len(texts), 64):
-            self._some(texts, out, at, min(at + 64, len(texts)))
-        return out  # type: ignore[return-value]
-
-    def _some(self, texts, out, start, end) -> None:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text. texts: strings without nulls, a few MB at once."""
+        whole = np.zeros(0, np.int64)
+        if self.leading:
+            odd = pc.match_substring_regex(texts, _ODD)
+            whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            # every chunk that begins a line holds its line feed; so does the first, and loses it again below
+            lines = pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n")
+            lines = pc.binary_join_element_wise("\n", lines, "")
+        else:
+            lines = pc.replace_substring(texts, "\n", " ")
+        split = pc.split_pattern(lines, " ")
+        chunks = split.flatten().dictionary_encode()
+        words, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > self.most:
             self.known.clear()
-        split, whole = {}, []
-        for i in range(start, end):
-            t = texts[i]
-            if self.leading and _SPACES.search(t):
-                whole.append(i)
-            else:
-                split[i] = t.split(" ")
-        new, first = set(), []
-        for parts in split.values():
-            new.update(parts[1:] if self.leading else parts)
-        new = [x for x in new if x not in self.known]
+        blobs = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(blobs) if x is None]
         if new:
-            self.known.update(zip(new, self._raw([" " + x for x in new] if self.leading else new), strict=True))
-        if self.leading and split:
-            first = self._raw([parts[0] for parts in split.values()])
-        get = self.known.__getitem__
-        for n, (i, parts) in enumerate(split.items()):
-            out[i] = first[n] + b"".join(map(get, parts[1:])) if self.leading else b"".join(map(get, parts))
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]) if whole else (), strict=True):
-            out[i] = ids
+            self._learn([words[i] for i in new])
+            for i in new:
+                blobs[i] = self.known[words[i]]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        ids, first = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
+        n = size[at]
+        ends = np.r_[0, np.cumsum(n)]
+        out = ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        limits = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        skip = 1 if self.leading else 0
+        found = [out[a + skip : b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+        for i in whole.tolist():
+            found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return found
+
+    def _joined(self, words: list[str], before: str, mark: str) -> list[bytes]:
+        """ids of words that don't hold ``mark``, encoded a hundred at a time with ``mark``, a token of its own, between them."""
+        groups = [words[at : at + 100] for at in range(0, len(words), 100)]
+        out: list[bytes] = []
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast([mark.join([before + x for x in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.cut).tolist(), len(ids)]
+            if len(ends) != len(some):
+                return self._raw([before + x for x in words])
+            raw = ids.tobytes()
+            out.append(raw[: 4 * ends[0]])
+            out += [raw[4 * a + 4 : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """A sign after a letter is a token of its own, so only what stands before it is encoded."""
+        known = self.known
+        cores = [x[:-1] if x[-1:] in _MARKS and x[-2:-1].isalpha() else x for x in chunks]
+        new = {x for x in cores if x not in known}
+        if self.leading:
+            lines = [x[1:] for x in new if x[:1] == "\n"]
+            new = [x for x in new if x[:1] != "\n"]
+            known.update(zip(new, self._joined(new, " ", "\n"), strict=True))
+            feed = self.feed
+            known.update(("\n" + x, feed + ids) for x, ids in zip(lines, self._joined(lines, "", "\n"), strict=True))
+        else:
+            plain = [x for x in new if "|" not in x]
+            known.update(zip(plain, self._joined(plain, "", " | "), strict=True))
+            rest = [x for x in new if "|" in x]
+            known.update(zip(rest, self._raw(rest), strict=True))
+        marks = self.marks
+        known.update([(x, known[c] + marks[x[-1]]) for x, c in zip(chunks, cores, strict=True) if c is not x])
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, leading_space: bool) -> ChunkEncoder:
+    """One per worker process, so that its cache serves all its tasks."""
+    return ChunkEncoder(path, leading_space)
