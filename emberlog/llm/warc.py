@@ -3,7 +3,7 @@
 Writing: a page becomes an HTTP response record. Of records with equal payloads of
 ``least`` bytes or more, that with the largest page_id is the response, and the others
 are revisit records without a payload. Spark's text writer puts the CR LF CR LF after
-each record. Files hold ``per_file`` records at most.
+each record. Files are gzip-compressed and hold ``per_file`` records at most; offsets count bytes of the archive inside.
 
 Reading: the marker ``WARC/1.1`` may also stand inside a payload. Every marker in a file
 is a candidate with a successor offset (the end of the record that it would begin). Pointer jumping
@@ -16,6 +16,7 @@ often as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 from hashlib import sha1
@@ -65,7 +66,7 @@ def write(pages: DataFrame, path: str, least: int = 1000, per_file: int = 4000,
     best = p.where(long).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").drop("n")
     p = p.join(best, "digest", "left").withColumn("refers", F.when(long & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")))
     out = p.select("page_id", "url", "html", "digest", "refers").mapInArrow(_records(date), "value string")
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def parse(data: bytes, a: int, end: int) -> tuple:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            name, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            name, data = batch.column(0)[k].as_py(), gzip.decompress(batch.column(1)[k].as_py())
             at, after = candidates(data)
             keep = reachable(at, after)
             rows = [(*parse(data, a, e), name, a) for a, e in zip(at[keep].tolist(), after[keep].tolist(), strict=True)]
@@ -123,7 +124,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, file, offset of every record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("path", "content").mapInArrow(_read, RECORD)
 
 
