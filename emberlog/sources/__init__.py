@@ -1,0 +1 @@
+"""Sources of events, reports and queues."""
