@@ -36,7 +36,7 @@ def send_batch(records: DataFrame, cfg: Config, sent_at_ms: int) -> DataFrame:
     has_error = batches.groupBy("queue_key", "batch_no").agg(F.bool_or(F.col("kind") == "error").alias("has_error"))
     made = made.join(has_error, ["queue_key", "batch_no"])
     ok = F.lit(not cfg.errors.secure_endpoint_only) | secure_endpoint(F.lit(cfg.endpoint)) | ~F.col("has_error")
-    transport, endpoint, headers = cfg.transport or http_post, cfg.endpoint, dict(cfg.headers)
+    transport, endpoint, headers = (http_post if cfg.transport is None else cfg.transport), cfg.endpoint, dict(cfg.headers)
 
     def post(rows: Iterator) -> None:
         for row in rows:
