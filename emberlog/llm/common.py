@@ -110,3 +110,18 @@ def tokenizer_path(name: str) -> str:
         return public_tokenizers.path(name)
     except ImportError:
         return os.path.join("/opt/tokenizers", name)
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with doc_id, ``given`` (the text) and text (null: empty), and its other columns as c0, c1 and so on, so that no name clashes; and the other columns' names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
+    return docs.select("doc_id", F.col("text").alias("given"), F.coalesce("text", F.lit("")).alias("text"), *carried), others
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose order_id() and row_key() are in gone (id, uid)."""
+    left = docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__row_text": F.coalesce("text", F.lit(""))})
+    left = left.withColumn("__row_key", F.xxhash64("__row_id", "__row_text")).drop("__row_text")
+    gone = gone.select(F.col("id").alias("__row_id"), F.col("uid").alias("__row_key"))
+    return left.join(gone, ["__row_id", "__row_key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts
+from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, without
 from .words import lower_ascii, words
 
 W, LEAST_WORDS, MOST = 8, 3, 1 << 20
@@ -205,5 +205,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> Da
     """docs without the contaminated documents."""
     own = texts(docs).select(order_id().alias("id"), row_key().alias("uid"), "text")
     found = stored(matches(own, benchmark, most).select("id", "uid").distinct(), "leaks")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(found, (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col("id")) & (key == F.col("uid")), "left_anti")
+    return without(docs, found)

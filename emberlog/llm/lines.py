@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import positional, texts
 from .repeats import applied
 
 WINDOW = 3
@@ -61,15 +61,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the remaining texts; a document of which nothing is left goes, one that was blank before stays. n_chars follows the text."""
-    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    frame = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carried], F.col("text").isNull().alias("_null"))
-    keep = ("doc_id", *carried, "_null")
-    out = applied(frame, digests, cut, RESULT.replace("text string", "_kept string"), pa.schema([*list(RESULT_SCHEMA)[:-1], ("_kept", pa.string())]), keep=keep)
-    out = out.where(~((F.col("n_removed") > 0) & (F.trim("_kept") == "")))
-    columns = {"text": F.when(~F.col("_null"), F.col("_kept"))}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    frame, others = positional(docs)
+    keep = ("doc_id", "given", *[f"c{k}" for k in range(len(others))])
+    out = applied(frame, digests, cut, RESULT, RESULT_SCHEMA, keep=keep)
+    out = out.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    columns = {"doc_id": F.col("doc_id"), "text": F.when(F.col("given").isNotNull(), F.col("text")), **{c: F.col(f"c{k}") for k, c in enumerate(others)}}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 #: DuckDB: the same rows as dedup_lines() where ids are unique.

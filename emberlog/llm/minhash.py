@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, mix, pieces_of, stored, texts
+from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, without
 from .graph import components
 from .words import lower_ascii, white_space, words
 
@@ -194,8 +194,6 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, own: DataFrame, size: int, per
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, uid, n_shingles, component_id and kept of every document."""
-    from .common import order_id, row_key
-
     own = docs.select(order_id().alias("id"), row_key().alias("uid"), "doc_id", "text")
     sketch = stored(own.mapInArrow(_sketch(size), SKETCH), "sketches")
     able = sketch.where("n > 0 and doc_id is not null")
@@ -236,6 +234,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id."""
-    gone = groups(texts(docs), size, percent).where("not kept").select(F.col("doc_id").alias("_gone"), "uid").distinct()
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(stored(gone, "copies"), (F.col("doc_id") == F.col("_gone")) & (key == F.col("uid")), "left_anti")
+    gone = groups(texts(docs), size, percent).where("not kept").select(F.col("doc_id").alias("id"), "uid").distinct()
+    return without(docs, stored(gone, "copies"))

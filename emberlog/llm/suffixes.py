@@ -226,7 +226,9 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 def _split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, start, end) of the runs of a sorted array."""
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return []
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
 
 

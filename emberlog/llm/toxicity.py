@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, texts
+from .common import pieces_of, positional, stored, texts
 
 TRAIN_ROWS = 200_000
 MOST_FEATURES = 50_000
 
 # fixed values: what a sign may stand for
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¢": "c"}
-SEPARATORS = set(".-_*~^'`,:;/\\#%&=\"​‌‍­")
+SEPARATORS = set(".-_*~^'`,:;/\\#%&=\"\u200b\u200c\u200d\u00ad")
 # fixed values: costs of the channel, natural logarithms
 AS_IS, LOOKALIKE, SEPARATOR, REPEAT, SIGN = -0.05, -1.5, -0.7, -2.5, -10.0
 
@@ -276,8 +276,8 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
 def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs without the documents that score 0.5 or more."""
     scorer = fit(texts(docs), labels, train_rows)
-    others = [c for c in docs.columns if c != "text"]
-    frame = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").alias("_text"), F.coalesce("text", F.lit("")).alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
+    frame, others = positional(docs)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "text")
     out = frame.mapInArrow(_scores(scorer, raw=False), kinds + ", score double").where("score < 0.5")
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("given"), **{c: F.col(f"c{k}") for k, c in enumerate(others)}}
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
