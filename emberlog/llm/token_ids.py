@@ -25,7 +25,7 @@ class ChunkEncoder:
     otherwise white space only separates (word-end BPE). ``most``: chunks kept.
     """
 
-    def __init__(self, path: str, leading_space: bool, most: int = 300_000):
+    def __init__(self, path: str, leading_space: bool, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,10 +49,11 @@ class ChunkEncoder:
             lines = pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n")
             lines = pc.binary_join_element_wise("\n", lines, "")
         else:
-            lines = pc.replace_substring(texts, "\n", " ")
+            # the tokenizer takes lower case; doing so for ASCII first leaves fewer chunks
+            lines = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         split = pc.split_pattern(lines, " ")
         chunks = split.flatten().dictionary_encode()
-        words, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy(zero_copy_only=False)
+        words, at = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > self.most:
             self.known.clear()
         blobs = list(map(self.known.get, words))

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, texts, tokenizer_path
-from .token_ids import ChunkEncoder
+from .common import new_path, pieces_of, texts, tokenizer_path
+from .token_ids import encoder as encoder_of
 
 BLOCK = 512
 SHARD = "part int, shard int, start long, n_tokens long, doc_ids binary, null_ids binary, lengths binary, planes binary, zeros array<long>, ranks binary"
@@ -45,7 +45,7 @@ class WaveletMatrix:
             one = (now & now.dtype.type(1 << (bits - 1 - k))) != 0
             packed = np.packbits(one)
             planes[k, : len(packed)] = packed
-            ranks[k, 1:] = np.cumsum(np.bitwise_count(planes[k].view("<u8")).reshape(blocks, -1).sum(1, dtype=np.uint32))
+            ranks[k, 1:] = np.cumsum(np.bitwise_count(planes[k].view("<u8")).reshape(blocks, BLOCK // 64).sum(1, dtype=np.uint32))
             low = now[~one]
             zeros[k] = len(low)
             now = np.concatenate([low, now[one]])
@@ -122,26 +122,25 @@ class WaveletMatrix:
 
 
 def _shard_row(part, shard, start, docs, ids, lengths, bits) -> pa.RecordBatch:
-    w = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4"), bits)
+    w = WaveletMatrix.build(np.concatenate(ids), bits)
     values = [part, shard, start, w.n, np.array([d or 0 for d in docs], "<i8").tobytes(), np.packbits([d is None for d in docs]).tobytes(), np.array(lengths, "<i8").tobytes(), w.planes.tobytes(), w.zeros.tolist(), w.ranks.astype("<u4").tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, SHARD_SCHEMA, strict=True)], schema=SHARD_SCHEMA)
 
 
 def encode_shards(path: str, end_id: int, bits: int, most: int):
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, shard, start, n = TaskContext.get().partitionId(), 0, 0, 0
-        encoder, docs, ids, lengths = ChunkEncoder(path, leading_space=False), [], [], []
+        encoder, docs, ids, lengths = encoder_of(path, False), [], [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+            for some in pieces_of(batch):
+                for doc, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     docs.append(doc)
                     ids += (got, tail)
-                    lengths.append(len(got) // 4 + 1)
+                    lengths.append(len(got) + 1)
                     n += lengths[-1]
                     if n >= most:
                         yield _shard_row(part, shard, start, docs, ids, lengths, bits)
