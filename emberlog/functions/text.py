@@ -5,6 +5,8 @@ Lengths are counted in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,16 +50,20 @@ def multi_line(text: Column, most: int) -> Column:
     return F.substring(F.array_join(kept, "\n"), 1, most)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def or_else(text: Column, default: str | Column) -> Column:
     """default for ''."""
-    return F.when(F.length(text) > 0, text).otherwise(default if isinstance(default, Column) else F.lit(default))
+    return let(text, lambda t: F.when(F.length(t) > 0, t).otherwise(default if isinstance(default, Column) else F.lit(default)))
 
 
 def tags(values: Column, most: int, longest: int) -> Column:
     """Sanitized, without blanks and repeats, the first ones; null if none are left."""
     clean = F.filter(F.transform(values, lambda x: single_line(x, longest)), lambda x: F.length(x) > 0)
-    kept = F.slice(F.array_distinct(clean), 1, most)
-    return F.when(F.size(kept) > 0, kept)
+    return let(F.slice(F.array_distinct(clean), 1, most), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def storage_segment(source: Column) -> Column:

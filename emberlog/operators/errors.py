@@ -35,10 +35,15 @@ def details(boundary: Column, name: Column, message: Column, stack: Column, comp
     m = text.or_else(text.single_line(message, cfg.max_message_length), "Unknown error")
     some = lambda c, most: F.when(F.length(c) > 0, text.multi_line(c, most))
     s, level = some(stack, cfg.max_stack_length), F.when(severity == "fatal", "fatal").otherwise("error")
-    mark = fingerprint(b, n, m, s, level)
-    if known is not None:
-        mark = text.or_else(text.single_line(known, 120), mark)
-    return F.struct(b.alias("boundary"), n.alias("name"), m.alias("message"), mark.alias("fingerprint"), F.coalesce(handled, F.lit(True)).alias("handled"), level.alias("severity"), s.alias("stack"), some(component_stack, cfg.max_component_stack_length).alias("component_stack"), text.tags(tags, cfg.max_tag_count, cfg.max_message_length).alias("tags"))
+    clean = F.struct(b.alias("boundary"), n.alias("name"), m.alias("message"), level.alias("severity"), s.alias("stack"))
+
+    def whole(x: Column) -> Column:
+        mark = fingerprint(x["boundary"], x["name"], x["message"], x["stack"], x["severity"])
+        if known is not None:
+            mark = text.or_else(text.single_line(known, 120), mark)
+        return F.struct(x["boundary"].alias("boundary"), x["name"].alias("name"), x["message"].alias("message"), mark.alias("fingerprint"), F.coalesce(handled, F.lit(True)).alias("handled"), x["severity"].alias("severity"), x["stack"].alias("stack"), some(component_stack, cfg.max_component_stack_length).alias("component_stack"), text.tags(tags, cfg.max_tag_count, cfg.max_message_length).alias("tags"))
+
+    return text.let(clean, whole)
 
 
 def is_error(e: Column) -> Column:
