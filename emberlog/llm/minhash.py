@@ -5,14 +5,14 @@ registers; each keeps, as an exponent on a scale of base ``B``, the smallest of
 shingles' exponential hashes (truncated to 16 bits). Sketches of parts merge by the
 larger register. Groups of ``ROWS`` registers are bands; documents that agree on a
 band are candidates: at a similarity of 0.8 a pair is missed with a probability of
-(1 - 0.8**4)**32, 5 in 10**8. For candidates the similarity is estimated from all registers
+(1 - 0.8**6)**48, 5 in 10**7. For candidates the similarity is estimated from all registers
 jointly by maximum likelihood; those within reach of the threshold are confirmed on the full sets.
 
-Work within a band value is linear: documents with equal sets are one class, and a value's members are first
+Work within a band value is linear at first: documents with equal sets are one class, and a value's members are
 held against its smallest one only. Confirmed links give components. Where a value's
-members then lie in several components, every pair across components is held
-against each other too, so no link that would join components is lost, and no pair within a
-component is made.
+members then lie in several components, those outside the largest are held against all others
+by an inverted index of their full sets, in blocks of ``BLOCK`` members; only confirmed links that join components
+leave a task. So no link that would join components is lost, and no pairs are emitted.
 
 Nulls: null and blank texts have the empty set and are linked with nothing. A null
 doc_id is linked with nothing, is kept, and its component is null. Rows equal in id and
@@ -32,8 +32,9 @@ from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, w
 from .graph import components
 from .words import lower_ascii, white_space, words
 
-M, ROWS, B, A, Q = 128, 4, 1.001, 20.0, (1 << 16) - 2
-MARGIN = 0.18
+M, ROWS, B, A, Q = 288, 6, 1.001, 20.0, (1 << 16) - 2
+MARGIN = 0.13
+BLOCK = 2000
 _ODD = mix(np.arange(1001, 1001 + M, dtype=np.uint64)) | np.uint64(1)
 _TURN = mix(np.arange(9001, 9001 + M, dtype=np.uint64))
 _LOWER, _WORD = lower_ascii(), white_space()
@@ -127,8 +128,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)  # four registers in one number
-        key = mix(k + mix(np.arange(k.shape[1], dtype=np.uint64))[None, :])
+        k = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, M // ROWS, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(M // ROWS, dtype=np.uint64), k.shape[:2])
+        for r in range(ROWS):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + k[:, :, r])
         node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), k.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
@@ -177,21 +180,67 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+def _joining(percent: int):
+    """Links of full sets that join components, one group of members at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        sets = [_wide(x.as_py()) for x in table.column("set")]
+        size = np.array([len(x) for x in sets])
+        kinds, comp = np.unique(comp, return_inverse=True)
+        root = list(range(len(kinds)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        _, word = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        first = np.r_[0, np.cumsum(size)]
+        order = np.argsort(word, kind="stable")
+        lists, begin = owner[order], np.r_[0, np.cumsum(np.bincount(word))]
+        links = []
+        main = np.bincount(comp).argmax()
+        for x in np.flatnonzero(comp != main).tolist():
+            own = word[first[x] : first[x + 1]]
+            n = begin[own + 1] - begin[own]
+            ends = np.cumsum(n)
+            others = lists[np.repeat(begin[own] - (ends - n), n) + np.arange(int(ends[-1]))]
+            common = np.bincount(others, minlength=len(sets))
+            for y in np.flatnonzero((100 * common >= percent * (size[x] + size - common)) & (comp != comp[x])).tolist():
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a != b:
+                    root[a] = b
+                    links.append((node[x], node[y]))
+        return pa.table({"a": pa.array([min(v) for v in links], pa.int64()), "b": pa.array([max(v) for v in links], pa.int64())})
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
     x = reps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     y = reps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     close = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    close = stored(close.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long"), "likely")
-    needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    named = needed.join(reps.select("node", "uid"), "node")
-    text = own.join(named.select(F.col("node").alias("id"), "uid"), ["id", "uid"]).dropDuplicates(["id", "uid"]).select(F.col("id").alias("node"), "text")
-    sets = stored(text.mapInArrow(_sets(size), "node long, set binary"), "sets")
+    close = close.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long")
     with_a = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
 
+def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of a band value."""
+    wide = members.where("members > 2").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    several = wide.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    split = wide.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a member of a large group meets every block of it
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("key", "node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return stored(split.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_joining(percent), "a long, b long").distinct(), "links")
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, uid, n_shingles, component_id and kept of every document."""
     own = docs.select(order_id().alias("id"), row_key().alias("uid"), "doc_id", "text")
@@ -203,23 +252,15 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     bands = stored(reps.select("node", "sketch").mapInArrow(_bands, "key long, node long"), "bands")
     values = stored(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "values")
     members = stored(bands.join(values, "key"), "members")
-    first = stored(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _confirmed(first, reps, own, size, percent)
+    first = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    named = members.select("node").distinct().join(reps.select("node", "uid"), "node").select(F.col("node").alias("id"), "uid")
+    text = own.join(named, ["id", "uid"]).dropDuplicates(["id", "uid"]).select(F.col("id").alias("node"), "text")
+    sets = stored(text.mapInArrow(_sets(size), "node long, set binary"), "sets")
+    links = _confirmed(first, reps, sets, percent)
     comp = components(links)
-
-    # band values whose members lie in several components
-    wide = members.where("members > 2").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = wide.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("comp")).alias("least"))).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", (-F.col("m.least")).alias("main"))
-    split = stored(wide.join(main, "key").join(reps.select("node", "n"), "node"), "split")
-    o = split.where("comp <> main").select("key", F.col("node").alias("o"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"))
-    across = o.join(split, "key").where((F.col("o_comp") != F.col("comp")) & (100 * F.least("o_n", "n") >= percent * F.greatest("o_n", "n")))
-    across = across.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    across = stored(across, "across")
-    if not across.isEmpty():
-        more = _confirmed(across, reps, own, size, percent)
-        if not more.isEmpty():
-            comp = components(links.union(more))
+    more = _across(members, comp, sets, percent)
+    if not more.isEmpty():
+        comp = components(links.union(more))
 
     found = reps.select("d1", "d2", "node").join(comp, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component_id"))
     own_comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -229,10 +270,26 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept of every document."""
-    return groups(texts(docs), size, percent).drop("uid")
+    return groups(texts(docs), size, percent).drop("uid").select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id."""
     gone = groups(texts(docs), size, percent).where("not kept").select(F.col("doc_id").alias("id"), "uid").distinct()
     return without(docs, stored(gone, "copies"))
+
+
+#: DuckDB: the same rows as near_duplicates(size=2) where ids are unique and not null.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) > 1 THEN ws[i] || ' ' || ws[i + 1] ELSE ws[1] END AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT u AS node, u AS place FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.place = e.u),
+c AS (SELECT node, min(place) AS comp FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(comp, d.doc_id) AS component_id, d.doc_id = coalesce(comp, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.node
+"""
