@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op2_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE}
