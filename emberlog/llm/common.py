@@ -98,7 +98,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def quick(spark: SparkSession) -> int:
+def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, mix, order_id, quick, row_key, texts
+from .common import encoded, mix, order_id, row_key, shuffle_partitions, texts
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -215,7 +215,7 @@ def _schema(s: pa.Schema) -> str:
 def _pack(a: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
@@ -224,6 +224,19 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+_SHORT = np.uint64((1 << 48) - 1)  # with the bucket, that is a gram's hash but for a few bits; what is taken too much costs time, no result
+
+
+def _short(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, start, end) of the runs of a sorted array."""
     if not len(bucket):
@@ -252,7 +265,7 @@ def _send_grams(buckets: int):
         bucket = _bucket(grams, buckets)
         order = np.argsort(bucket, kind="stable")
         grams, several, bucket = grams[order], several[order], bucket[order]
-        rows = [(b, block, grams[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for b, x, y in _split(bucket)]
+        rows = [(b, block, _short(grams[x:y]), np.packbits(several[x:y]).tobytes()) for b, x, y in _split(bucket)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(GRAMS)], schema=GRAMS)
 
     return run
@@ -264,7 +277,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _repeated(table: pa.Table) -> pa.Table:
     blocks = table.column("block").to_pylist()
-    parts = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
+    parts = [_wide(x) for x in table.column("grams").to_pylist()]
     marks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
     every = np.sort(np.concatenate(parts))
     twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(p[m] for p, m in zip(parts, marks, strict=True))]))
@@ -274,15 +287,16 @@ def _repeated(table: pa.Table) -> pa.Table:
         for block, p in zip(blocks, parts, strict=True):
             hit = p[twice[np.minimum(np.searchsorted(twice, p), len(twice) - 1)] == p]
             if len(hit):
-                rows.append((block, hit.tobytes()))
+                rows.append((block, _short(hit)))
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(AGAIN)], schema=AGAIN)
 
 
 def _wanted(table: pa.Table, again: pa.Table):
     """The block's anchors whose grams returned, with their keys."""
     data, at, where, h, doc, ids = _block(table)
-    known = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in again.column("grams").to_pylist())]))
-    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+    known = np.sort(np.concatenate([np.zeros(0, "<u8"), *map(_wide, again.column("grams").to_pylist())]))
+    short = h & _SHORT
+    hit = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short if len(known) else np.zeros(len(h), bool)
     where, h, doc = where[hit], h[hit], doc[hit]
     return data, at, where, h, doc, ids
 
@@ -300,7 +314,7 @@ def _send_batch(buckets: int):
         for b, x, y in _split(bucket[order]):
             k, i = keys[order[x:y]], who[order[x:y]]
             level = Level(k, i)
-            rows.append((b, block, _pack(level.keys), _pack(level.ids), _pack(-Level(k, -i).ids)))
+            rows.append((b, block, _pack(level.keys), _pack(level.ids), _pack(-Level(k, -i).ids - level.ids)))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(BATCH)], schema=BATCH)
 
     return run
@@ -308,7 +322,7 @@ def _send_batch(buckets: int):
 
 def _scan(table: pa.Table) -> pa.Table:
     blocks = table.column("block").to_pylist()
-    batches = [(_unpack(k, KEY), _unpack(i, "<i8"), _unpack(m, "<i8")) for k, i, m in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "most")), strict=True)]
+    batches = [(_unpack(k, KEY), _unpack(i, "<i8"), _unpack(i, "<i8") + _unpack(m, "<i8")) for k, i, m in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "most")), strict=True)]
     family = Family()
     for keys, ids, _ in batches:
         family.add(keys, ids)
@@ -357,12 +371,12 @@ def _cut_block(table: pa.Table, back: pa.Table) -> pa.Table:
     return _cut(table, first, second)
 
 
-def spans(docs: DataFrame, per_block: int = 1000) -> DataFrame:
+def spans(docs: DataFrame, per_block: int = 600) -> DataFrame:
     """doc_id, n_bytes, starts and ends (of the removed runs) and kept (the remaining bytes) of every document."""
     d = texts(docs).select("doc_id", order_id().alias("id"), row_key().alias("uid"), "text")
     n = docs.count()
-    parts = quick(docs.sparkSession)
-    blocks, buckets = max(2 * parts, n // per_block), max(2 * parts, n // (2 * per_block))
+    parts = shuffle_partitions(docs.sparkSession)
+    blocks, buckets = max(2 * parts, n // per_block), max(2 * parts, 2 * n // per_block)
     d = d.select("doc_id", "id", "text", F.pmod(F.xxhash64("id", "uid"), F.lit(blocks)).cast("int").alias("block"))
     grams = d.groupBy("block").applyInArrow(_send_grams(buckets), _schema(GRAMS))
     again = grams.groupBy("bucket").applyInArrow(_repeated, _schema(AGAIN))

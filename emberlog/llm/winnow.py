@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_id, quick, texts
+from .common import order_id, shuffle_partitions, texts
 
 K, W = 3, 8
 SHORT, K_CHARS, W_CHARS = 400, 5, 4
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     d = texts(docs).select("doc_id", order_id().alias("id"), "text")
     facts = d.where("doc_id is not null").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    n = min(MOST_BUCKETS, max(16 * quick(docs.sparkSession), facts.n // 5000))
+    n = min(MOST_BUCKETS, max(16 * shuffle_partitions(docs.sparkSession), facts.n // 5000))
     low, width = (0, 1) if facts.low is None else (facts.low, -(-(facts.high - facts.low + 1) // n))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int"))
     if width > 1 << 50:  # division of such ids is not exact; one width fits all buckets still
