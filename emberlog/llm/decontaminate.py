@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, without
+from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, tidied, without
 from .words import lower_ascii, words
 
 W, LEAST_WORDS, MOST = 8, 3, 1 << 20
@@ -179,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> DataFram
     facts = items.agg(F.countDistinct("h").alias("n"), F.collect_set("size").alias("sizes")).first()
     small = facts.n <= most
     known = np.sort(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)) if small else None
-    hits = docs.select("id", "uid", "text").mapInArrow(_hits(known, sorted(facts.sizes)), HIT)
+    hits = docs.select("id", "uid", "text").mapInArrow(tidied(_hits(known, sorted(facts.sizes))), HIT)
     # the size was checked above
     joined = hits.join(F.broadcast(items) if small else items, ["h", "names"])
     pair = F.arrays_zip("item_slots", "slots")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, without
+from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, tidied, without
 from .graph import components
 from .words import lower_ascii, white_space, words
 
@@ -244,7 +244,7 @@ def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int)
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, uid, n_shingles, component_id and kept of every document."""
     own = docs.select(order_id().alias("id"), row_key().alias("uid"), "doc_id", "text")
-    sketch = stored(own.mapInArrow(_sketch(size), SKETCH), "sketches")
+    sketch = stored(own.mapInArrow(tidied(_sketch(size)), SKETCH), "sketches")
     able = sketch.where("n > 0 and doc_id is not null")
     # equal sets are one class, spoken for by its smallest document
     best = able.groupBy("d1", "d2").agg(F.min(F.struct("id", "uid", "n", "sketch")).alias("r"))
@@ -255,7 +255,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     first = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     named = members.select("node").distinct().join(reps.select("node", "uid"), "node").select(F.col("node").alias("id"), "uid")
     text = own.join(named, ["id", "uid"]).dropDuplicates(["id", "uid"]).select(F.col("id").alias("node"), "text")
-    sets = stored(text.mapInArrow(_sets(size), "node long, set binary"), "sets")
+    sets = stored(text.mapInArrow(tidied(_sets(size)), "node long, set binary"), "sets")
     links = _confirmed(first, reps, sets, percent)
     comp = components(links)
     more = _across(members, comp, sets, percent)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored, texts, tokenizer_path
+from .common import pieces_of, stored, texts, tidied, tokenizer_path
 from .token_ids import encoder as encoder_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -110,7 +110,7 @@ def first_round(path: str, end_id: int, limit: int, slack: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, short = encoder_of(path, True), _Out(0, limit, slack), []
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, 4 << 20):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids = np.concatenate([ids, tail]).tobytes()
                     for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, limit: int =
     ``window``: items that one best-fit pass of a task takes at most.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
-    done = stored(texts(docs).mapInArrow(first_round(path, end_id, limit, slack, window), ROUND), "packing")
+    done = stored(texts(docs).mapInArrow(tidied(first_round(path, end_id, limit, slack, window)), ROUND), "packing")
     parts = [done.where("bin is null")]
     opened = done.where("bin is not null").select("bin")
     left, tasks, k = opened.count(), max(1, done.rdd.getNumPartitions()), 0

@@ -25,7 +25,7 @@ class ChunkEncoder:
     otherwise white space only separates (word-end BPE). ``most``: chunks kept.
     """
 
-    def __init__(self, path: str, leading_space: bool, most: int = 500_000):
+    def __init__(self, path: str, leading_space: bool, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

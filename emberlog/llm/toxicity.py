@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, positional, stored, texts
+from .common import pieces_of, positional, stored, texts, tidied
 
 TRAIN_ROWS = 200_000
 MOST_FEATURES = 50_000
@@ -47,6 +47,8 @@ AS_IS, LOOKALIKE, SEPARATOR, REPEAT, SIGN = -0.05, -1.5, -0.7, -2.5, -10.0
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>*%&#$-_=/\\|~^`+@«»„“”¿¡…"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _INNER = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(<€£¢.\-_*~^'`,:;/\\#%&=​‌‍­]+[^\s]*[^\W\d_]|\d[^\W\d_]|[^\W\d_]\d|[@$!][^\W\d_]")
+#: white space other than the space
+_BLANKS = r"[\t\r\n\x0b\x0c\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -102,61 +104,38 @@ def decode(token: str, model: CharModel) -> str:
     return max((score + model.log_p(state + "$"), path) for state, (score, path) in states.items())[1]
 
 
-def cleaned(raw: str) -> str:
-    """A lower-case word without the signs around it; '' if it has nothing else."""
-    t = raw.strip(_EDGES)
-    # signs at the limits may be letters in disguise
-    return raw if t and raw != t and raw[0] in "@$!(<|+" and len(t) > 2 else t
-
-
-def runs(text: str) -> list[str]:
-    """Runs of three single letters or more, each as one word with spaces."""
+def tokens(text: str) -> list[str]:
+    """Lower-case words without signs around them; runs of single letters also as one word."""
     out, run = [], []
-    for raw in [*text.split(), "..."]:
+    for raw in text.lower().split():
         t = raw.strip(_EDGES)
         if len(raw) <= 2 and len(t or raw) == 1:
             run.append(t or raw)
-        else:
-            if len(run) > 2:
-                out.append(" ".join(run))
-            run = []
+            continue
+        if len(run) > 2:
+            out.append(" ".join(run))
+        run = []
+        if t:
+            # signs at the limits may be letters in disguise
+            out.append(raw if raw != t and raw[0] in "@$!(<|+" and len(t) > 2 else t)
+    if len(run) > 2:
+        out.append(" ".join(run))
     return out
 
 
-#: three single characters in a row, with at most one sign each
-_SPACED = r"(^|[\s])\S{1,2}[\s]+\S{1,2}[\s]+\S{1,2}([\s]|$)"
-_BLANKS = r"[\t\r\n\x0b\x0c\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def token_table(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct lower-case tokens of texts without nulls, and pairs (text, token), each once."""
-    low = pc.replace_substring_regex(pc.utf8_lower(texts), _BLANKS, " ")
-    split = pc.split_pattern(low, " ")
-    codes = split.flatten().dictionary_encode()
-    names, at = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    spaced = np.flatnonzero(pc.match_substring_regex(low, _SPACED).to_numpy(zero_copy_only=False))
-    more = [(i, r) for i in spaced.tolist() for r in runs(low[i].as_py())]
-    pairs = np.unique(np.concatenate([text * (len(names) + len(more)) + at, np.array([i * (len(names) + len(more)) + len(names) + k for k, (i, _) in enumerate(more)], np.int64)]))
-    names += [r for _, r in more]
-    return names, pairs // max(1, len(names)), pairs % max(1, len(names))
-
-
 def restored(token: str, model: CharModel) -> str:
-    """The plain word behind a token of token_table(); '' if there is none."""
     if " " in token:
         return decode(token.replace(" ", ""), model)
-    word = cleaned(token)
-    return decode(word, model) if word and disguised(word) else word
+    return decode(token, model) if disguised(token) else token
 
 
 def features(word: str) -> list[str]:
-    return [] if not word else ["=" + word, *("^" + word[:k] for k in (3, 4, 5, 6) if len(word) >= k)]
+    return ["=" + word, *("^" + word[:k] for k in (3, 4, 5, 6) if len(word) >= k)]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces_of(batch):
+        for part in pieces_of(batch, 4 << 20):
             low = pc.replace_substring_regex(pc.utf8_lower(part.column(0)), _BLANKS, " ")
             words = pc.utf8_trim(pc.split_pattern(low, " ").flatten(), characters=_EDGES).value_counts()
             names, n = words.field("values"), words.field("counts").to_numpy(zero_copy_only=False)
@@ -176,28 +155,27 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def char_model(docs: DataFrame, most: int = 200_000) -> CharModel:
     """Counted over all texts. The model keeps the ``most`` commonest trigrams: a size set by alphabets, not by rows."""
-    grams = docs.select("text").mapInArrow(_count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = docs.select("text").mapInArrow(tidied(_count_grams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return CharModel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(most).collect()})
 
 
 def _document_features(model: CharModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for batch in batches:
-            for part in pieces_of(batch):
-                toxic = part.column(1).to_numpy(zero_copy_only=False) > 0
-                names, text, token = token_table(part.column(0))
-                # the features' numbers of every token, end to end
-                number: dict[str, int] = {}
-                own = [[number.setdefault(f, len(number)) for f in features(restored(t, model))] for t in names]
-                size = np.fromiter(map(len, own), np.int64, len(own))
-                flat, first = np.fromiter((x for o in own for x in o), np.int64, int(size.sum())), np.cumsum(size) - size
-                n = size[token]
-                ends = np.cumsum(n)
-                which = flat[np.repeat(first[token] - (ends - n), n) + np.arange(int(n.sum()))]
-                pairs = np.unique(np.repeat(text, n) * max(1, len(number)) + which)
-                which, bad = pairs % max(1, len(number)), toxic[pairs // max(1, len(number))]
-                pos, neg = (np.bincount(which[m], minlength=len(number)) for m in (bad, ~bad))
-                yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], names=["feature", "pos", "neg"])
+            pos, neg = Counter(), Counter()
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found: set[str] = set()
+                for t in set(tokens(text)):
+                    got = known.get(t)
+                    if got is None:
+                        got = known[t] = features(restored(t, model))
+                    found.update(got)
+                (pos if toxic else neg).update(found)
+            if len(known) > 200_000:
+                known.clear()
+            names = list(pos.keys() | neg.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[x] for x in names], pa.int64()), pa.array([neg[x] for x in names], pa.int64())], names=["feature", "pos", "neg"])
 
     return run
 
@@ -210,33 +188,24 @@ class Scorer:
         self.curve = (-30.0, 0.0, 0.0, 0.0)
         self.known: dict[str, float] = {}
 
-    def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Per text: the strongest weight, the sum over distinct words, and that sum for the text's length."""
-        names, text, token = token_table(texts)
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        """The strongest weight, the sum over distinct words, and that sum for the text's length."""
+        total = best = 0.0
+        words = set(tokens(text))
+        for t in words:
+            w = self.known.get(t)
+            if w is None:
+                w = self.known[t] = max(map(self.weights.get, features(restored(t, self.model)), [0.0] * 9))
+            if w:
+                total += w
+                best = max(best, w)
         if len(self.known) > 300_000:
             self.known.clear()
-        known, weights = self.known, np.zeros(len(names))
-        for k, t in enumerate(names):
-            w = known.get(t)
-            if w is None:
-                w = known[t] = max(map(self.weights.get, features(restored(t, self.model)), [0.0] * 9), default=0.0)
-            weights[k] = w
-        n = len(texts)
-        count = np.bincount(text, minlength=n)
-        hit = np.flatnonzero(weights[token] > 0)
-        # a word with other signs around it is the same word
-        words: dict[str, int] = {}
-        same = np.array([words.setdefault(restored(names[k], self.model), len(words)) for k in token[hit].tolist()], np.int64)
-        _, once = np.unique(text[hit] * max(1, len(words)) + same, return_index=True)
-        hit = hit[once]
-        total = np.bincount(text[hit], weights=weights[token[hit]], minlength=n)
-        best = np.zeros(n)
-        np.maximum.at(best, text[hit], weights[token[hit]])
-        return np.c_[best, np.log1p(total), np.log1p(20 * total / (20 + count))]
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        x = self.curve[0] + self.evidence(texts) @ np.array(self.curve[1:])
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        return best, math.log1p(total), math.log1p(20 * total / (20 + len(words)))
+
+    def score(self, text: str) -> float:
+        x = sum(a * b for a, b in zip(self.curve, (1.0, *self.evidence(text)), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
@@ -277,12 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     scorer = Scorer(model, {})
     if not n_pos or not n_neg:
         return scorer
-    counted = rows.repartition(max(1, min(64, (n_pos + n_neg) // 500))).mapInArrow(_document_features(model), "feature string, pos long, neg long")
+    counted = rows.repartition(max(1, min(64, (n_pos + n_neg) // 500))).mapInArrow(tidied(_document_features(model)), "feature string, pos long, neg long")
     counted = counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") * n_neg > F.col("neg") * n_pos).where("pos >= 3")
     top = counted.orderBy(F.desc(F.col("pos") - F.col("neg") * (n_pos / n_neg)), "feature").limit(MOST_FEATURES).collect()
     weights = log_odds(np.array([r.pos for r in top], float), np.array([r.neg for r in top], float), n_pos, n_neg)
     scorer.weights = {r.feature: float(w) for r, w in zip(top, weights, strict=True) if w > 0}
-    seen = rows.mapInArrow(_scores(scorer, raw=True), "toxic int, a double, b double, c double").collect()
+    seen = rows.mapInArrow(tidied(_scores(scorer, raw=True)), "toxic int, a double, b double, c double").collect()
     scorer.curve = logistic(np.array([r[1:] for r in seen]), np.array([float(r.toxic) for r in seen]))
     return scorer
 
@@ -290,14 +259,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
 def _scores(scorer: Scorer, raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, 4 << 20):
                 at = part.schema.get_field_index("text")
                 others = [(n, c) for k, (n, c) in enumerate(zip(part.schema.names, part.columns, strict=True)) if k != at]
+                text = part.column(at).to_pylist()
                 if raw:
-                    found = scorer.evidence(part.column(at))
-                    made = [(n, pa.array(found[:, k].copy())) for k, n in enumerate("abc")]
+                    found = [scorer.evidence(t) for t in text]
+                    made = [(n, pa.array([f[k] for f in found], pa.float64())) for k, n in enumerate("abc")]
                 else:
-                    made = [("score", pa.array(scorer.score(part.column(at))))]
+                    made = [("score", pa.array([scorer.score(t) for t in text], pa.float64()))]
                 yield pa.RecordBatch.from_arrays([c for _, c in others + made], names=[n for n, _ in others + made])
 
     return run
@@ -307,7 +277,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     """doc_id, held_out, score and predicted of every document."""
     d = texts(docs)
     scorer = fit(d, labels, train_rows)
-    return d.mapInArrow(_scores(scorer, raw=False), "doc_id long, score double").select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return d.mapInArrow(tidied(_scores(scorer, raw=False)), "doc_id long, score double").select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -315,6 +285,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     scorer = fit(texts(docs), labels, train_rows)
     frame, others = positional(docs)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "text")
-    out = frame.mapInArrow(_scores(scorer, raw=False), kinds + ", score double").where("score < 0.5")
+    out = frame.mapInArrow(tidied(_scores(scorer, raw=False)), kinds + ", score double").where("score < 0.5")
     columns = {"doc_id": F.col("doc_id"), "text": F.col("given"), **{c: F.col(f"c{k}") for k, c in enumerate(others)}}
     return out.select(*[columns[c].alias(c) for c in docs.columns])

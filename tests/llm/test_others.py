@@ -168,7 +168,7 @@ def test_decoding():
             counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + 1
     m = toxicity.CharModel(counts)
     assert [toxicity.decode(w, m) for w in ("1d10t", "id-i-ot", "idiooot", "$tup1d", "l0$er")] == ["idiot", "idiot", "idiot", "stupid", "loser"]
-    assert not toxicity.disguised("idiot") and toxicity.runs("i d i o t, ok!") == ["i d i o t"] and toxicity.restored("i d i o t", m) == "idiot"
+    assert not toxicity.disguised("idiot") and toxicity.tokens("I D I O T, ok!") == ["i d i o t", "ok"] and toxicity.restored("i d i o t", m) == "idiot"
 
 
 def test_archives(spark, tmp_path):
