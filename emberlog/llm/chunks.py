@@ -5,8 +5,7 @@ position is a cut where the hash's top ``BITS`` bits are 0 and no such position
 bytes before, so cuts depend on the bytes around them alone and return soon after an
 insertion. Stretches of more than ``MOST`` bytes are cut every ``MOST`` bytes. A chunk
 whose digest occurs in a document with a smaller doc_id, or earlier in the same one, is a
-copy. Runs of neighbouring copies of ``RUN`` bytes or more are removed; shorter ones are
-chance and stay.
+copy, and every copy is removed, however short. A copied document has the same cuts as its original, so it goes whole.
 
 Null texts are empty (no chunks); null ids come last; rows equal in id and text are one
 document; an empty table gives no rows.
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import mix, texts
 from .repeats import applied
 
-BITS, LEAST, MOST, RUN = 5, 16, 4096, 100
+BITS, LEAST, MOST = 5, 16, 4096
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 RESULT = "n_bytes long, n_chunks int, n_copied_chunks int, n_removed long, n_spans int, kept_sha256 string, text string"
 RESULT_SCHEMA = pa.schema([("n_bytes", pa.int64()), ("n_chunks", pa.int32()), ("n_copied_chunks", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int32()), ("kept_sha256", pa.string()), ("text", pa.string())])
@@ -63,7 +62,7 @@ def cut(text: bytes, copied: np.ndarray) -> tuple:
     chunk = np.zeros(len(at) - 1, bool)
     chunk[copied] = True
     edge = np.flatnonzero(np.diff(np.r_[False, chunk, False].astype(np.int8)))
-    runs = [(int(at[a]), int(at[b])) for a, b in zip(edge[::2], edge[1::2], strict=True) if at[b] - at[a] >= RUN]
+    runs = [(int(at[a]), int(at[b])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
     # a run begins and ends between characters, so that what stays is UTF-8
     runs = [(a, b) for a, b in ((_up(text, a), _down(text, b)) for a, b in runs) if b > a]
     kept, last = [], 0

@@ -164,6 +164,24 @@ def test_chunks_against_brute_force(spark):
     assert got == want
 
 
+def test_short_copies_go_whole(spark):
+    """Copies under 100 bytes too: a word, a line, a line with other letters, and chunks between unlike neighbours."""
+    short = [(1, "one"), (2, "one"), (3, prose(12, 5)), (4, prose(12, 5)), (5, "é ü 😀"), (6, "é ü 😀"), (7, ""), (8, ""), (9, "two")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in chunks.dedup_chunks(documents(spark, short, clash=False)).collect()}
+    assert len(prose(12, 5)) < 100
+    assert got == {i: ("", len(t.encode())) if i in (2, 4, 6) else (t, 0) for i, t in short}
+    rows = [(i, f"{prose(9, 20 + i)} {i} {prose(16, 77)} {i} {prose(9, 40 + i)}") for i in range(30)]
+    got = {r.doc_id: r.text.encode() for r in chunks.dedup_chunks(documents(spark, rows, clash=False)).collect()}
+    seen = set()
+    for i, t in rows:
+        at, kept = chunks.cuts(t.encode()).tolist(), b""
+        for a, b in zip(at, at[1:], strict=False):
+            part = t.encode()[a:b]
+            kept += b"" if part in seen else part
+            seen.add(part)
+        assert got[i] == kept
+
+
 def test_cuts_come_back_after_an_insertion():
     t = prose(2000, 5).encode()
     a, b = set(chunks.cuts(t).tolist()), {x - 7 for x in chunks.cuts(t[:4000] + b"INSERT!" + t[4000:]).tolist()}
