@@ -6,8 +6,11 @@ Every text is read twice, with names as placeholders and as words, so that texts
 of ``W`` template tokens, of which half at least are words, are hashed and joined
 with the windows of the benchmark. Along one alignment of a document with an item the
 fillers of the placeholders must agree: an item's value always with the same value of the
-document, and the reverse. That also catches questions with other numbers or names. A document is
-contaminated if an alignment has two consistent windows, or all where the item has only one.
+document within a run of windows, so that a clash parts an alignment and doesn't void it; and, over the whole
+alignment, a value of the document always with the same value of the item. A placeholder at the edge of a window
+that holds more words on one side is left out: there, a neighbour outside the copy was merged with it ("Q12: 5 apples").
+That also catches questions with other numbers or names. A document is contaminated if an
+alignment has a run of two consistent windows, or one where the item has only one.
 
 An item of fewer than ``W`` tokens, three at least, is one window. The hashes of the
 benchmark are broadcast only if they are ``MOST`` or fewer; otherwise all windows of the
@@ -116,11 +119,16 @@ def windows(doc: np.ndarray, h: np.ndarray, kind: np.ndarray, size: int) -> tupl
     return at, mix(rolled)
 
 
+def _edges(kind, a: int, size: int) -> list[bool]:
+    """For every filler: does it stand at an edge of the window?"""
+    return [k in (a, a + size - 1) for k in range(a, a + size) if kind[k]]
+
+
 def _fillers(data: bytes, kind, start, end, a: int, size: int) -> list[str]:
     return [f"{kind[k]}:{' '.join(data[start[k] : end[k]].decode(errors='replace').lower().split())}" for k in range(a, a + size) if kind[k]]
 
 
-ITEM = "h long, names boolean, item_id long, item_pos int, n_windows int, size int, item_slots array<string>"
+ITEM = "h long, names boolean, item_id long, item_pos int, n_windows int, size int, item_slots array<string>, edges array<boolean>"
 HIT = "h long, names boolean, id long, uid long, pos int, slots array<string>"
 
 
@@ -128,7 +136,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-ITEM_SCHEMA = pa.schema([("h", pa.int64()), ("names", pa.bool_()), ("item_id", pa.int64()), ("item_pos", pa.int32()), ("n_windows", pa.int32()), ("size", pa.int32()), ("item_slots", pa.list_(pa.string()))])
+ITEM_SCHEMA = pa.schema([("h", pa.int64()), ("names", pa.bool_()), ("item_id", pa.int64()), ("item_pos", pa.int32()), ("n_windows", pa.int32()), ("size", pa.int32()), ("item_slots", pa.list_(pa.string())), ("edges", pa.list_(pa.bool_()))])
 HIT_SCHEMA = pa.schema([("h", pa.int64()), ("names", pa.bool_()), ("id", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))])
 
 
@@ -143,7 +151,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = min(W, len(h))
                 if size >= LEAST_WORDS:
                     at, hashes = windows(doc, h, kind, size)
-                    rows += [(x, names, item, a, len(at), size, _fillers(raw, kind, start, end, a, size)) for a, x in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
+                    rows += [(x, names, item, a, len(at), size, _fillers(raw, kind, start, end, a, size), _edges(kind, a, size)) for a, x in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
         yield _batch(rows, ITEM_SCHEMA)
 
 
@@ -172,6 +180,37 @@ def _hits(known: np.ndarray | None, sizes: list[int]):
     return run
 
 
+def longest_run(item: list[list[int]], own: list[list[int]]) -> int:
+    """Of windows in order, given by the item's and the document's fillers: the most in a row in which no value of the item has two of the document; 0 if a value of the document has two of the item anywhere."""
+    back: dict[int, int] = {}
+    if any(back.setdefault(y, x) != x for a, b in zip(item, own, strict=True) for x, y in zip(a, b, strict=True)):
+        return 0
+    best = first = 0
+    held: dict[int, list[int]] = {}  # of a value: its counterpart, and the last window that has it
+    for k, (a, b) in enumerate(zip(item, own, strict=True)):
+        now: dict[int, int] = {}
+        if any(now.setdefault(x, y) != y for x, y in zip(a, b, strict=True)):
+            first = k + 1
+            continue
+        for x, y in now.items():
+            if x in held and held[x][0] != y:
+                first = max(first, held[x][1] + 1)
+        held |= {x: [y, k] for x, y in now.items()}
+        best = max(best, k + 1 - first)
+    return best
+
+
+RUN_SCHEMA = pa.schema([("id", pa.int64()), ("uid", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int32())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256).to_pylist()
+            found = [(r["id"], r["uid"], r["item_id"], longest_run(r["a"], r["b"])) for r in rows]
+            yield _batch([f for f, r in zip(found, rows, strict=True) if f[3] >= min(2, r["most"])], RUN_SCHEMA)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> DataFrame:
     """id, uid, item_id and n_windows (of the longest consistent alignment). docs: id, uid, text."""
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -182,14 +221,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> DataFram
     hits = docs.select("id", "uid", "text").mapInArrow(tidied(_hits(known, sorted(facts.sizes))), HIT)
     # the size was checked above
     joined = hits.join(F.broadcast(items) if small else items, ["h", "names"])
-    pair = F.arrays_zip("item_slots", "slots")
-    runs = joined.groupBy("id", "uid", "item_id", "names", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.min("n_windows").alias("most"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
+    count = lambda x: F.size(F.split(x, " "))
+    pairs = F.filter(F.arrays_zip("item_slots", "slots", "edges"), lambda x: ~x.edges | (count(x.item_slots) == count(x.slots)))
+    pairs = F.transform(pairs, lambda x: F.struct(F.xxhash64(x.item_slots).alias("a"), F.xxhash64(x.slots).alias("b")))
+    alignments = joined.groupBy("id", "uid", "item_id", "names", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+        F.min("n_windows").alias("most"), F.sort_array(F.collect_set(F.struct("item_pos", F.array_distinct(pairs).alias("pairs")))).alias("found")
     )
-    one = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
-    consistent = (F.size("pairs") == one("item_slots")) & (F.size("pairs") == one("slots"))
-    kept = runs.where(consistent & (F.col("n_windows") >= F.least(F.lit(2), F.col("most"))))
-    return kept.groupBy("id", "uid", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    side = lambda c: F.transform("found", lambda w: F.transform(w.pairs, lambda x: x[c])).alias(c)
+    runs = alignments.where(F.size("found") >= F.least(F.lit(2), F.col("most"))).select("id", "uid", "item_id", "most", side("a"), side("b")).mapInArrow(tidied(_runs), "id long, uid long, item_id long, n_windows int")
+    return runs.groupBy("id", "uid", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> DataFrame:

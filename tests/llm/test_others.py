@@ -24,6 +24,23 @@ def test_decontamination(spark):
     assert decontaminate.contamination(empty(spark), items).count() == 0
 
 
+def test_a_clash_parts_an_alignment(spark):
+    """Equal values of an item that become different ones, and values merged with a number beside the copy."""
+    far = "then Bob counted every one of the boxes again before supper while nobody at home was watching the road"
+    items = spark.createDataFrame([(1, f"there were 3 apples with 3 pears on it and {far}"), (2, "5 apples lay beside the old wooden table and then 5 more came in a basket"), (3, "the old wooden table held plums and a basket held 7 more beside number 7")], "item_id long, text string")
+    rows = [(1, f"there were 4 apples with 6 pears on it and {far}"), (2, "Q12: 5 apples lay beside the old wooden table and then 5 more came in a basket"), (3, "the old wooden table held plums and a basket held 7 more beside number 7 8 of us left"), (4, "1. 9 apples lay beside the old wooden table and then 9 more came in a basket"), (5, prose(60, 4))]
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(documents(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [2], 5: []}
+
+
+def test_longest_run():
+    run = decontaminate.longest_run
+    assert run([], []) == 0 and run([[], []], [[], []]) == 2
+    assert run([[1], [1], [1], [2]], [[5], [6], [6], [7]]) == 3  # the first clashes with the second
+    assert run([[1], [1, 1], [1]], [[5], [5, 6], [6]]) == 1  # the one between clashes in itself
+    assert run([[1], [2], [3]], [[5], [5], [6]]) == 0  # two values of the item became one
+
+
 def reference_ids(name, texts, end=2):
     from tokenizers import Tokenizer
 
