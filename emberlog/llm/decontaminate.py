@@ -12,7 +12,9 @@ that holds more words on one side is left out: there, a neighbour outside the co
 That also catches questions with other numbers or names. A document is contaminated if an
 alignment has a run of two consistent windows, or one where the item has only one.
 
-An item of fewer than ``W`` tokens, three at least, is one window. The hashes of the
+An item of fewer than ``W`` tokens, three at least, is one window. An item that has fewer than two windows with names as words
+(it is short, or holds mostly numbers and units) is also looked for as a whole: all its words in a row, numbers and
+names as they are. Only an item without any letter or digit is never found. The hashes of the
 benchmark are broadcast only if they are ``MOST`` or fewer; otherwise all windows of the
 documents take part in a shuffled join.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, tidied, without
-from .words import lower_ascii, words
+from .words import lower_ascii, powers_up_to, words
 
 W, LEAST_WORDS, MOST = 8, 3, 1 << 20
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -124,12 +126,29 @@ def _edges(kind, a: int, size: int) -> list[bool]:
     return [k in (a, a + size - 1) for k in range(a, a + size) if kind[k]]
 
 
+def whole(h: np.ndarray) -> np.ndarray:
+    """Hash of a stretch of words, given by their hashes: as ``stretches`` has it."""
+    return stretches(np.zeros(len(h), np.int64), h, len(h))[1]
+
+
+def stretches(doc: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of all stretches of ``size`` words that lie in one text, at a cost that doesn't grow with size."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    power, inverse = powers_up_to(len(h))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h) * power[: len(h)], out=sums[1:])
+    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    return at, mix((sums[at + size] - sums[at]) * inverse[at] + np.uint64(size)) ^ _PLACE[0]
+
+
 def _fillers(data: bytes, kind, start, end, a: int, size: int) -> list[str]:
     return [f"{kind[k]}:{' '.join(data[start[k] : end[k]].decode(errors='replace').lower().split())}" for k in range(a, a + size) if kind[k]]
 
 
 ITEM = "h long, names boolean, item_id long, item_pos int, n_windows int, size int, item_slots array<string>, edges array<boolean>"
-HIT = "h long, names boolean, id long, uid long, pos int, slots array<string>"
+HIT = "h long, names boolean, id long, uid long, pos int, size int, slots array<string>"
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -137,7 +156,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 ITEM_SCHEMA = pa.schema([("h", pa.int64()), ("names", pa.bool_()), ("item_id", pa.int64()), ("item_pos", pa.int32()), ("n_windows", pa.int32()), ("size", pa.int32()), ("item_slots", pa.list_(pa.string())), ("edges", pa.list_(pa.bool_()))])
-HIT_SCHEMA = pa.schema([("h", pa.int64()), ("names", pa.bool_()), ("id", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))])
+HIT_SCHEMA = pa.schema([("h", pa.int64()), ("names", pa.bool_()), ("id", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,22 +165,42 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = text.encode()
             data = np.frombuffer(raw, np.uint8)
+            at = np.zeros(0, np.int64)
             for names in (True, False):
                 doc, h, kind, start, end = template(data, np.array([0, len(data)]), names)
                 size = min(W, len(h))
                 if size >= LEAST_WORDS:
                     at, hashes = windows(doc, h, kind, size)
                     rows += [(x, names, item, a, len(at), size, _fillers(raw, kind, start, end, a, size), _edges(kind, a, size)) for a, x in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
+            # at: the windows with names as words
+            own = words(data, np.array([0, len(data)]), _LETTERS, _fold(data)).hash
+            if len(at) < 2 and len(own):
+                rows.append((int(whole(own).view(np.int64)[0]), False, item, 0, 1, -len(own), [], []))
         yield _batch(rows, ITEM_SCHEMA)
 
 
 def _hits(known: np.ndarray | None, sizes: list[int]):
+    """sizes: of windows; below 0, of whole items."""
+    wholes, sizes = [-s for s in sizes if s < 0], [s for s in sizes if s > 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, 2 << 20):
                 data, at = encoded(part.column(2))
                 ids, uids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows, raw = [], None
+                if wholes:
+                    w = words(data, at, _LETTERS, _fold(data))
+                    first = np.searchsorted(w.doc, np.arange(len(ids)))
+                    for size in wholes:
+                        a, hashes = stretches(w.doc, w.hash, size)
+                        if known is not None:
+                            hit = _in(hashes, known)
+                            a, hashes = a[hit], hashes[hit]
+                        # one hit a document and hash will do
+                        d = w.doc[a]
+                        _, once = np.unique(np.stack([d.astype(np.uint64), hashes], 1), axis=0, return_index=True)
+                        rows += [(x, False, ids[k], uids[k], p, -size, []) for x, k, p in zip(hashes[once].view(np.int64).tolist(), d[once].tolist(), (a - first[d])[once].tolist(), strict=True)]
                 for names in (True, False):
                     doc, h, kind, start, end = template(data, at, names)
                     first = np.searchsorted(doc, np.arange(len(ids)))
@@ -174,7 +213,7 @@ def _hits(known: np.ndarray | None, sizes: list[int]):
                             raw = raw or data.tobytes()
                         for k, x in zip(a.tolist(), hashes.view(np.int64).tolist(), strict=True):
                             d = int(doc[k])
-                            rows.append((x, names, ids[d], uids[d], k - int(first[d]), _fillers(raw, kind, start, end, k, size)))
+                            rows.append((x, names, ids[d], uids[d], k - int(first[d]), size, _fillers(raw, kind, start, end, k, size)))
                 yield _batch(rows, HIT_SCHEMA)
 
     return run
@@ -220,11 +259,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> DataFram
     known = np.sort(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)) if small else None
     hits = docs.select("id", "uid", "text").mapInArrow(tidied(_hits(known, sorted(facts.sizes))), HIT)
     # the size was checked above
-    joined = hits.join(F.broadcast(items) if small else items, ["h", "names"])
+    joined = hits.join(F.broadcast(items) if small else items, ["h", "names", "size"])
     count = lambda x: F.size(F.split(x, " "))
     pairs = F.filter(F.arrays_zip("item_slots", "slots", "edges"), lambda x: ~x.edges | (count(x.item_slots) == count(x.slots)))
     pairs = F.transform(pairs, lambda x: F.struct(F.xxhash64(x.item_slots).alias("a"), F.xxhash64(x.slots).alias("b")))
-    alignments = joined.groupBy("id", "uid", "item_id", "names", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    alignments = joined.groupBy("id", "uid", "item_id", "names", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.min("n_windows").alias("most"), F.sort_array(F.collect_set(F.struct("item_pos", F.array_distinct(pairs).alias("pairs")))).alias("found")
     )
     side = lambda c: F.transform("found", lambda w: F.transform(w.pairs, lambda x: x[c])).alias(c)

@@ -14,7 +14,7 @@ _VALUE = mix(np.arange(101, 357, dtype=np.uint64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n + 1:
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(n + 1, base, np.uint64)
@@ -57,7 +57,7 @@ def words(data: np.ndarray, at: np.ndarray, part_of_word: np.ndarray, folded: np
     after = np.r_[inside[1:], False]
     after[limits - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers_up_to(n)
+    power, inverse = powers_up_to(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[folded] * power[:n], out=sums[1:])
     raw = (sums[end] - sums[start]) * inverse[start]

@@ -33,6 +33,16 @@ def test_a_clash_parts_an_alignment(spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: [2], 5: []}
 
 
+def test_items_without_windows(spark):
+    """Short items and items of numbers and units are found as they are, and not with other numbers."""
+    runs = " ".join(f"{k} km {k} kg" for k in range(30, 60))
+    items = spark.createDataFrame([(1, "Solve 3x + 5 = 20"), (2, "4, 8, 15, 16, 23"), (3, runs), (4, "x"), (5, "?!"), (6, "")], "item_id long, text string")
+    rows = [(1, "7. solve 3X+5=20, 9 of them"), (2, "solve 3x + 5 = 201"), (3, "a 3 4 8 15 16 23 42"), (4, f"so {runs}. And {runs}"), (5, runs.replace("59", "60")), (6, "an x in it"), (7, "?!"), (8, ""), (9, "4, 8, 15"), (10, "16, 23")]
+    for most in (decontaminate.MOST, 0):
+        got = {r.doc_id: (r.item_ids, r.n_windows) for r in decontaminate.contamination(documents(spark, rows), items, most).collect()}
+        assert got == {i: ([], 0) for i in (2, 5, 7, 8, 9, 10)} | {1: ([1], 1), 3: ([2], 1), 4: ([3], 1), 6: ([4], 1)}
+
+
 def test_longest_run():
     run = decontaminate.longest_run
     assert run([], []) == 0 and run([[], []], [[], []]) == 2
