@@ -1,14 +1,17 @@
 """Document fingerprints by winnowing, in SQL functions only.
 
 Texts of fewer than ``SHORT`` code points are read as characters, others as words
-(what stands between single spaces or line feeds). Every k tokens in a row are a k-gram. A
+(what stands between single white space). In the latter, what has more than ``LONGEST`` code
+points without white space (as in scripts without spaces) is read as characters. Every k tokens in a row are a k-gram. A
 k-gram's packed value has its 32-bit hash above and, below it, the position counted
 backwards; so the smallest value of a window of w k-grams is the smallest hash and,
 among equal ones, the rightmost. A fingerprint is the windows' minima with
 positions. Texts that share k + w - 1 tokens in a row share a selected k-gram. A text of fewer
 than k tokens is one k-gram; one of fewer than w k-grams is one window.
 
-The likeness of two fingerprints is the Jaccard similarity of their hashes.
+The likeness of two fingerprints is the Jaccard similarity of their hashes. An edited text is read
+as its original is, whatever its own length. Neighbours on different sides of ``SHORT`` share no hash, so
+their likeness is 0.
 
 The next document is found in buckets of doc_id (equal stretches of the range of ids): the first document of a bucket
 is also put at the end of the bucket before it, so texts are shuffled once.
@@ -26,6 +29,7 @@ from .common import order_id, shuffle_partitions, texts
 
 K, W = 3, 8
 SHORT, K_CHARS, W_CHARS = 400, 5, 4
+LONGEST = 64
 _LAST = (1 << 31) - 1
 MOST_BUCKETS = 1 << 17
 
@@ -50,9 +54,17 @@ def _select(tokens: Column, k: int, w: int) -> Column:
     return _let(_let(hashed, packed), minima)
 
 
-def selected(text: Column) -> Column:
-    words = F.split(F.translate(text, "\n", " "), " ")
-    return F.when(F.length(text) < SHORT, _select(F.split(text, ""), K_CHARS, W_CHARS)).otherwise(_select(words, K, W))
+def _words(text: Column) -> Column:
+    def parted(words: Column) -> Column:
+        single = F.flatten(F.transform(words, lambda x: F.when(F.length(x) > LONGEST, F.split(x, "")).otherwise(F.array(x))))
+        return F.when(F.exists(words, lambda x: F.length(x) > LONGEST), single).otherwise(words)
+
+    return _let(F.split(F.translate(text, "\n\t\r\x0b\x0c\u3000", " " * 6), " "), parted)
+
+
+def selected(text: Column, like: Column | None = None) -> Column:
+    """Packed values of a text, read in the kind of tokens that ``like`` (the text itself) has."""
+    return F.when(F.length(text if like is None else like) < SHORT, _select(F.split(text, ""), K_CHARS, W_CHARS)).otherwise(_select(_words(text), K, W))
 
 
 def as_text(values: Column) -> Column:
@@ -94,7 +106,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n_chars = F.length("text")
     moved = F.floor(n_chars / 4).cast("int")
     both = both.withColumn("n_chars", n_chars.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n_chars - moved), F.substring("next", F.lit(1), moved)))
-    both = both.withColumn("edited_picked", selected(F.col("edited")))
+    both = both.withColumn("edited_picked", selected(F.col("edited"), like=F.col("text")))
     both = both.withColumns({"h": hashes(F.col("picked")), "h_edited": hashes(F.col("edited_picked")), "h_next": hashes(F.col("next_picked"))})
     return both.select(
         "doc_id",

@@ -146,6 +146,18 @@ def test_fingerprints(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_edits_across_the_limit_and_without_spaces(spark):
+    """An edited text that falls below 400 code points, and long texts of one stretch or with tabs."""
+    rows = [(3, prose(100, 3)[:450]), (4, "ab c"), (5, "".join(chr(0x4E00 + 7 * i) for i in range(600))), (6, "\t".join(prose(150, 8).split())), (7, "x")]
+    got = {r.doc_id: r for r in winnow.fingerprints(documents(spark, rows)).collect()}
+    assert len(rows[0][1]) * 3 // 4 + 4 < winnow.SHORT
+    assert all(got[i].near_edited > 0.4 for i in (3, 5, 6))
+    for i, text in rows[2:4]:
+        tokens = len(text) if i == 5 else len(text.split())
+        at = sorted((1 << 31) - 1 - (int(v, 16) & ((1 << 31) - 1)) for v in got[i].fingerprint.split())
+        assert at[0] < winnow.W and 0 <= tokens - winnow.K - at[-1] < winnow.W and all(b - a <= winnow.W for a, b in zip(at, at[1:], strict=False))
+
+
 def test_winnowing_guarantee_and_ties(spark):
     """Every window of w k-grams holds a selected one, and it is the rightmost smallest."""
     from pyspark.sql import functions as F
