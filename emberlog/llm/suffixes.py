@@ -1,6 +1,6 @@
 """Removal of every 50-byte string that also starts in a document with a smaller doc_id.
 
-Suffixes are kept in a logarithmic index family. A full suffix array of all positions
+Suffixes are sorted in batches and merged per bucket into one array; no index is kept. A full suffix array of all positions
 isn't needed: a string of ``LENGTH`` bytes holds ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes, and the
 positions whose gram has the smallest hash of such a string (anchors, about one in 14) are the
 same wherever the string stands. So only suffixes that begin at anchors are sorted, each with the
@@ -10,8 +10,8 @@ bytes before it that a string around the anchor can reach.
    or more return to it.
 2. For these anchors the block sends its batch: a sorted array of suffixes with the smallest
    doc_id of each. Batches that meet in a bucket of grams go into a family: a batch is a level, and levels of like size
-   are merged, so that sizes grow geometrically. The levels are merge-scanned for the strings that their suffixes share;
-   every string gets its smallest doc_id.
+   are merged, so that sizes grow geometrically. That only bounds the work of merging: before strings are matched, all levels
+   become one array. Strings around suffixes of one gram are then grouped by 64-bit hashes, and every string gets its smallest doc_id.
 3. What a block's suffixes found returns to it, and the covered bytes are removed.
 
 A gram that is everywhere arrives once per block, not once per occurrence. All three
