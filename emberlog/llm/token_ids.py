@@ -2,7 +2,8 @@
 
 Both tokenizers never merge across a single space or line feed, so a text's ids are its
 chunks' ids end to end. Where that isn't certain (a space or line feed beside other
-white space), the whole text goes through the tokenizer.
+white space), the whole text goes through the tokenizer. The ids are those of the library's plain call;
+the special tokens' strings in a text are special tokens then, or ordinary text with ``special_as_text``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 #: texts with white space other than single spaces and line feeds between words
 _ODD = r"^[ \n]|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MARKS = frozenset(".,;:!?")
+#: before a sign: after other letters the tokenizer's own lower case may end in a mark that joins the sign
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 class ChunkEncoder:
@@ -25,11 +28,11 @@ class ChunkEncoder:
     otherwise white space only separates (word-end BPE). ``most``: chunks kept.
     """
 
-    def __init__(self, path: str, leading_space: bool, most: int = 250_000):
+    def __init__(self, path: str, leading_space: bool, most: int = 250_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the special tokens' strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.leading, self.most = leading_space, most
         self.known: dict[str, bytes] = {}
         self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
@@ -89,13 +92,15 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        """A sign after a letter is a token of its own, so only what stands before it is encoded."""
+        """A sign after an ASCII letter is a token of its own, so only what stands before it is encoded."""
         known = self.known
-        cores = [x[:-1] if x[-1:] in _MARKS and x[-2:-1].isalpha() else x for x in chunks]
+        cores = [x[:-1] if x[-1:] in _MARKS and x[-2:-1] in _PLAIN else x for x in chunks]
         new = {x for x in cores if x not in known}
         if self.leading:
             lines = [x[1:] for x in new if x[:1] == "\n"]
-            new = [x for x in new if x[:1] != "\n"]
+            single = [x for x in new if x[:1] != "\n" and "<|" in x]
+            known.update(zip(single, self._raw([" " + x for x in single]), strict=True))
+            new = [x for x in new if x[:1] != "\n" and "<|" not in x]
             known.update(zip(new, self._joined(new, " ", "\n"), strict=True))
             feed = self.feed
             known.update(("\n" + x, feed + ids) for x, ids in zip(lines, self._joined(lines, "", "\n"), strict=True))

@@ -38,6 +38,8 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         n, blocks = len(ids), -(-len(ids) // BLOCK)
+        if n and int(ids.max()) >> bits:
+            raise ValueError(f"the id {int(ids.max())} needs more than {bits} bits")
         planes, ranks = np.zeros((bits, blocks * BLOCK // 8), np.uint8), np.zeros((bits, blocks + 1), np.uint32)
         zeros = np.zeros(bits, np.int64)
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)

@@ -55,7 +55,6 @@ def reference_ids(name, texts, end=2):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
@@ -71,6 +70,39 @@ def test_chunked_ids(name, leading):
     assert [x.tolist() for x in got] == [x[:-1] for x in reference_ids(name, texts)]
 
 
+def test_special_tokens_as_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    for name, leading in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        t = Tokenizer.from_file(tokenizer_path(name))
+        t.encode_special_tokens = True
+        texts = ["a <|endoftext|> b", "a<|endoftext|>, b", "<|startoftext|>", "x\n<|endoftext|>"]
+        got = token_ids.ChunkEncoder(tokenizer_path(name), leading, special_as_text=True).encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+#: pieces that texts are made of: letters of several scripts whose lower case is longer, marks that join, signs, white space, special tokens
+PARTS = [*"abzAZ09.,;:!?'\"|-_$€<>\u0301\u0307\u200b\u00a0\u3000\t\r", *"İıßẞÀéÖñſΣσςЖж中文字ไทยग्हिأبﬁǅ😀👍🏽", " ", " ", " ", "\n", "the", "don't", "I'LL", "<|endoftext|>", "<|startoftext|>", "<|", "12", "İ,", "é.", "i\u0307,"]
+
+
+@pytest.mark.parametrize("name,leading", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_of_random_texts(name, leading):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(PARTS, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    encoder = token_ids.ChunkEncoder(tokenizer_path(name), leading, most=5000)
+    got = [x.tolist() for at in range(0, len(texts), 1000) for x in encoder.encode(pa.array(texts[at : at + 1000]))]
+    want = [x[:-1] for x in reference_ids(name, texts)]
+    assert [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+def test_large_ids_are_refused():
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.build(np.array([1, 1 << 16]), 16)
+
+
 def test_packing(spark):
     rows = packing.pack(documents(spark, clash=True), window=7).collect()
     ids = {}
