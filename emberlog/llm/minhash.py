@@ -9,12 +9,14 @@ band are candidates: at a similarity of 0.8 a pair is missed with a probability
 jointly by maximum likelihood; those within reach of the threshold are confirmed on the full sets.
 
 Work within a band value is linear at first: documents with equal sets are one class, and a value's members are
-held against its smallest one only. Confirmed links give components. Where a value's
-members then lie in several components, those outside the largest are held against all others
-by an inverted index of their full sets, in blocks of ``BLOCK`` members; only confirmed links that join components
-leave a task. So no link that would join components is lost, and no pairs are emitted.
-
-Nulls: null and blank texts have the empty set and are linked with nothing. A null
+held against one of them only. Confirmed links give components. Where a value's
+members then lie in several components, those outside its largest are held against all members
+by an inverted index of their full sets: ``BLOCK`` of the former and as many of the latter in a task; only confirmed links
+that join components leave it. So no link that would join components is lost, no pairs are emitted, and members of one large
+component are never held against each other.
+
+Documents are known by a hash of id and text, so that a repeated id with another text is another document. Nulls: null and
+blank texts have the empty set and are linked with nothing. A null
 doc_id is linked with nothing, is kept, and its component is null. Rows equal in id and
 text are one document and get the same answer. An empty table gives no rows.
 """
@@ -34,7 +36,7 @@ from .words import lower_ascii, white_space, words
 
 M, ROWS, B, A, Q = 288, 6, 1.001, 20.0, (1 << 16) - 2
 MARGIN = 0.13
-BLOCK = 2000
+BLOCK, SALTS = 2000, 16
 _ODD = mix(np.arange(1001, 1001 + M, dtype=np.uint64)) | np.uint64(1)
 _TURN = mix(np.arange(9001, 9001 + M, dtype=np.uint64))
 _LOWER, _WORD = lower_ascii(), white_space()
@@ -181,10 +183,11 @@ def _confirm(percent: int):
 
 
 def _joining(percent: int):
-    """Links of full sets that join components, one group of members at a time."""
+    """Links of full sets that join components: of the ``outside`` members of a group with all its members."""
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        outside = np.flatnonzero(np.array(table.column("outside").to_pylist(), bool))
         sets = [_wide(x.as_py()) for x in table.column("set")]
         size = np.array([len(x) for x in sets])
         kinds, comp = np.unique(comp, return_inverse=True)
@@ -202,8 +205,7 @@ def _joining(percent: int):
         order = np.argsort(word, kind="stable")
         lists, begin = owner[order], np.r_[0, np.cumsum(np.bincount(word))]
         links = []
-        main = np.bincount(comp).argmax()
-        for x in np.flatnonzero(comp != main).tolist():
+        for x in outside.tolist():
             own = word[first[x] : first[x + 1]]
             n = begin[own + 1] - begin[own]
             ends = np.cumsum(n)
@@ -233,28 +235,34 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
 def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components among the members of a band value."""
     wide = members.where("members > 2").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    several = wide.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    split = wide.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member of a large group meets every block of it
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("key", "node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kinds = wide.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("kinds"))
+    # blocks of the members outside the largest component, and of all members
+    several = kinds.where("kinds > 1").select("key", F.col("top.comp").alias("main"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("members") / BLOCK).cast("int").alias("columns"))
+    # a value that is in a third of all documents is joined in SALTS parts
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = wide.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(several, ["key", "salt"])
+    at = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_members = met.select("key", "node", "comp", F.lit(False).alias("outside"), at("columns").alias("j"), every("rows").alias("i"))
+    outsiders = met.where("comp <> main").select("key", "node", "comp", F.lit(True).alias("outside"), at("rows").alias("i"), every("columns").alias("j"))
+    split = all_members.unionByName(outsiders)
     return stored(split.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_joining(percent), "a long, b long").distinct(), "links")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, uid, n_shingles, component_id and kept of every document."""
+    """doc_id, uid, n_shingles, component_id, kept (doc_id = component_id) and lead (the one of its component with the smallest id) of every document."""
     own = docs.select(order_id().alias("id"), row_key().alias("uid"), "doc_id", "text")
     sketch = stored(own.mapInArrow(tidied(_sketch(size)), SKETCH), "sketches")
     able = sketch.where("n > 0 and doc_id is not null")
     # equal sets are one class, spoken for by its smallest document
     best = able.groupBy("d1", "d2").agg(F.min(F.struct("id", "uid", "n", "sketch")).alias("r"))
-    reps = stored(best.select(F.col("r.id").alias("node"), F.col("r.uid").alias("uid"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"), "d1", "d2"), "classes")
+    reps = stored(best.select(F.col("r.id").alias("id"), F.col("r.uid").alias("node"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"), "d1", "d2"), "classes")
     bands = stored(reps.select("node", "sketch").mapInArrow(_bands, "key long, node long"), "bands")
     values = stored(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "values")
     members = stored(bands.join(values, "key"), "members")
     first = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    named = members.select("node").distinct().join(reps.select("node", "uid"), "node").select(F.col("node").alias("id"), "uid")
-    text = own.join(named, ["id", "uid"]).dropDuplicates(["id", "uid"]).select(F.col("id").alias("node"), "text")
+    named = members.select("node").distinct().join(reps.select("node", "id"), "node")
+    text = own.select("id", F.col("uid").alias("node"), "text").join(named, ["id", "node"]).dropDuplicates(["node"]).select("node", "text")
     sets = stored(text.mapInArrow(tidied(_sets(size)), "node long, set binary"), "sets")
     links = _confirmed(first, reps, sets, percent)
     comp = components(links)
@@ -262,20 +270,25 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not more.isEmpty():
         comp = components(links.union(more))
 
-    found = reps.select("d1", "d2", "node").join(comp, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component_id"))
-    own_comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = sketch.join(found, ["d1", "d2"], "left").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own_comp).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # a component is named by its document with the smallest id
+    linked = reps.select("id", "node", "d1", "d2").join(comp, "node")
+    smallest = linked.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("least"))
+    found = linked.join(smallest, "comp").select("d1", "d2", "least")
+    found = reps.join(found, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", F.struct("id", "node")).alias("least"))
+    out = sketch.join(found, ["d1", "d2"], "left").select("doc_id", "id", "uid", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).alias("least"))
+    own_comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == own_comp, F.lit(True))
+    return out.select("doc_id", "uid", "n_shingles", own_comp.alias("component_id"), kept.alias("kept"), F.coalesce(F.col("uid") == F.col("least.node"), F.lit(True)).alias("lead"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept of every document."""
-    return groups(texts(docs), size, percent).drop("uid").select("doc_id", "n_shingles", "component_id", "kept")
+    return groups(texts(docs), size, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id."""
-    gone = groups(texts(docs), size, percent).where("not kept").select(F.col("doc_id").alias("id"), "uid").distinct()
+    gone = groups(texts(docs), size, percent).where("not lead").select(F.col("doc_id").alias("id"), "uid").distinct()
     return without(docs, stored(gone, "copies"))
 
 

@@ -53,6 +53,42 @@ def test_links_across_a_common_hub(spark):
     assert got == brute_groups(rows, 2, 80)
 
 
+def test_repeated_ids_are_other_documents(spark):
+    """An id that stands for a near copy and for an unlike text: the latter is linked with nothing and stays."""
+    base = prose(120, 60)
+    rows = [(1, base), (2, base + " more"), (2, prose(90, 61)), (3, base + " again"), (3, base + " and again"), (2, base + " more")]
+    got = minhash.groups(documents(spark, rows).select("doc_id", "text"), 2, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept, r.lead) for r in got) == [(1, 1, True, True), (2, 1, False, False), (2, 1, False, False), (2, 2, True, True), (3, 1, False, False), (3, 1, False, False)]
+    assert sorted((r.doc_id, r.text) for r in minhash.without_copies(documents(spark, rows), 2, 80).collect()) == sorted([rows[0], rows[2]])
+    twice = [(5, base), (5, base + " more"), (6, base + " again")]
+    assert minhash.without_copies(documents(spark, twice), 2, 80).count() == 1
+    assert {r.component_id for r in minhash.near_duplicates(documents(spark, twice), 2, 80).collect()} == {5}
+
+
+def test_blocks_of_a_common_band_value(spark, monkeypatch):
+    """Members of one value in several components and blocks, against brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = [f"t{k}" for k in range(100)]
+    rows = [(i, " ".join(base[: 100 - 5 * (i % 6)] + [f"u{i % 6}x{k}" for k in range(5 * (i % 6))] + [f"v{i}x{k}" for k in range(i % 3)])) for i in range(40)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows, clash=False), 2, 80).collect()}
+    assert got == brute_groups(rows, 2, 80)
+
+
+def test_near_copies_are_caught(spark):
+    """Of the documents that a five-word similarity of 0.8 links with a smaller one, the stage's operator misses none."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        words = prose(60 + 7 * (i % 40), 200 + i % 40).split()
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(999)}"
+        rows.append((i, " ".join(words)))
+    want = {i for i, _, c in brute_groups(rows, 5, 80) if i == c}
+    got = {r.doc_id for r in minhash.without_copies(documents(spark, rows), 5, 80).collect()}
+    assert got == want and len(want) < 100
+
+
 def test_one_of_each_group_stays(spark):
     kept = minhash.without_copies(documents(spark), 5, 80)
     assert kept.columns == documents(spark).columns
