@@ -1,21 +1,22 @@
 """Toxicity: text is deobfuscated by a noisy-channel Viterbi decoder, then scored.
 
-1. A character trigram model is counted over the words of all documents.
+1. A character trigram model is counted over the words of all documents. Characters beyond the alphabets
+   up to ``ALPHABETS`` count by classes, so that every one is counted and the model's size is set by alphabets, not by rows.
 2. Tokens that look disguised (look-alike digits and signs or separators inside a word,
    letters said three times or more, runs of single letters) are decoded: a lattice holds, for every
    character, the letters that it may stand for, that it is a separator, or that it
    repeats the letter before. Viterbi finds the best path under the model and the
-   channel's costs.
+   channel's costs, in one pass with back-pointers. Stretches of scripts without spaces are read as pairs of characters.
 3. The restored words and their beginnings are features. Labels give each feature a
    log-odds weight, less its own uncertainty, so that rare features weigh nothing.
    A logistic curve over a document's strongest and summed weights is its score.
 
 Labels are learned only from rows with crc32(doc_id as text) mod 5 other than 0, and of
-these from the ``train_rows`` first by a hash of doc_id (documented bound). Nothing but
-the text is an input of a score.
+these from the ``train_rows`` first by a hash of doc_id (documented bound); all features of these rows are
+counted, and those with a weight above zero are kept. Nothing but the text is an input of a score.
 
 Nulls: a null or empty text gets the score of a text without evidence. A null doc_id is
-scored and counts as not held out. A label row is used once per matching document;
+scored and counts as not held out. Of several labels of one doc_id the toxic one holds; a label is used once per matching document;
 null labels are not used. Without labels of both kinds the score is 0 everywhere. An empty table
 gives no rows.
 """
@@ -26,17 +27,22 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, positional, stored, texts, tidied
 
 TRAIN_ROWS = 200_000
-MOST_FEATURES = 50_000
+#: words of more letters are features by a hash and aren't cached
+LONG = 64
+#: code points below are letters of their own in the model, others fall into CLASSES classes
+ALPHABETS, CLASSES = 0x530, 64
 
 # fixed values: what a sign may stand for
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¢": "c"}
@@ -46,14 +52,28 @@ AS_IS, LOOKALIKE, SEPARATOR, REPEAT, SIGN = -0.05, -1.5, -0.7, -2.5, -10.0
 
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>*%&#$-_=/\\|~^`+@«»„“”¿¡…"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_INNER = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(<€£¢.\-_*~^'`,:;/\\#%&=​‌‍­]+[^\s]*[^\W\d_]|\d[^\W\d_]|[^\W\d_]\d|[@$!][^\W\d_]")
+_SIGN = re.compile(r"[\d@$!|+(<€£¢.\-_*~^'`,:;/\\#%&=​‌‍­]")
+_BESIDE = re.compile(r"\d[^\W\d_]|[^\W\d_]\d|[@$!][^\W\d_]")
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]{2,}")
 #: white space other than the space
 _BLANKS = r"[\t\r\n\x0b\x0c\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def disguised(token: str) -> bool:
-    return bool(_LETTER.search(token) and (_TRIPLE.search(token) or _INNER.search(token)))
+    """A letter thrice, a digit or sign beside a letter, or one with letters on both sides."""
+    first = _LETTER.search(token)
+    if not first:
+        return False
+    last = len(token) - 1
+    while not _LETTER.match(token, last):
+        last -= 1
+    return bool(_SIGN.search(token, first.end(), last) or _BESIDE.search(token) or _TRIPLE.search(token))
+
+
+def folded(point: int) -> int:
+    """A code point as the model counts it; numpy arrays are folded in _count_grams()."""
+    return point if point < ALPHABETS else 0xE000 + point % CLASSES
 
 
 class CharModel:
@@ -73,35 +93,54 @@ class CharModel:
     def log_p(self, gram: str) -> float:
         got = self.known.get(gram)
         if got is None:
+            given = gram
+            if not gram.isascii():
+                gram = "".join(chr(folded(ord(c))) for c in gram)
             back = math.exp(self.one.get(gram[2], self.least))
-            got = self.known[gram] = math.log((self.three.get(gram, 0) + 2 * back) / (self.two.get(gram[:2], 0) + 2))
+            if len(self.known) > 500_000:
+                self.known.clear()
+            got = self.known[given] = math.log((self.three.get(gram, 0) + 2 * back) / (self.two.get(gram[:2], 0) + 2))
         return got
 
 
+@lru_cache(maxsize=1 << 16)
+def arcs(c: str) -> tuple[tuple[str, float], ...]:
+    """The letters that a character may stand for ('': none), and their costs."""
+    if _LETTER.match(c):
+        return ((c, AS_IS),)
+    return (*((x, LOOKALIKE) for x in LOOKS.get(c, "")), ("", SEPARATOR if c in SEPARATORS else SIGN))
+
+
 def decode(token: str, model: CharModel) -> str:
     """The likeliest plain word behind a token."""
-    # a state is the last two letters; the best path to it
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    before = ""
+    # a state is the last two letters; the best score of a path to it, and the path's last letter with what comes before
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    before, known = "", model.known
     for c in token:
-        arcs: list[tuple[str, float]] = []
-        if _LETTER.match(c):
-            arcs.append((c, AS_IS))
-        else:
-            arcs += [(x, LOOKALIKE) for x in LOOKS.get(c, "")]
-            arcs.append(("", SEPARATOR if c in SEPARATORS else SIGN))
-        new: dict[str, tuple[float, str]] = {}
+        new: dict[str, tuple[float, tuple | None]] = {}
+        ways, again = arcs(c), c == before and c in LOOKS
         for state, (score, path) in states.items():
-            for x, cost in arcs:
-                s, to, p = (score + cost + model.log_p(state + x), state[1] + x, path + x) if x else (score + cost, state, path)
-                if to not in new or new[to][0] < s:
-                    new[to] = (s, p)
-            if state[1] == c or (c == before and c in LOOKS and state[1] in LOOKS[c]):
+            for x, cost in ways:
+                if x:
+                    gram = state + x
+                    p = known.get(gram)
+                    s, to = score + cost + (model.log_p(gram) if p is None else p), gram[1:]
+                    if to not in new or new[to][0] < s:
+                        new[to] = (s, (path, x))
+                elif state not in new or new[state][0] < score + cost:
+                    new[state] = (score + cost, path)
+            # the character may repeat the letter that was said last
+            if state[1] == c or (again and state[1] in LOOKS[c]):
                 s = score + REPEAT / 2
                 if state not in new or new[state][0] < s:
                     new[state] = (s, path)
         states, before = new, c
-    return max((score + model.log_p(state + "$"), path) for state, (score, path) in states.items())[1]
+    _, path = max(((score + model.log_p(state + "$"), path) for state, (score, path) in states.items()), key=lambda x: x[0])
+    out = []
+    while path is not None:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def tokens(text: str) -> list[str]:
@@ -115,7 +154,11 @@ def tokens(text: str) -> list[str]:
         if len(run) > 2:
             out.append(" ".join(run))
         run = []
-        if t:
+        if t and not t.isascii() and _UNSPACED.search(t):
+            parts = _UNSPACED.findall(t)
+            out += [x[k : k + 2] for x in parts for k in range(len(x) - 1)]
+            out += [y for x in _UNSPACED.split(t) if (y := x.strip(_EDGES))]
+        elif t:
             # signs at the limits may be letters in disguise
             out.append(raw if raw != t and raw[0] in "@$!(<|+" and len(t) > 2 else t)
     if len(run) > 2:
@@ -130,7 +173,8 @@ def restored(token: str, model: CharModel) -> str:
 
 
 def features(word: str) -> list[str]:
-    return ["=" + word, *("^" + word[:k] for k in (3, 4, 5, 6) if len(word) >= k)]
+    whole = "=" + word if len(word) <= LONG else f"=#{blake2b(word.encode(errors='replace'), digest_size=12).hexdigest()}"
+    return [whole, *("^" + word[:k] for k in (3, 4, 5, 6) if len(word) >= k)]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +187,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, n = names.filter(pa.array(plain)), n[plain]
             # code points of all words end to end; a trigram is three of them in one number
             points = np.frombuffer("".join(f"^^{w}$" for w in names.to_numpy(zero_copy_only=False).tolist()).encode("utf-32-le"), "<u4").astype(np.int64)
+            points = np.where(points < ALPHABETS, points, 0xE000 + points % CLASSES)
             size = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 3
             word = np.repeat(np.arange(len(size)), size)
             inside = np.flatnonzero(word[2:] == word[:-2])
@@ -153,29 +198,38 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(total, pa.int64())], names=["gram", "n"])
 
 
-def char_model(docs: DataFrame, most: int = 200_000) -> CharModel:
-    """Counted over all texts. The model keeps the ``most`` commonest trigrams: a size set by alphabets, not by rows."""
+def char_model(docs: DataFrame) -> CharModel:
+    """Counted over all texts, with all trigrams: a number set by alphabets, not by rows."""
     grams = docs.select("text").mapInArrow(tidied(_count_grams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return CharModel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(most).collect()})
+    return CharModel({r.gram: r.n for r in grams.collect()})
 
 
 def _document_features(model: CharModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
+        pos, neg = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(pos.keys() | neg.keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[x] for x in names], pa.int64()), pa.array([neg[x] for x in names], pa.int64())], names=["feature", "pos", "neg"])
+
         for batch in batches:
-            pos, neg = Counter(), Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for t in set(tokens(text)):
                     got = known.get(t)
                     if got is None:
-                        got = known[t] = features(restored(t, model))
+                        got = features(restored(t, model))
+                        if len(t) <= LONG:
+                            known[t] = got
                     found.update(got)
                 (pos if toxic else neg).update(found)
             if len(known) > 200_000:
                 known.clear()
-            names = list(pos.keys() | neg.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[x] for x in names], pa.int64()), pa.array([neg[x] for x in names], pa.int64())], names=["feature", "pos", "neg"])
+            if len(pos) + len(neg) > 300_000:
+                yield counted()
+                pos, neg = Counter(), Counter()
+        yield counted()
 
     return run
 
@@ -195,7 +249,9 @@ class Scorer:
         for t in words:
             w = self.known.get(t)
             if w is None:
-                w = self.known[t] = max(map(self.weights.get, features(restored(t, self.model)), [0.0] * 9))
+                w = max(map(self.weights.get, features(restored(t, self.model)), [0.0] * 9))
+                if len(t) <= LONG:
+                    self.known[t] = w
             if w:
                 total += w
                 best = max(best, w)
@@ -208,11 +264,11 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Lower limits of smoothed log-odds; 0 where the sign isn't certain."""
+def log_odds(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """Lower limits of smoothed log-odds; 0 or less where the sign isn't certain."""
     a, b = pos + 0.5, neg + 0.5 * n_neg / max(1, n_pos)
-    value = np.log(a / (n_pos + 1)) - np.log(b / (n_neg + 1))
-    return np.maximum(0, value - 2.0 * np.sqrt(1 / a + 1 / np.maximum(b, 1)))
+    value = F.log(a / (n_pos + 1)) - F.log(b / (n_neg + 1))
+    return value - 2.0 * F.sqrt(1 / a + 1 / F.greatest(b, F.lit(1.0)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
@@ -239,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     docs = docs.select("doc_id", "text")
     model = char_model(docs)
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(remainder() != 0)
-    wanted = wanted.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    wanted = wanted.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = stored(docs.join(wanted, "doc_id").select("text", "toxic"), "toxicity-train")
     n = {bool(r.toxic): r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_pos, n_neg = n.get(True, 0), n.get(False, 0)
@@ -247,10 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     if not n_pos or not n_neg:
         return scorer
     counted = rows.repartition(max(1, min(64, (n_pos + n_neg) // 500))).mapInArrow(tidied(_document_features(model)), "feature string, pos long, neg long")
-    counted = counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") * n_neg > F.col("neg") * n_pos).where("pos >= 3")
-    top = counted.orderBy(F.desc(F.col("pos") - F.col("neg") * (n_pos / n_neg)), "feature").limit(MOST_FEATURES).collect()
-    weights = log_odds(np.array([r.pos for r in top], float), np.array([r.neg for r in top], float), n_pos, n_neg)
-    scorer.weights = {r.feature: float(w) for r, w in zip(top, weights, strict=True) if w > 0}
+    counted = counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    weighed = counted.select("feature", log_odds(F.col("pos"), F.col("neg"), n_pos, n_neg).alias("weight")).where("weight > 0")
+    # features of the bounded training rows whose sign is certain
+    scorer.weights = {r.feature: r.weight for r in weighed.collect()}
     seen = rows.mapInArrow(tidied(_scores(scorer, raw=True)), "toxic int, a double, b double, c double").collect()
     scorer.curve = logistic(np.array([r[1:] for r in seen]), np.array([float(r.toxic) for r in seen]))
     return scorer

@@ -242,6 +242,82 @@ def test_decoding():
     assert not toxicity.disguised("idiot") and toxicity.tokens("I D I O T, ok!") == ["i d i o t", "ok"] and toxicity.restored("i d i o t", m) == "idiot"
 
 
+def channel(token, model, state="^^", before="", out=""):
+    """All readings of a token with their scores, one by one: every letter, sign and repetition that the channel allows."""
+    if not token:
+        yield model.log_p(state + "$"), out
+        return
+    c, rest = token[0], token[1:]
+    ways = [(c, toxicity.AS_IS)] if c.isalpha() else [*((x, toxicity.LOOKALIKE) for x in toxicity.LOOKS.get(c, "")), ("", toxicity.SEPARATOR if c in toxicity.SEPARATORS else toxicity.SIGN)]
+    for x, cost in ways:
+        gain = model.log_p(state + x) if x else 0.0
+        for score, path in channel(rest, model, (state + x)[-2:], c, out + x):
+            yield cost + gain + score, path
+    if state[1] == c or (c == before and state[1] in toxicity.LOOKS.get(c, "")):
+        for score, path in channel(rest, model, state, c, out):
+            yield toxicity.REPEAT / 2 + score, path
+
+
+def test_decoder_against_all_readings():
+    counts = {}
+    for w in ("idiot idiots moron loser stupid trash idle told bill glass zoo élan").split() * 30:
+        w = f"^^{w}$"
+        for i in range(len(w) - 2):
+            counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + 1
+    rng, model = random.Random(5), toxicity.CharModel(counts)
+    for _ in range(600):
+        token = "".join(rng.choices("idotslé10$@!.-6", k=rng.randrange(1, 9)))
+        best = {}
+        for score, path in channel(token, model):
+            best[path] = max(score, best.get(path, -1e9))
+        assert best[toxicity.decode(token, model)] >= max(best.values()) - 1e-9
+
+
+def test_long_words_and_unspaced_scripts():
+    """Costs grow with the length, and no more: words of half a million letters, with and without signs."""
+    import base64
+    import time
+
+    model = toxicity.CharModel({"^^a": 3})
+    for word in (base64.b64encode(random.Random(1).randbytes(400_000)).decode().lower(), "a" * 500_000 + "1b", "a.b" * 170_000, "汉" * 500_000, "汉字，" * 100_000, "." * 500_000 + "a"):
+        start = time.perf_counter()
+        for t in set(toxicity.tokens(word)):
+            assert all(len(f) <= 80 for f in toxicity.features(toxicity.restored(t, model)))
+        assert time.perf_counter() - start < 10
+    assert toxicity.tokens("汉字文 ab") == ["汉字", "字文", "ab"] and toxicity.tokens("x汉字y, 汉") == ["汉字", "x", "y"]
+
+
+def test_labels_that_disagree(spark):
+    """The toxic one of a document's labels holds, wherever it stands."""
+    rows = [(i, prose(20, i) + (" moron scum" if i % 2 else "")) for i in range(300)]
+    lab = [(i, i % 2) for i in range(300)]
+    more = [(i, 0) for i in range(1, 300, 2)]
+    a, b = (toxicity.fit(documents(spark, rows), spark.createDataFrame(x, "doc_id long, toxic int")) for x in (lab, more + lab))
+    assert a.weights == b.weights and a.curve == b.curve and "=moron" in a.weights
+
+
+def test_every_certain_feature_is_kept(spark):
+    """No cap and no rank decides what is a feature."""
+    import math
+
+    rows = [(i, prose(10, i) + f" tag{chr(97 + i // 20 if i % 2 else 97)}" + (" bad" if i % 2 else "")) for i in range(400)]
+    lab = {i: i % 2 for i in range(400) if zlib.crc32(str(i).encode()) % 5}
+    scorer = toxicity.fit(documents(spark, rows), spark.createDataFrame(list(lab.items()), "doc_id long, toxic int"))
+    got = scorer.weights
+    n_pos, pos, neg = sum(lab.values()), {}, {}
+    for i, y in lab.items():
+        for f in {f for w in set(toxicity.tokens(rows[i][1])) for f in toxicity.features(toxicity.restored(w, scorer.model))}:
+            side = pos if y else neg
+            side[f] = side.get(f, 0) + 1
+    n_neg, want = len(lab) - n_pos, {}
+    for f in pos.keys() | neg.keys():
+        a, b = pos.get(f, 0) + 0.5, neg.get(f, 0) + 0.5 * n_neg / n_pos
+        w = math.log(a / (n_pos + 1)) - math.log(b / (n_neg + 1)) - 2 * math.sqrt(1 / a + 1 / max(b, 1))
+        if w > 0:
+            want[f] = w
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want) and "=tagd" in got
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "payload " * 200
     inside = big + "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" + big
