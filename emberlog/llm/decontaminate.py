@@ -6,17 +6,17 @@ Every text is read twice, with names as placeholders and as words, so that texts
 of ``W`` template tokens, of which half at least are words, are hashed and joined
 with the windows of the benchmark. Along one alignment of a document with an item the
 fillers of the placeholders must agree: an item's value always with the same value of the
-document within a run of windows, so that a clash parts an alignment and doesn't void it; and, over the whole
-alignment, a value of the document always with the same value of the item. A placeholder at the edge of a window
+document within a run of windows, so that a clash parts an alignment and doesn't void it. Two values of an item may become
+one, as in "3 red and 4 blue" asked with 5 and 5. A placeholder at the edge of a window
 that holds more words on one side is left out: there, a neighbour outside the copy was merged with it ("Q12: 5 apples").
 That also catches questions with other numbers or names. A document is contaminated if an
 alignment has a run of two consistent windows, or one where the item has only one.
 
 An item of fewer than ``W`` tokens, three at least, is one window. An item that has fewer than two windows with names as words
 (it is short, or holds mostly numbers and units) is also looked for as a whole: all its words in a row, numbers and
-names as they are. Only an item without any letter or digit is never found. The hashes of the
-benchmark are broadcast only if they are ``MOST`` or fewer; otherwise all windows of the
-documents take part in a shuffled join.
+names as they are. Only an item without any letter or digit is never found. The windows of the
+benchmark are broadcast only if they are ``MOST`` rows and ``MOST_BYTES`` bytes or fewer. Otherwise the hashes of all windows of the
+documents take part in a shuffled join, and only those that are found return to their documents for the fillers.
 
 Nulls: null texts are empty and clean; items without text or id are left out. Null ids come last; rows
 equal in id and text are one document. Without documents there are no rows; without items all are clean.
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import encoded, mix, order_id, pieces_of, row_key, stored, texts, tidied, without
 from .words import lower_ascii, powers_up_to, words
 
-W, LEAST_WORDS, MOST = 8, 3, 1 << 20
+W, LEAST_WORDS = 8, 3
+MOST, MOST_BYTES = 1 << 18, 64 << 20
 NUMBER, NAME, UNIT = 1, 2, 3
 # fixed values: units and number words
 UNITS = "mm cm m km kg g mg lb lbs oz ft feet foot inch inches mile miles meter meters metre metres liter liters litre litres ml l gallon gallons hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh kw kwh mb gb tb hz khz mhz ghz kelvin celsius fahrenheit pound pounds ton tons"
@@ -179,9 +180,26 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, ITEM_SCHEMA)
 
 
-def _hits(known: np.ndarray | None, sizes: list[int]):
-    """sizes: of windows; below 0, of whole items."""
-    wholes, sizes = [-s for s in sizes if s < 0], [s for s in sizes if s > 0]
+def _found(data: np.ndarray, at: np.ndarray, names: bool, sizes: list[int]):
+    """(size, doc, first token, hash, position in the document) of the windows of every size, and what fillers need. Sizes below 0 are of whole items."""
+    if any(s < 0 for s in sizes) and not names:
+        w = words(data, at, _LETTERS, _fold(data))
+        first = np.searchsorted(w.doc, np.arange(len(at)))
+        for size in (s for s in sizes if s < 0):
+            a, hashes = stretches(w.doc, w.hash, -size)
+            # one hit a document and hash will do
+            d = w.doc[a]
+            _, once = np.unique(np.stack([d.astype(np.uint64), hashes], 1), axis=0, return_index=True)
+            yield size, d[once], a[once], hashes[once], (a - first[d])[once], None
+    doc, h, kind, start, end = template(data, at, names)
+    first = np.searchsorted(doc, np.arange(len(at)))
+    for size in (s for s in sizes if s > 0):
+        a, hashes = windows(doc, h, kind, size)
+        yield size, doc[a], a, hashes, a - first[doc[a]], (kind, start, end)
+
+
+def _hits(known: np.ndarray, sizes: list[int]):
+    """The windows of known hashes, with their fillers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,41 +207,52 @@ def _hits(known: np.ndarray | None, sizes: list[int]):
                 data, at = encoded(part.column(2))
                 ids, uids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows, raw = [], None
-                if wholes:
-                    w = words(data, at, _LETTERS, _fold(data))
-                    first = np.searchsorted(w.doc, np.arange(len(ids)))
-                    for size in wholes:
-                        a, hashes = stretches(w.doc, w.hash, size)
-                        if known is not None:
-                            hit = _in(hashes, known)
-                            a, hashes = a[hit], hashes[hit]
-                        # one hit a document and hash will do
-                        d = w.doc[a]
-                        _, once = np.unique(np.stack([d.astype(np.uint64), hashes], 1), axis=0, return_index=True)
-                        rows += [(x, False, ids[k], uids[k], p, -size, []) for x, k, p in zip(hashes[once].view(np.int64).tolist(), d[once].tolist(), (a - first[d])[once].tolist(), strict=True)]
                 for names in (True, False):
-                    doc, h, kind, start, end = template(data, at, names)
-                    first = np.searchsorted(doc, np.arange(len(ids)))
-                    for size in sizes:
-                        a, hashes = windows(doc, h, kind, size)
-                        if known is not None:
-                            hit = _in(hashes, known)
-                            a, hashes = a[hit], hashes[hit]
-                        if len(a):
+                    for size, doc, a, hashes, pos, more in _found(data, at, names, sizes):
+                        hit = np.flatnonzero(_in(hashes, known))
+                        if len(hit):
                             raw = raw or data.tobytes()
-                        for k, x in zip(a.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                            d = int(doc[k])
-                            rows.append((x, names, ids[d], uids[d], k - int(first[d]), size, _fillers(raw, kind, start, end, k, size)))
+                        for d, k, x, p in zip(doc[hit].tolist(), a[hit].tolist(), hashes[hit].view(np.int64).tolist(), pos[hit].tolist(), strict=True):
+                            rows.append((x, names, ids[d], uids[d], p, size, _fillers(raw, *more, k, size) if more else []))
                 yield _batch(rows, HIT_SCHEMA)
 
     return run
 
 
+PLACE = "h long, names boolean, id long, uid long, size int"
+
+
+def _places(sizes: list[int]):
+    """The distinct hashes of every document's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, 1 << 20):
+                data, at = encoded(part.column(2))
+                ids, uids = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                for names in (True, False):
+                    for size, doc, _, hashes, _, _ in _found(data, at, names, sizes):
+                        _, once = np.unique(np.stack([doc.astype(np.uint64), hashes], 1), axis=0, return_index=True)
+                        n, d = len(once), doc[once]
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes[once].view(np.int64)), pa.array(np.full(n, names)), pa.array(ids[d]), pa.array(uids[d]), pa.array(np.full(n, size, np.int32))], names=["h", "names", "id", "uid", "size"])
+
+    return run
+
+
+def _again(sizes: list[int]):
+    """As _hits(), with the known hashes of each document in its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                known = np.sort(np.array(batch.column(3)[k].as_py(), np.int64).view(np.uint64))
+                yield from _hits(known, sizes)([batch.slice(k, 1)])
+
+    return run
+
+
 def longest_run(item: list[list[int]], own: list[list[int]]) -> int:
-    """Of windows in order, given by the item's and the document's fillers: the most in a row in which no value of the item has two of the document; 0 if a value of the document has two of the item anywhere."""
-    back: dict[int, int] = {}
-    if any(back.setdefault(y, x) != x for a, b in zip(item, own, strict=True) for x, y in zip(a, b, strict=True)):
-        return 0
+    """Of windows in order, given by the item's and the document's fillers: the most in a row in which no value of the item has two of the document."""
     best = first = 0
     held: dict[int, list[int]] = {}  # of a value: its counterpart, and the last window that has it
     for k, (a, b) in enumerate(zip(item, own, strict=True)):
@@ -250,16 +279,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([f for f, r in zip(found, rows, strict=True) if f[3] >= min(2, r["most"])], RUN_SCHEMA)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, most: int = MOST) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id, uid, item_id and n_windows (of the longest consistent alignment). docs: id, uid, text."""
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     items = stored(wanted.mapInArrow(_items, ITEM), "benchmark-windows")
-    facts = items.agg(F.countDistinct("h").alias("n"), F.collect_set("size").alias("sizes")).first()
-    small = facts.n <= most
-    known = np.sort(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)) if small else None
-    hits = docs.select("id", "uid", "text").mapInArrow(tidied(_hits(known, sorted(facts.sizes))), HIT)
-    # the size was checked above
-    joined = hits.join(F.broadcast(items) if small else items, ["h", "names", "size"])
+    size_of = F.lit(64) + F.aggregate("item_slots", F.lit(0), lambda n, x: n + F.octet_length(x) + 32)
+    facts = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(size_of), F.lit(0)).alias("bytes"), F.collect_set("size").alias("sizes")).first()
+    small, sizes = facts.n <= most and facts.bytes <= most_bytes, sorted(facts.sizes)
+    own = docs.select("id", "uid", "text")
+    if small:
+        # hashes and windows of the benchmark: their rows and bytes were counted above
+        known = np.sort(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64))
+        hits, items = own.mapInArrow(tidied(_hits(known, sizes)), HIT), F.broadcast(items)
+    else:
+        places = own.mapInArrow(tidied(_places(sizes)), PLACE).join(items.select("h", "names", "size").distinct(), ["h", "names", "size"], "left_semi")
+        back = places.groupBy("id", "uid").agg(F.collect_set("h").alias("known"))
+        hits = own.dropDuplicates(["id", "uid"]).join(back, ["id", "uid"]).select("id", "uid", "text", "known").mapInArrow(tidied(_again(sizes)), HIT)
+    joined = hits.join(items, ["h", "names", "size"])
     count = lambda x: F.size(F.split(x, " "))
     pairs = F.filter(F.arrays_zip("item_slots", "slots", "edges"), lambda x: ~x.edges | (count(x.item_slots) == count(x.slots)))
     pairs = F.transform(pairs, lambda x: F.struct(F.xxhash64(x.item_slots).alias("a"), F.xxhash64(x.slots).alias("b")))

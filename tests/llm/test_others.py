@@ -17,9 +17,9 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(7, "So then Alice bought 12 apples and 3 pears for 5 dollars at the small market near home."), (8, "What is this?"), (9, "a b"), (10, None), (None, "x y z")], "item_id long, text string")
     for most in (decontaminate.MOST, 0):
         got = {r.doc_id: (r.contaminated, r.item_ids) for r in decontaminate.contamination(docs, items, most).collect()}
-        assert got == {1: (True, [7]), 2: (True, [7]), 3: (False, []), 4: (False, []), 5: (False, []), 6: (True, [7]), 7: (True, [8]), 8: (False, []), None: (True, [7])}
+        assert got == {1: (True, [7]), 2: (True, [7]), 3: (True, [7]), 4: (False, []), 5: (False, []), 6: (True, [7]), 7: (True, [8]), 8: (False, []), None: (True, [7])}
     kept = decontaminate.without_leaks(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 8]
     assert decontaminate.without_leaks(docs, items.limit(0)).count() == docs.count()
     assert decontaminate.contamination(empty(spark), items).count() == 0
 
@@ -48,7 +48,99 @@ def test_longest_run():
     assert run([], []) == 0 and run([[], []], [[], []]) == 2
     assert run([[1], [1], [1], [2]], [[5], [6], [6], [7]]) == 3  # the first clashes with the second
     assert run([[1], [1, 1], [1]], [[5], [5, 6], [6]]) == 1  # the one between clashes in itself
-    assert run([[1], [2], [3]], [[5], [5], [6]]) == 0  # two values of the item became one
+    assert run([[1], [2], [3]], [[5], [5], [6]]) == 3  # two values of the item became one
+
+
+def plain_template(text, names):
+    """(kind, word or placeholder, fillers) of a text's tokens, by regular expressions."""
+    import re
+
+    found = [(m[0].lower() if m[0].isascii() else "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in m[0]), m) for m in re.finditer("[0-9A-Za-z\u0080-\U0010ffff]+", text)]
+    out, before = [], None
+    for k, (low, m) in enumerate(found):
+        number = bool(re.search("[0-9]", m[0])) or low in decontaminate.NUMBERS.split()
+        inside = k > 0 and not re.search(r"[.!?:\n]", text[found[k - 1][1].end() : m.start()])
+        kind = decontaminate.NAME if names and inside and re.match("[A-ZÀ-Þ]", m[0]) and re.search("[a-z]", m[0]) else 0
+        if number:
+            kind = decontaminate.NUMBER
+        elif k and before and low in decontaminate.UNITS.split():
+            kind = decontaminate.UNIT
+        if kind and out and out[-1][0] == kind:
+            out[-1][2].append(low)
+        else:
+            out.append((kind, f"<{kind}>" if kind else low, [low] if kind else None))
+        before = number
+    return out, [low for low, _ in found]
+
+
+def plain_windows(tokens, size):
+    return [a for a in range(len(tokens) - size + 1) if 2 * sum(t[0] == 0 for t in tokens[a : a + size]) >= size]
+
+
+def brute_leaks(docs, items):
+    """Items of every document: all alignments, and all runs of windows of each."""
+    found = {i: set() for i, _ in docs}
+    for doc, text in docs:
+        for item, question in items:
+            last = []
+            for names in (True, False):
+                (own, said), (asked, words) = plain_template(text, names), plain_template(question, names)
+                size, last = min(decontaminate.W, len(asked)), []
+                if size < decontaminate.LEAST_WORDS:
+                    continue
+                last, lines = plain_windows(asked, size), {}
+                for a in last:
+                    for b in plain_windows(own, size):
+                        if [t[1] for t in asked[a : a + size]] == [t[1] for t in own[b : b + size]]:
+                            pairs = [(tuple(x[2]), tuple(y[2]), k in (0, size - 1)) for k, (x, y) in enumerate(zip(asked[a : a + size], own[b : b + size], strict=True)) if x[0]]
+                            lines.setdefault(b - a, []).append([(x, y) for x, y, edge in pairs if not edge or len(x) == len(y)])
+                for line in lines.values():
+                    for i in range(len(line)):
+                        for j in range(i + 1, len(line) + 1):
+                            pairs = {p for w in line[i:j] for p in w}
+                            if len({x for x, _ in pairs}) == len(pairs) and j - i >= min(2, len(last)):
+                                found[doc].add(item)
+            if len(last) < 2 and words and any(said[k : k + len(words)] == words for k in range(len(said))):
+                found[doc].add(item)
+    return {i: sorted(x) for i, x in found.items()}
+
+
+def test_leaks_against_brute_force(spark):
+    rng, items, rows = random.Random(11), [], []
+    for i in range(12):
+        words = prose(rng.choice([2, 5, 9, 14, 40]), 300 + i).split()
+        for _ in range(len(words) // 4):
+            words.insert(rng.randrange(len(words)), rng.choice(["12", "7", "three", "Alice", "Bob", "5 km", "Élan", "9 hours"]))
+        items.append((i, " ".join(words) + rng.choice(["?", ".", ""])))
+    for i in range(90):
+        words = rng.choice(items)[1].split()
+        a = rng.randrange(len(words)) if i % 3 == 0 else 0
+        words = words[a : a + rng.randrange(3, 60)]
+        for _ in range(rng.randrange(0, 3)):
+            k = rng.randrange(len(words))
+            words[k] = rng.choice(["12", "8", "Carol", "zeta", "4"])
+        rows.append((i, rng.choice(["", "Q12: ", "5 ", "So "]) + " ".join(words) + rng.choice(["", " 8 more", " and Dan", ". " + prose(12, i)])))
+    want = brute_leaks(rows, items)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MOST, 0):
+        assert {r.doc_id: r.item_ids for r in decontaminate.contamination(documents(spark, rows), table, most).collect()} == want
+    assert 20 < sum(map(bool, want.values())) < 90
+
+
+def test_questions_with_other_values(spark):
+    long = "then Bob counted every one of the boxes again before supper while nobody at home was watching the road"
+    items = spark.createDataFrame([(1, f"there were 12 apples and then 12 more came in and {long} with 30 of them"), (2, "a bag holds 3 red and 4 blue balls and one is drawn without looking what is its colour")], "item_id long, text string")
+    rows = [(1, f"there were 12 apples and then 11 more came in and {long} with 30 of them"), (2, "a bag holds 5 red and 5 blue balls and one is drawn without looking what is its colour"), (3, "a bag holds balls and one is red"), (4, "there were apples and a bag of balls"), (5, f"we saw that {' '.join(long.split()[:6])} and left")]
+    assert {r.doc_id: r.item_ids for r in decontaminate.contamination(documents(spark, rows), items).collect()} == {1: [1], 2: [2], 3: [], 4: [], 5: []}
+
+
+def test_large_benchmarks_are_not_broadcast(spark):
+    items = spark.createDataFrame([(1, prose(40, 1) + " 5 apples")], "item_id long, text string")
+    docs = documents(spark, [(1, prose(40, 1) + " 5 apples")]).selectExpr("doc_id as id", "doc_id as uid", "text")
+    for limits in ((0, 1 << 20), (1 << 20, 10)):
+        df = decontaminate.matches(docs, items, *limits)
+        assert [r.item_id for r in df.collect()] == [1] and "strategy=broadcast" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in decontaminate.matches(docs, items)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def reference_ids(name, texts, end=2):
