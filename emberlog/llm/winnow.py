@@ -1,22 +1,22 @@
 """Document fingerprints by winnowing, in SQL functions only.
 
-Texts of fewer than ``SHORT`` code points are read as characters, others as words
-(what stands between single white space). In the latter, what has more than ``LONGEST`` code
-points without white space (as in scripts without spaces) is read as characters. Every k tokens in a row are a k-gram. A
-k-gram's packed value has its 32-bit hash above and, below it, the position counted
-backwards; so the smallest value of a window of w k-grams is the smallest hash and,
-among equal ones, the rightmost. A fingerprint is the windows' minima with
-positions. Texts that share k + w - 1 tokens in a row share a selected k-gram. A text of fewer
-than k tokens is one k-gram; one of fewer than w k-grams is one window.
-
-The likeness of two fingerprints is the Jaccard similarity of their hashes. An edited text is read
-as its original is, whatever its own length. Neighbours on different sides of ``SHORT`` share no hash, so
-their likeness is 0.
-
-The next document is found in buckets of doc_id (equal stretches of the range of ids): the first document of a bucket
+Tokens are code points at every length. A k-gram's hash is its rolling (Karp-Rabin) value: the k code points as the
+digits of a number to the base ``BASE`` modulo the prime ``PRIME``, so that h[i + 1] is h[i] less its first digit, times
+the base, plus the next code point. Here the values of all positions come from those of shorter grams (1, 4 and 12 code points),
+which is the same number. A k-gram's packed value has the hash, spread over 32 bits, above and, below it, the
+position counted backwards; so the smallest value of a window of ``W`` k-grams is the smallest hash and,
+among equal ones, the rightmost. A fingerprint is the windows' minima with positions (code points from the start).
+Texts that share ``K + W - 1`` code points in a row share a selected k-gram. A text of fewer
+than ``K`` code points is one k-gram; one of fewer than ``W`` k-grams is one window.
+
+The likeness of two fingerprints is the Jaccard similarity of their hashes. Windows of an edited text that lie in what
+is left of its original have the same minima, so only the rest is hashed again.
+
+The next document is found in buckets of neighbouring doc_ids. Their limits are quantiles of a bounded sample (``PER_BUCKET`` ids a
+bucket, ``MOST_BUCKETS`` buckets at most) and only part the work: every row is dealt by them, whatever the ids' distribution. The first document of a bucket
 is also put at the end of the bucket before it, so texts are shuffled once.
 
-Nulls: a null text is empty; null ids come last. Repeated ids stand in text order. With
+Nulls: a null text is empty; null ids come last. Repeated ids stand in the order of a hash of their texts. With
 one document the next one is itself. An empty table gives no rows.
 """
 
@@ -25,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_id, shuffle_partitions, texts
+from .common import order_id, row_key, shuffle_partitions, texts
 
-K, W = 3, 8
-SHORT, K_CHARS, W_CHARS = 400, 5, 4
-LONGEST = 64
+K, W = 12, 16
+BASE, PRIME, SPREAD = 1_540_483_477, (1 << 31) - 1, 2_654_435_769
 _LAST = (1 << 31) - 1
-MOST_BUCKETS = 1 << 17
+MOST_BUCKETS, PER_BUCKET = 1 << 13, 20
 
 
 def _let(value: Column, body) -> Column:
@@ -39,32 +38,51 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _select(tokens: Column, k: int, w: int) -> Column:
-    """Packed values of the selected k-grams of an array of tokens."""
-    hashed = F.transform(tokens, lambda x: F.xxhash64(x))
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
-    def packed(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.shiftleft(F.xxhash64(*[F.get(h, i + j) for j in range(k)]).bitwiseAND(F.lit(0xFFFFFFFF)), 31) + (F.lit(_LAST) - i).cast("long"))
-        whole = F.array(F.shiftleft(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)), 31) + F.lit(_LAST).cast("long"))
-        return F.when(F.size(h) >= k, grams).otherwise(whole)
 
-    def minima(g: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - w + 1, F.lit(1))), lambda j: F.array_min(F.slice(g, j, w))))
+def _power(n: int) -> Column:
+    return _long(pow(BASE, n, PRIME))
 
-    return _let(_let(hashed, packed), minima)
 
+def packed(h: Column, i: Column) -> Column:
+    return F.shiftleft(F.shiftright(h * _long(SPREAD), 31), 31) + (_long(_LAST) - i)
 
-def _words(text: Column) -> Column:
-    def parted(words: Column) -> Column:
-        single = F.flatten(F.transform(words, lambda x: F.when(F.length(x) > LONGEST, F.split(x, "")).otherwise(F.array(x))))
-        return F.when(F.exists(words, lambda x: F.length(x) > LONGEST), single).otherwise(words)
 
-    return _let(F.split(F.translate(text, "\n\t\r\x0b\x0c\u3000", " " * 6), " "), parted)
+def grams(codes: Column) -> Column:
+    """Packed values of all k-grams of an array of code points (longs)."""
 
+    def fours(c: Column) -> Column:
+        return F.transform(c, lambda x, i: (x * _power(3) + F.get(c, i + 1) * _power(2) + F.get(c, i + 2) * _power(1) + F.get(c, i + 3)) % _long(PRIME))
 
-def selected(text: Column, like: Column | None = None) -> Column:
-    """Packed values of a text, read in the kind of tokens that ``like`` (the text itself) has."""
-    return F.when(F.length(text if like is None else like) < SHORT, _select(F.split(text, ""), K_CHARS, W_CHARS)).otherwise(_select(_words(text), K, W))
+    def twelves(h: Column) -> Column:
+        then = lambda x, y: (x * _power(4) + y) % _long(PRIME)
+        values = F.transform(h, lambda x, i: packed(then(then(x, F.get(h, i + 4)), F.get(h, i + 8)), i))
+        return F.slice(values, 1, F.size(h) - (K - 1))
+
+    def one(c: Column) -> Column:
+        return F.array(packed(F.aggregate(c, _long(0), lambda h, x: (h * _long(BASE) + x) % _long(PRIME)), F.lit(0)))
+
+    return _let(codes, lambda c: F.when(F.size(c) >= K, _let(fours(c), twelves)).otherwise(one(c)))
+
+
+def minima(values: Column) -> Column:
+    """The smallest value of every window, by those of windows of 4."""
+
+    def step(n: int):
+        return lambda g: F.transform(g, lambda x, i: F.least(x, F.get(g, i + n), F.get(g, i + 2 * n), F.get(g, i + 3 * n)))
+
+    return _let(values, lambda g: F.slice(_let(step(1)(g), step(4)), 1, F.greatest(F.size(g) - (W - 1), F.lit(1))))
+
+
+def window_minima(text: Column) -> Column:
+    return minima(grams(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))))
+
+
+def selected(text: Column) -> Column:
+    """Packed values of a text, by position."""
+    return F.array_distinct(window_minima(text))
 
 
 def as_text(values: Column) -> Column:
@@ -81,39 +99,81 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
+def bucketed(d: DataFrame) -> DataFrame:
+    """d (id, uid and more) with ``bucket``: runs of neighbours in the order of id and uid, of like size."""
+    n = min(MOST_BUCKETS, max(16 * shuffle_partitions(d.sparkSession), d.count() // 5000))
+    # the sample: the first by a hash; its size is bounded by the number of buckets
+    seen = sorted((r.id, r.uid) for r in d.select("id", "uid").distinct().orderBy(F.xxhash64("id", "uid"), "id", "uid").limit(PER_BUCKET * n).collect())
+    limits = [seen[k * len(seen) // n] for k in range(1, n)] if len(seen) >= n else seen[1:]
+    if not limits:
+        return d.withColumn("bucket", F.lit(0))
+    ids, uids = (F.array(*[_long(x[k]) for x in limits]) for k in (0, 1))
+    steps = [1 << k for k in range(len(limits).bit_length() - 1, -1, -1)]
+
+    def up(at: Column, step: Column) -> Column:
+        """Binary search: how many limits the row has reached."""
+        i = F.get(ids, at + step - 1)
+        reached = (F.col("id") > i) | ((F.col("id") == i) & (F.col("uid") >= F.get(uids, at + step - 1)))
+        return at + F.when(F.coalesce(reached, F.lit(False)), step).otherwise(0)
+
+    return d.withColumn("bucket", F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), up))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document.
 
     The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as many of the next document's.
     """
-    d = texts(docs).select("doc_id", order_id().alias("id"), "text")
-    facts = d.where("doc_id is not null").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    n = min(MOST_BUCKETS, max(16 * shuffle_partitions(docs.sparkSession), facts.n // 5000))
-    low, width = (0, 1) if facts.low is None else (facts.low, -(-(facts.high - facts.low + 1) // n))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int"))
-    if width > 1 << 50:  # division of such ids is not exact; one width fits all buckets still
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.expr(f"cast(cast(id as decimal(20)) div {width} as int)"))
-    d = d.withColumn("bucket", bucket)
-    firsts = d.groupBy("bucket").agg(F.min("id").alias("first"))
+    d = bucketed(texts(docs).select("doc_id", order_id().alias("id"), row_key().alias("uid"), "text"))
+    firsts = d.groupBy("bucket").agg(F.min(F.struct("id", "uid")).alias("first"))
     by = Window.orderBy("bucket")
-    # a row per bucket at most: MOST_BUCKETS bounds what is sent to one task and broadcast
+    # a row per bucket: MOST_BUCKETS bounds what is sent to one task and broadcast
     over = F.last("bucket").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.select("first", F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(by), over).alias("before"))
-    ghosts = d.join(F.broadcast(firsts), (d.id == F.col("first")) & (d.bucket == F.col("own"))).select("doc_id", "id", "text", F.col("before").alias("bucket"), F.lit(True).alias("ghost"))
-    both = d.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("bucket").withColumn("picked", selected(F.col("text")))
-    order = Window.partitionBy("bucket").orderBy("ghost", "id", "text")
+    firsts = firsts.select(F.col("first.id").alias("id"), F.col("first.uid").alias("uid"), "bucket", F.coalesce(F.lag("bucket").over(by), over).alias("before"))
+    ghosts = d.join(F.broadcast(firsts), ["id", "uid", "bucket"]).dropDuplicates(["bucket"]).select("doc_id", "id", "uid", "text", F.col("before").alias("bucket"), F.lit(True).alias("ghost"))
+    both = d.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("bucket")
+    both = both.withColumn("n_chars", F.length("text").cast("int")).withColumn("moved", F.floor(F.col("n_chars") / 4).cast("int"))
+    # windows that an edit at the end leaves as they are; 0: the edited text is read whole
+    both = both.withColumn("whole", F.greatest(F.col("n_chars") - F.col("moved") - (K + W - 2), F.lit(0)))
+    both = both.withColumn("made", _let(window_minima(F.col("text")), lambda m: F.struct(F.array_distinct(m).alias("picked"), F.array_distinct(F.slice(m, 1, F.least("whole", F.size(m)))).alias("head"))))
+    both = both.select("doc_id", "bucket", "ghost", "id", "uid", "text", "n_chars", "moved", "whole", F.col("made.picked").alias("picked"), F.col("made.head").alias("head"))
+    order = Window.partitionBy("bucket").orderBy("ghost", "id", "uid")
     both = both.withColumns({"next": F.lead("text").over(order), "next_picked": F.lead("picked").over(order)}).where("not ghost")
-    n_chars = F.length("text")
-    moved = F.floor(n_chars / 4).cast("int")
-    both = both.withColumn("n_chars", n_chars.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n_chars - moved), F.substring("next", F.lit(1), moved)))
-    both = both.withColumn("edited_picked", selected(F.col("edited"), like=F.col("text")))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("moved")), F.substring("next", F.lit(1), F.col("moved"))))
+    rest = F.transform(selected(F.substring("edited", F.col("whole") + 1, F.length("edited"))), lambda v: v - F.col("whole"))
+    both = both.withColumn("edited_picked", F.array_distinct(F.concat("head", rest)))
     both = both.withColumns({"h": hashes(F.col("picked")), "h_edited": hashes(F.col("edited_picked")), "h_next": hashes(F.col("next_picked"))})
     return both.select(
         "doc_id",
-        "n_chars",
+        F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("picked")).alias("fingerprint"),
         as_text(F.col("edited_picked")).alias("edited_fingerprint"),
         likeness(F.col("h"), F.col("h_edited")).alias("near_edited"),
         likeness(F.col("h"), F.col("h_next")).alias("near_next"),
     )
+
+
+def _oracle() -> str:
+    # every step is a table of its own, so that no expression is repeated
+    steps = ", ".join(f"g{j} AS (SELECT * EXCLUDE (h), coalesce((h * {BASE} + lead(c, {j}) OVER (PARTITION BY doc_id, kind ORDER BY i)) % {PRIME}, h) AS h FROM g{j - 1})" for j in range(1, K))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nxt FROM documents),
+e AS (SELECT doc_id, t, length(t) AS n, substring(t, 1, length(t) - length(t) // 4) || substring(nxt, 1, length(t) // 4) AS edited, lead(doc_id) OVER (ORDER BY doc_id) AS next_id, min(doc_id) OVER () AS first_id FROM d),
+b AS (SELECT doc_id, 0 AS kind, t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+u AS (SELECT doc_id, kind, length(t) AS n, unnest(range(greatest(length(t), 1))) AS i, unnest(CASE WHEN t = '' THEN [''] ELSE string_split(t, '') END) AS x FROM b),
+g0 AS (SELECT doc_id, kind, n, i, CASE WHEN n > 0 THEN unicode(x)::BIGINT END AS c, CASE WHEN n > 0 THEN unicode(x)::BIGINT ELSE 0 END AS h FROM u),
+{steps},
+p AS (SELECT doc_id, kind, i, greatest(n - {K - 1}, 1) AS grams, (((h * {SPREAD}) >> 31) << 31) + ({_LAST} - i) AS v FROM g{K - 1} WHERE i < greatest(n - {K - 1}, 1)),
+m AS (SELECT doc_id, kind, i, grams, min(v) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS v FROM p),
+s AS (SELECT DISTINCT doc_id, kind, v FROM m WHERE i < greatest(grams - {W - 1}, 1)),
+f AS (SELECT doc_id, kind, string_agg(hex(v), ' ' ORDER BY v & {_LAST} DESC) AS shown, list(DISTINCT v >> 31) AS hs FROM s GROUP BY ALL)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.shown AS fingerprint, b.shown AS edited_fingerprint,
+  len(list_intersect(a.hs, b.hs)) / (len(a.hs) + len(b.hs) - len(list_intersect(a.hs, b.hs))) AS near_edited,
+  len(list_intersect(a.hs, c.hs)) / (len(a.hs) + len(c.hs) - len(list_intersect(a.hs, c.hs))) AS near_next
+FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN f c ON c.doc_id = coalesce(e.next_id, e.first_id) AND c.kind = 0
+"""
+
+
+#: DuckDB: the same rows as fingerprints() where ids are unique and not null.
+ORACLE = _oracle()

@@ -252,50 +252,80 @@ def test_token_files(spark):
     assert wavelet.round_trip(empty(spark)).count() == 0
 
 
+def plain_fingerprint(text):
+    """hash: first position, of the selected k-grams, by the rolling recurrence and by looking at every window."""
+    n, k, w, codes = len(text), winnow.K, winnow.W, [ord(c) for c in text]
+    h = 0
+    for c in codes[:k]:
+        h = (h * winnow.BASE + c) % winnow.PRIME
+    values = [h]
+    for i in range(n - k):
+        h = ((h - codes[i] * pow(winnow.BASE, k - 1, winnow.PRIME)) * winnow.BASE + codes[i + k]) % winnow.PRIME
+        values.append(h)
+    marks = [(v * winnow.SPREAD >> 31, -i) for i, v in enumerate(values)]
+    return sorted({min(marks[j : j + w]) for j in range(max(1, len(marks) - w + 1))}, key=lambda m: -m[1])
+
+
+def shown(marks):
+    return " ".join(f"{(h << 31) + winnow.PRIME + i:X}" for h, i in marks)
+
+
+EDGES = [(1000 + n, prose(200, 31)[:n]) for n in (0, 1, 3, 4, 5, 11, 12, 13, 26, 27, 28, 29, 35, 36, 37, 39, 40, *range(390, 411, 4))]
+SCRIPTS = [(2001, "".join(chr(0x4E00 + 7 * i) for i in range(600))), (2002, "\t".join(prose(150, 8).split())), (2003, "same " * 200), (2004, "😀é" * 150), (2005, "aaaa" * 100)]
+
+
 def test_fingerprints(spark):
-    rows = sorted({(i, t or "") for i, t in DOCUMENTS if i is not None}) + [(None, "zz")]
+    """Against the rolling recurrence, at every kind of length and script."""
+    rows = sorted({(i, t or "") for i, t in DOCUMENTS if i is not None} | set(EDGES) | set(SCRIPTS)) + [(None, "zz")]
     got = {r.doc_id: r for r in winnow.fingerprints(documents(spark, [(i, t or None) for i, t in rows])).collect()}
-    prints = {}
+    assert len(got) == len(rows)
     for k, (i, t) in enumerate(rows):
         nxt, m, r = rows[(k + 1) % len(rows)][1], len(t) // 4, got[i]
         edited = t[: len(t) - m] + nxt[:m]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert prints.setdefault(t, r.fingerprint) == r.fingerprint and prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
-        a, b, c = (dict.fromkeys(int(v, 16) >> 31 for v in x.split()) for x in (r.fingerprint, r.edited_fingerprint, got[rows[(k + 1) % len(rows)][0]].fingerprint))
-        assert abs(r.near_edited - len(a.keys() & b.keys()) / len(a.keys() | b.keys())) < 1e-12
-        assert abs(r.near_next - len(a.keys() & c.keys()) / len(a.keys() | c.keys())) < 1e-12
+        own, new, after = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(nxt)
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(new)), i
+        a, b, c = ({h for h, _ in x} for x in (own, new, after))
+        assert abs(r.near_edited - len(a & b) / len(a | b)) < 1e-12 and abs(r.near_next - len(a & c) / len(a | c)) < 1e-12
     assert got[1].near_next == 1 and 0.4 < got[15].near_edited < 0.8
     assert winnow.fingerprints(empty(spark)).count() == 0
     one = winnow.fingerprints(documents(spark, [(4, "abcdefgh")])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
-def test_edits_across_the_limit_and_without_spaces(spark):
-    """An edited text that falls below 400 code points, and long texts of one stretch or with tabs."""
-    rows = [(3, prose(100, 3)[:450]), (4, "ab c"), (5, "".join(chr(0x4E00 + 7 * i) for i in range(600))), (6, "\t".join(prose(150, 8).split())), (7, "x")]
+def test_one_kind_of_tokens_at_all_lengths(spark):
+    """A cut at the end, texts without spaces and with tabs: likeness never falls to 0 where most is shared."""
+    base = prose(100, 3)
+    rows = [(1, base[:399]), (2, base[:401]), (3, base[:409]), (4, "x"), *SCRIPTS[:2]]
     got = {r.doc_id: r for r in winnow.fingerprints(documents(spark, rows)).collect()}
-    assert len(rows[0][1]) * 3 // 4 + 4 < winnow.SHORT
-    assert all(got[i].near_edited > 0.4 for i in (3, 5, 6))
-    for i, text in rows[2:4]:
-        tokens = len(text) if i == 5 else len(text.split())
-        at = sorted((1 << 31) - 1 - (int(v, 16) & ((1 << 31) - 1)) for v in got[i].fingerprint.split())
-        assert at[0] < winnow.W and 0 <= tokens - winnow.K - at[-1] < winnow.W and all(b - a <= winnow.W for a, b in zip(at, at[1:], strict=False))
+    assert got[1].near_next > 0.9 and got[2].near_next > 0.9
+    assert all(got[i].near_edited > 0.4 for i in (1, 2, 3, 2001, 2002))
+
+
+def test_winnowing_guarantee_and_ties():
+    """Every shared stretch of K + W - 1 code points shares a selected k-gram; of equal hashes the rightmost is chosen."""
+    a, b = prose(90, 3), prose(40, 4) + prose(90, 3)[100:160] + prose(40, 5)
+    x, y = ({h: -i for h, i in plain_fingerprint(t)} for t in (a, b))
+    assert x.keys() & y.keys()
+    assert [-i for _, i in plain_fingerprint("a" * 100)] == list(range(winnow.W - 1, 100 - winnow.K + 1))
+    positions = [-i for _, i in plain_fingerprint(a)]
+    assert positions[0] < winnow.W and all(q - p <= winnow.W for p, q in zip(positions, positions[1:], strict=False)) and len(a) - winnow.K - positions[-1] < winnow.W
 
 
-def test_winnowing_guarantee_and_ties(spark):
-    """Every window of w k-grams holds a selected one, and it is the rightmost smallest."""
+def test_buckets_follow_the_ids(spark, monkeypatch):
+    """A far id, and ids that are all null, leave the buckets of like size; the next document is right across them."""
     from pyspark.sql import functions as F
 
-    text = prose(90, 3) + " " + "same " * 40
-    assert len(text) >= winnow.SHORT
-    values = spark.createDataFrame([(text.strip(),)], "t string").select(winnow.selected(F.col("t"))).first()[0]
-    tokens = text.strip().split(" ")
-    hashes = [r[0] for r in spark.createDataFrame([(i, *tokens[i : i + winnow.K]) for i in range(len(tokens) - winnow.K + 1)], "i int, a string, b string, c string").selectExpr("i", "xxhash64(xxhash64(a), xxhash64(b), xxhash64(c)) & 4294967295 as h").orderBy("i").select("h").collect()]
-    want = set()
-    for j in range(len(hashes) - winnow.W + 1):
-        part = hashes[j : j + winnow.W]
-        want.add(j + max(k for k, h in enumerate(part) if h == min(part)))
-    assert {(1 << 31) - 1 - (v & ((1 << 31) - 1)) for v in values} == want
+    rows = [(i, f"text {i}") for i in range(600)] + [(1 << 61, "far")] + [(None, f"none {i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", winnow.order_id().alias("id"), winnow.row_key().alias("uid"), "text")
+    sizes = [r["count"] for r in winnow.bucketed(d).groupBy("bucket").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 60
+    got = {(r.doc_id, r.n_chars): r for r in winnow.fingerprints(d.where("doc_id is not null").drop("id", "uid")).collect()}
+    order = sorted(r for r in rows if r[0] is not None)
+    for k, (i, t) in enumerate(order):
+        nxt, m = order[(k + 1) % len(order)][1], len(t) // 4
+        assert got[i, len(t)].edited_sha256 == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest()
+    assert winnow.fingerprints(d.drop("id", "uid")).count() == len(rows)
 
 
 def test_toxicity(spark):
@@ -458,7 +488,7 @@ def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_minhash", "op2_line_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", ["op1_minhash", "op2_line_dedup", "op5_winnowing", "op9_warc"])
 def test_sql(spark, sf, name):
     import __spark_entry__ as e
     from tests.oracle import connect, same
