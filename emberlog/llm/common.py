@@ -11,7 +11,9 @@ Row conventions used by every operator here:
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,18 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; own temporary folder only where none is set (tests)."""
+    """The folder that all executors share. Where none is set, a session in one process gets a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='emberlog-')}"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="emberlog-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables and files lie."""
+    return f"{shared_dir(spark).rstrip('/')}/emberlog-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has written with stored() and new_path(); call it when its results have been saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -141,7 +158,11 @@ def positional(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose order_id() and row_key() are in gone (id, uid)."""
-    left = docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__row_text": F.coalesce("text", F.lit(""))})
-    left = left.withColumn("__row_key", F.xxhash64("__row_id", "__row_text")).drop("__row_text")
-    gone = gone.select(F.col("id").alias("__row_id"), F.col("uid").alias("__row_key"))
-    return left.join(gone, ["__row_id", "__row_key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    own, text, key = (mark + x for x in ("id", "text", "key"))
+    left = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text: F.coalesce("text", F.lit(""))})
+    left = left.withColumn(key, F.xxhash64(own, text)).drop(text)
+    gone = gone.select(F.col("id").alias(own), F.col("uid").alias(key))
+    return left.join(gone, [own, key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -64,7 +64,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     frame, others = positional(docs)
     keep = ("doc_id", "given", *[f"c{k}" for k in range(len(others))])
     out = applied(frame, digests, cut, RESULT, RESULT_SCHEMA, keep=keep)
-    out = out.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    out = out.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")))
     columns = {"doc_id": F.col("doc_id"), "text": F.when(F.col("given").isNotNull(), F.col("text")), **{c: F.col(f"c{k}") for k, c in enumerate(others)}}
     if "n_chars" in others:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])

@@ -2,8 +2,8 @@
 
 An occurrence is (doc_id, position); the smallest one of a digest is the first, all
 others are repeats. Tasks settle what they can see themselves and send one row per
-digest and slice of text, so a digest that is everywhere arrives once per slice, not
-once per occurrence. What was decided returns to a document as the numbers of its units.
+digest and slice of text (``SLICE`` bytes), so a digest that is everywhere arrives once per slice, not
+once per occurrence: 32 MB of texts become one row of some 50 bytes. What was decided returns to a document as the numbers of its units.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .common import order_id, pieces_of, row_key, texts
 
 #: units of one document's bytes: their digests (16 bytes each), end to end
 Digests = Callable[[bytes], bytes]
+SLICE = 32 << 20
 
 SENT = "k1 long, k2 long, id long, uid long, pos int, marks binary"
 SENT_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32()), ("marks", pa.binary())])
@@ -57,7 +58,7 @@ def _slice(part: pa.RecordBatch, digests: Digests) -> Iterator[pa.RecordBatch]:
 def _send(digests: Digests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, SLICE):
                 yield from _slice(part, digests)
 
     return run

@@ -137,6 +137,39 @@ def test_lines_keep_columns(spark):
     assert {r.doc_id for r in kept.collect()} >= {5, 6, 7, 8}
     copy = documents(spark, [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "x")])
     assert sorted(r.doc_id for r in lines.without_repeats(copy).collect()) == [1, 3]
+    blank = documents(spark, [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd\n\t\r\n "), (3, "\t\n")])
+    assert sorted(r.doc_id for r in lines.without_repeats(blank).collect()) == [1, 3]
+
+
+def test_intermediate_tables_are_shared_and_released(spark):
+    import os
+
+    from emberlog.llm import common
+
+    path = common.new_path(spark, "x")
+    common.stored(spark.range(3), "y").count()
+    folder = common.run_dir(spark).removeprefix("file://")
+    assert path.startswith(common.run_dir(spark)) and os.listdir(folder)
+    common.release(spark)
+    assert not os.path.exists(folder)
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://far:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster)
+
+
+def test_names_that_the_operators_use(spark):
+    """Columns that begin as helper columns do are kept as they are."""
+    d = spark.createDataFrame([(1, "a b c d e f g", "x", "y", "z"), (2, "a b c d e f g", "x", "y", "z")], "doc_id long, text string, _id string, __key string, ___row_key string")
+    assert [tuple(r) for r in minhash.without_copies(d, 5, 80).collect()] == [(1, "a b c d e f g", "x", "y", "z")]
 
 
 def test_strings(spark):
@@ -186,17 +219,39 @@ def test_chunks(spark):
             assert got[i].n_bytes == len((t or "").encode()) == got[i].n_removed + len(got[i].text.encode())
 
 
+def plain_cuts(text):
+    """Chunk limits by a hash that rolls over single bytes."""
+    h, marks = 0, []
+    for i, c in enumerate(text):
+        h = (h << 1) + int(chunks.GEAR[c]) & 0xFFFFFFFF
+        if h >> 32 - chunks.BITS == 0:
+            marks.append(i + 1)
+    marks = [x for k, x in enumerate(marks) if not k or x - marks[k - 1] > chunks.LEAST]
+    out = [0]
+    for x in sorted({*marks, len(text)} - {0}):
+        out += [*range(out[-1] + chunks.MOST, x, chunks.MOST), x]
+    return out
+
+
 def test_chunks_against_brute_force(spark):
-    got = {(r.doc_id, r.n_copied_chunks) for r in chunks.dedup_chunks(documents(spark, clash=False)).where("doc_id is not null").collect()}
+    rows = DOCUMENTS + [(60, "äö" * 9000), (61, "q" + "äö" * 9000), (62, "".join(chr(0x4E00 + i * 7 % 900) for i in range(700))), (63, "w" + "".join(chr(0x4E00 + i * 7 % 900) for i in range(50, 700)))]
+    got = {(r.doc_id, r.n_chunks, r.n_copied_chunks, r.n_removed, r.n_spans, r.text) for r in chunks.dedup_chunks(documents(spark, rows, clash=False)).where("doc_id is not null").collect()}
     seen, want = set(), set()
-    for i, t in sorted((i, (t or "").encode()) for i, t in DOCUMENTS if i is not None):
-        at = chunks.cuts(t).tolist()
-        parts = [t[a:b] for a, b in zip(at, at[1:], strict=False)]
-        n = 0
-        for p in parts:
-            n += p in seen
-            seen.add(p)
-        want.add((i, n))
+    for i, t in sorted((i, (t or "").encode()) for i, t in rows if i is not None):
+        at, gone, n = plain_cuts(t), np.zeros(len(t), bool), 0
+        for a, b in zip(at, at[1:], strict=False):
+            n += t[a:b] in seen
+            gone[a:b] = t[a:b] in seen
+            seen.add(t[a:b])
+        # a run that begins or ends inside a character keeps that character's bytes
+        limits, kept, spans = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0])), gone.copy(), 0
+        for a, b in zip(limits[::2].tolist(), limits[1::2].tolist(), strict=True):
+            while a < len(t) and t[a] & 0xC0 == 0x80:
+                kept[a], a = False, a + 1
+            while b < len(t) and t[b] & 0xC0 == 0x80:
+                kept[b - 1], b = False, b - 1
+            spans += b > a
+        want.add((i, len(at) - 1, n, int(kept.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~kept]).decode()))
     assert got == want
 
 
