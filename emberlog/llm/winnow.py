@@ -2,7 +2,7 @@
 
 Tokens are code points at every length. A k-gram's hash is its rolling (Karp-Rabin) value: the k code points as the
 digits of a number to the base ``BASE`` modulo the prime ``PRIME``, so that h[i + 1] is h[i] less its first digit, times
-the base, plus the next code point. Here the values of all positions come from those of shorter grams (1, 4 and 12 code points),
+the base, plus the next code point. Here the values of all positions come from those of shorter grams (1, 2, 4, 8 and 12 code points),
 which is the same number. A k-gram's packed value has the hash, spread over 32 bits, above and, below it, the
 position counted backwards; so the smallest value of a window of ``W`` k-grams is the smallest hash and,
 among equal ones, the rightmost. A fingerprint is the windows' minima with positions (code points from the start).
@@ -50,30 +50,40 @@ def packed(h: Column, i: Column) -> Column:
     return F.shiftleft(F.shiftright(h * _long(SPREAD), 31), 31) + (_long(_LAST) - i)
 
 
+def _with_later(values: Column, n: int, later: Column, body) -> Column:
+    """body of every element and the one n places after it in ``later``; null where there is none."""
+    return F.zip_with(values, F.slice(later, n + 1, F.greatest(F.size(later) - n, F.lit(0))), body)
+
+
+def _joined(n: int):
+    """Values of grams, followed by grams of n code points."""
+    return lambda x, y: (x * _power(n) + y) % _long(PRIME)
+
+
 def grams(codes: Column) -> Column:
     """Packed values of all k-grams of an array of code points (longs)."""
 
-    def fours(c: Column) -> Column:
-        return F.transform(c, lambda x, i: (x * _power(3) + F.get(c, i + 1) * _power(2) + F.get(c, i + 2) * _power(1) + F.get(c, i + 3)) % _long(PRIME))
+    def double(n: int, body):
+        return lambda h: _let(_with_later(h, n, h, _joined(n)), body)
 
-    def twelves(h: Column) -> Column:
-        then = lambda x, y: (x * _power(4) + y) % _long(PRIME)
-        values = F.transform(h, lambda x, i: packed(then(then(x, F.get(h, i + 4)), F.get(h, i + 8)), i))
-        return F.slice(values, 1, F.size(h) - (K - 1))
+    def twelves(h4: Column) -> Column:
+        whole = _let(_with_later(h4, 4, h4, _joined(4)), lambda h8: _with_later(h8, 8, h4, _joined(4)))
+        return F.transform(F.slice(whole, 1, F.size(h4) - (K - 1)), packed)
 
     def one(c: Column) -> Column:
         return F.array(packed(F.aggregate(c, _long(0), lambda h, x: (h * _long(BASE) + x) % _long(PRIME)), F.lit(0)))
 
-    return _let(codes, lambda c: F.when(F.size(c) >= K, _let(fours(c), twelves)).otherwise(one(c)))
+    return _let(codes, lambda c: F.when(F.size(c) >= K, double(1, double(2, twelves))(c)).otherwise(one(c)))
 
 
 def minima(values: Column) -> Column:
-    """The smallest value of every window, by those of windows of 4."""
+    """The smallest value of every window, by those of windows of half its size."""
 
-    def step(n: int):
-        return lambda g: F.transform(g, lambda x, i: F.least(x, F.get(g, i + n), F.get(g, i + 2 * n), F.get(g, i + 3 * n)))
+    def halves(n: int, body):
+        return lambda g: _let(_with_later(g, n, g, lambda x, y: F.least(x, y)), body)
 
-    return _let(values, lambda g: F.slice(_let(step(1)(g), step(4)), 1, F.greatest(F.size(g) - (W - 1), F.lit(1))))
+    whole = halves(1, halves(2, halves(4, lambda g: _with_later(g, 8, g, lambda x, y: F.least(x, y)))))
+    return _let(values, lambda g: F.slice(whole(g), 1, F.greatest(F.size(g) - (W - 1), F.lit(1))))
 
 
 def window_minima(text: Column) -> Column:
