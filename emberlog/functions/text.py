@@ -6,6 +6,8 @@ Lengths are counted in code points.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,30 +18,56 @@ from ..config import QUEUE_PREFIX, REDACTED
 # white space that are meant, so both are spelled out.
 WORD = "[A-Za-z0-9_]"
 LIMIT = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 NO_SPACE = SPACE.replace("[", "[^&#", 1)
-EMAIL = f"(?i){LIMIT}[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}{LIMIT}"
-BEARER = f"(?i){LIMIT}Bearer{SPACE}+[A-Z0-9._-]+{LIMIT}"
-THREE_PARTS = f"{LIMIT}[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+{LIMIT}"
-DIGITS = f"{LIMIT}[0-9]{{9,}}{LIMIT}"
-PARAMETER = f"(?i)([?&](?:token|email|phone|name|user|auth|session|password)=){NO_SPACE}*"
+
+
+def _from(run: str, signs: str) -> str:
+    """Start of a match that begins with a whole run of ``run``: at the run's first limit, which is its first letter, digit or underscore.
+
+    All limits of a run lead to the same end, so only the first one is tried and a run is read once. ``signs``, what
+    may stand before it in the run, is group 1. A match that ends inside a run leaves its rest to the next one (\\G).
+    """
+    return f"(?:\\G{LIMIT}|(?<!{run})([{signs}]*+)){run}++"
+
+
+EMAIL = f"(?i){_from('[A-Z0-9._%+-]', '.%+-')}@[A-Z0-9.-]+\\.[A-Z]{{2,}}{LIMIT}"
+BEARER = f"(?i){LIMIT}Bearer{SPACE}++[A-Z0-9._-]+{LIMIT}"
+THREE_PARTS = f"{_from('[A-Za-z0-9_-]', '-')}\\.[A-Za-z0-9_-]++\\.[A-Za-z0-9_-]+{LIMIT}"
+DIGITS = f"{LIMIT}[0-9]{{9,}}+{LIMIT}"
+PARAMETER = f"(?i)([?&](?:token|email|phone|name|user|auth|session|password)=){NO_SPACE}*+"
+
+#: what a text must hold for a pattern to match, at less cost; the pattern; what is put in its place
+RULES: tuple[tuple[Callable[[Column], Column], str, str], ...] = (
+    (lambda t: F.contains(t, F.lit("@")), EMAIL, f"$1{REDACTED}"),
+    (lambda t: t.rlike("[Bb][Ee][Aa][Rr][Ee][Rr]"), BEARER, f"Bearer {REDACTED}"),
+    (lambda t: F.contains(t, F.lit(".")) & t.rlike("\\.[A-Za-z0-9_-]++\\.[A-Za-z0-9_-]"), THREE_PARTS, f"$1{REDACTED}"),
+    (lambda t: t.rlike("[0-9]{9}"), DIGITS, REDACTED),
+    (lambda t: F.contains(t, F.lit("=")) & (F.contains(t, F.lit("?")) | F.contains(t, F.lit("&"))), PARAMETER, f"$1{REDACTED}"),
+)
 
 
 def redact(text: Column) -> Column:
     """E-mail addresses, bearer tokens, three dotted parts, long digit runs and telling query parameters, in this order."""
-    for pattern, put in ((EMAIL, REDACTED), (BEARER, f"Bearer {REDACTED}"), (THREE_PARTS, REDACTED), (DIGITS, REDACTED), (PARAMETER, f"$1{REDACTED}")):
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(put))
+    for rule in RULES:
+        text = let(text, partial(_put, rule))
     return text
 
 
+def _put(rule: tuple[Callable[[Column], Column], str, str], text: Column) -> Column:
+    gate, pattern, put = rule
+    return F.when(gate(text), F.regexp_replace(text, F.lit(pattern), F.lit(put))).otherwise(text)
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(f"^{SPACE}+|{SPACE}+$"), F.lit(""))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def single_line(text: Column, most: int) -> Column:
     """Control characters and runs of white space become one space; redacted, then cut. Null gives ''."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("\\p{Cc}"), F.lit(" "))
-    flat = F.trim(F.regexp_replace(flat, F.lit(f"{SPACE}+"), F.lit(" ")))
+    flat = F.trim(F.regexp_replace(flat, F.lit(f"{SPACE}++"), F.lit(" ")))
     return F.substring(redact(flat), 1, most)
 
 
@@ -76,8 +104,8 @@ def storage_key(source: Column, channel: Column) -> Column:
 
 def is_sensitive(key: Column, keys: tuple[str, ...]) -> Column:
     """Does the key contain one of the redact keys?"""
-    low = F.lower(trim(key))
-    return F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(low, k))
+    # one pass over the keys; the key itself is trimmed and lower-cased once
+    return let(F.lower(trim(key)), lambda low: reduce(or_, [F.contains(low, F.lit(k)) for k in keys], F.lit(False)))
 
 
 def secure_endpoint(url: Column) -> Column:

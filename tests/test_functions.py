@@ -1,4 +1,7 @@
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +40,41 @@ def test_redaction(spark):
     assert got["a" * 238 + " b@c.de"] == "a" * 238 + " ["  # the mark itself may be cut
 
 
+#: the five patterns as they are meant, without look-behinds and possessive parts
+PLAIN = [
+    (r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED]", re.I | re.A),
+    (rf"\bBearer{model.SPACE}+[A-Z0-9._-]+\b", "Bearer [REDACTED]", re.I | re.A),
+    (r"\b[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[REDACTED]", re.A),
+    (r"\b\d{9,}\b", "[REDACTED]", re.A),
+    (rf"([?&](?:token|email|phone|name|user|auth|session|password)=){model.SPACE.replace('[', '[^&#', 1)}*", r"\1[REDACTED]", re.I | re.A),
+]
+
+
+def plain_redact(t):
+    for pattern, put, flags in PLAIN:
+        t = re.sub(pattern, put, t, flags=flags)
+    return t
+
+
+def test_redaction_of_random_texts(spark):
+    rng, parts = random.Random(2), [*"a1_-.%+@ é?&=\n", "@b.co", "x.y", "--", "..", "12345678", "Bearer ", "&token=", "?USER=", "ab"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 16))) for _ in range(6000)]
+    want = [plain_redact(t) for t in texts]
+    assert [model.redact(t) for t in texts] == want
+    assert column(spark, texts, text.redact) == want
+    blanks = [rng.choice(["", " ", "\u3000\t", "\ufeff"]) + t + rng.choice(["", "\x85", " \n", "\u2028"]) for t in texts[:300]]
+    assert column(spark, blanks, text.trim) == [re.sub(rf"\A{model.SPACE}+|{model.SPACE}+\Z", "", t) for t in blanks] == [model.trim(t) for t in blanks]
+
+
+@pytest.mark.parametrize("run", ["a-", "-", "a.", "a@", "a.a.", "ab", "9", " ", "a-@", "-.", "Bearer -", "?name=", "x@a.b1", "%", "a\n "])
+def test_long_runs_cost_no_more_than_their_length(spark, run):
+    long = run * (1_000_000 // len(run))
+    start = time.perf_counter()
+    got = column(spark, [long, long + "."], lambda v: F.octet_length(F.concat(text.redact(v), text.multi_line(v, 1800), text.single_line(v, 240), text.trim(v))))
+    model.single_line(long, 240), model.multi_line(long, 240)
+    assert len(got) == 2 and time.perf_counter() - start < 12
+
+
 def test_hash(spark):
     values = ["", "a", "é", "😀x", "hello world", "日本"]
     want = [model.string_hash(v) for v in values]
