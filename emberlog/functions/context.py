@@ -28,13 +28,15 @@ def dumps(value) -> str:
 
 
 def merge_json(default: Column, event: Column) -> Column:
-    """Two JSON objects in one, keys in order of first mention; the event's values win."""
+    """Two JSON objects in one, keys in order of first mention; the event's values win. What isn't an object is {}."""
+    empty = F.from_json(F.lit("{}"), "map<string,variant>")
+    entries = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), empty)
 
-    @F.pandas_udf("string")
-    def merged(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([dumps({**_object(x), **_object(y)}) for x, y in zip(a, b, strict=True)])
+    def merged(a: Column, b: Column) -> Column:
+        won = F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), F.when(F.map_contains_key(b, e["key"]), F.element_at(b, e["key"])).otherwise(e["value"]).alias("value")))
+        return F.to_json(F.map_concat(F.map_from_entries(won), F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k))))
 
-    return merged(default, event)
+    return text.let(entries(default), lambda a: text.let(entries(event), lambda b: merged(a, b)))
 
 
 def _number(value) -> str:

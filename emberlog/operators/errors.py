@@ -18,14 +18,19 @@ from .identity import crash_identity
 def extract(df: DataFrame) -> DataFrame:
     """name, message and stack of the columns ``error`` (struct) or ``raw`` (text).
 
-    A struct without a usable message gives itself as JSON; without either column's value the error is unknown.
+    A struct without a usable message gives itself as JSON; without either column's value the error is unknown. The optional
+    column ``thrown`` says what was thrown: for ``error``, a real one, only an empty name or message has a stand-in; for ``other``,
+    what is neither an error, an object nor a text, ``raw`` is its text.
     """
     e = F.col("error") if "error" in df.columns else F.lit(None).cast("struct<name:string,message:string,stack:string>")
     raw = F.col("raw") if "raw" in df.columns else F.lit(None).cast("string")
     blank = lambda c: F.length(text.trim(F.coalesce(c, F.lit("")))) == 0
-    name = F.when(e.isNotNull(), F.when(blank(e["name"]), "Error").otherwise(e["name"])).when(raw.isNotNull(), "Error").otherwise("UnknownError")
-    message = F.when(e.isNotNull(), F.when(blank(e["message"]), text.single_line(F.to_json(e), 240)).otherwise(e["message"])).when(raw.isNotNull(), raw).otherwise("Unknown error")
-    return df.withColumns({"_name": name, "_message": message, "_stack": F.when(e.isNotNull(), e["stack"])})
+    thrown = F.col("thrown") if "thrown" in df.columns else F.lit(None).cast("string")
+    real, other = e.isNotNull() & (F.coalesce(thrown, F.lit("")) == "error"), F.coalesce(thrown, F.lit("")) == "other"
+    empty = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    name = F.when(other, "UnknownError").when(real, empty(e["name"], "Error")).when(e.isNotNull(), F.when(blank(e["name"]), "Error").otherwise(e["name"])).when(raw.isNotNull(), "Error").otherwise("UnknownError")
+    message = F.when(other, text.or_else(text.single_line(raw, 240), "Unknown error")).when(real, empty(e["message"], "Unknown error")).when(e.isNotNull(), F.when(blank(e["message"]), text.single_line(F.to_json(e), 240)).otherwise(e["message"])).when(raw.isNotNull(), raw).otherwise("Unknown error")
+    return df.withColumns({"_name": name, "_message": message, "_stack": F.when(e.isNotNull() & ~other, e["stack"])})
 
 
 def details(boundary: Column, name: Column, message: Column, stack: Column, component_stack: Column, handled: Column, severity: Column, tags: Column, cfg: ErrorReporting, known: Column | None = None) -> Column:

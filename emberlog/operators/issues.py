@@ -7,6 +7,7 @@ collected for it is cut down first: rows that can't fire never reach the fold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,27 +40,49 @@ def ranked(reports: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def window_counts(records: DataFrame, window_ms: int) -> DataFrame:
-    """seq, fingerprint, timestamp and ``cnt``: errors in the window when each arrived. For arrivals in order of time."""
-    e = errors_of(records).select("seq", "fingerprint", "timestamp")
-    reach = Window.partitionBy("fingerprint").orderBy("timestamp").rangeBetween(-window_ms, Window.currentRow)
-    peers = Window.partitionBy("fingerprint", "timestamp").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    return e.withColumn("cnt", F.count("*").over(reach) - F.count("*").over(peers))
+    """seq, fingerprint, timestamp and ``cnt``: errors in the window when each arrived. For arrivals in order of time.
+
+    Time is cut into slices of a window's width. A row also goes to the next slice, which its window may reach, so a
+    fingerprint that is everywhere is dealt by slices.
+    """
+    return _window_counts(errors_of(records).select("seq", "fingerprint", "timestamp"), window_ms)
+
+
+def _window_counts(e: DataFrame, window_ms: int) -> DataFrame:
+    own = F.floor(F.col("timestamp") / F.lit(max(window_ms, 1)))
+    e = e.withColumn("_own", own).withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    reach = Window.partitionBy("fingerprint", "_slice").orderBy("timestamp").rangeBetween(-window_ms, Window.currentRow)
+    peers = Window.partitionBy("fingerprint", "_slice", "timestamp").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    return e.withColumn("cnt", F.count("*").over(reach) - F.count("*").over(peers)).where("_own = _slice").drop("_own", "_slice")
 
 
 def folded_counts(records: DataFrame, window_ms: int) -> DataFrame:
-    """The same for arrivals in any order: an error stays only while no later arrival has put it out of its window."""
+    """The same for arrivals in any order: an error stays only while no later arrival has put it out of its window.
+
+    A fold in order of arrival over sorted rows that come in parts; a heap holds what is in the window.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        alive: list[int] = []
-        counts = []
-        for t in pdf["timestamp"].tolist():
-            alive = [x for x in [*alive, t] if x >= t - window_ms]
-            counts.append(len(alive))
-        return pdf.assign(cnt=counts)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, alive = None, []
+        for pdf in batches:
+            counts = []
+            for f, t in zip(pdf["fingerprint"].tolist(), pdf["timestamp"].tolist(), strict=True):
+                if f != key:
+                    key, alive = f, []
+                counts.append(arrived(alive, t, window_ms))
+            yield pdf.assign(cnt=counts)
 
     e = errors_of(records).select("seq", "fingerprint", "timestamp")
-    return e.groupBy("fingerprint").applyInPandas(fold, "seq long, fingerprint string, timestamp long, cnt long")
+    ordered = e.repartition("fingerprint").sortWithinPartitions("fingerprint", "seq")
+    return ordered.mapInPandas(run, "seq long, fingerprint string, timestamp long, cnt long")
+
+
+def arrived(alive: list[int], t: int, window_ms: int) -> int:
+    """Puts a timestamp into the heap of a window, takes out what it ends, and returns how many are left."""
+    heappush(alive, t)
+    while alive[0] < t - window_ms:
+        heappop(alive)
+    return len(alive)
 
 
 def triggers(counts: DataFrame, threshold: int, window_ms: int) -> DataFrame:
@@ -103,7 +126,6 @@ def trigger_rows(records: DataFrame, cfg: Config, in_order: bool = True) -> Data
 def seeded_triggers(restored: DataFrame, records: DataFrame, cfg: Config) -> DataFrame:
     """Triggers of records when restored ones came first: those are counted, never fire and set no cooldown."""
     limit, width = cfg.errors.threshold_count, cfg.errors.threshold_window_ms
-    both = restored.withColumn("restored", F.lit(True)).unionByName(records.withColumn("restored", F.lit(False)))
-    flags = both.select("seq", "restored")
-    counts = window_counts(both, width).join(flags, "seq").where("not restored").drop("restored")
+    marked = [errors_of(r).select("seq", "fingerprint", "timestamp", F.lit(flag).alias("restored")) for r, flag in ((restored, True), (records, False))]
+    counts = _window_counts(marked[0].unionByName(marked[1]), width).where("not restored").drop("restored")
     return triggers(counts, limit, width)

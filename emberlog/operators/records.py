@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import text
 from ..functions.context import merge_json
 from .errors import stored_error
 
 
-
 def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
     """The column, or nulls where the table has none."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
@@ -32,8 +32,8 @@ def inject_channel(context: Column, channel: Column, runtime: Column) -> Column:
     return F.when(added == "", body).otherwise(F.concat(opened, F.when(F.size(keys) > 0, ",").otherwise(""), added, F.lit("}")))
 
 
-def is_object(text: Column) -> Column:
-    return F.coalesce(F.trim(text).startswith("{") & F.json_object_keys(text).isNotNull(), F.lit(False))
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.trim(value).startswith("{") & F.json_object_keys(value).isNotNull(), F.lit(False))
 
 
 def merged_context(context: Column, channel: Column, cfg: Config) -> Column:
@@ -67,7 +67,7 @@ def normalize_events(events: DataFrame, cfg: Config, now_ms: int | None = None)
         channel.alias("channel"),
         F.lit(cfg.runtime).alias("runtime"),
         *[_column(events, c).alias(c) for c in ("label", "href", "variant")],
-        F.nullif(F.trim(_column(events, "request_id")), F.lit("")).alias("request_id"),
+        F.nullif(text.trim(_column(events, "request_id")), F.lit("")).alias("request_id"),
         F.lit(cfg.source).alias("source"),
         F.coalesce(_column(events, "session_id"), F.lit(cfg.session_id)).alias("session_id"),
         F.coalesce(_column(events, "timestamp", "long"), now).alias("timestamp"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, backend
@@ -37,7 +37,7 @@ def _raw_events(spark: SparkSession, d: str) -> DataFrame:
             "channel": F.when(s % 4 == 0, None).otherwise(F.col("channel")),
             "label": F.when(s % 2 == 0, F.concat(F.lit("label "), "k")),
             "href": F.concat(F.lit("/p?token=x&k="), "k"),
-            "request_id": F.when(s % 3 == 0, F.concat(F.lit("  req_"), s, F.lit(" "))).when(s % 3 == 1, "   "),
+            "request_id": F.when(s % 3 == 0, F.concat(F.lit("\t req_"), s, F.lit(" \n"))).when(s % 3 == 1, " \t\u00a0\n"),
             "timestamp": F.when(s % 11 == 0, None).otherwise(F.col("timestamp")),
         }
     )
@@ -80,8 +80,8 @@ def events_with_error(spark, d):
 def _reports(spark, d):
     """Documents as error reports."""
     i = F.col("doc_id")
-    error = F.struct(F.when(i % 5 == 0, " ").when(i % 5 == 1, None).otherwise(F.concat(F.lit("Name"), i % 7)).alias("name"), F.substring("text", 1, 400).alias("message"), F.when(i % 2 == 0, F.col("text")).alias("stack"))
-    return _docs(spark, d).select("doc_id", F.col("source").alias("boundary"), error.alias("error"), F.col("text").alias("component_stack"), F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("handled"), F.when(i % 4 == 0, "fatal").alias("severity"), F.split(F.substring("text", 1, 60), " ").alias("tags"))
+    error = F.struct(F.when(i % 5 == 0, " ").when(i % 5 == 1, None).otherwise(F.concat(F.lit("Name"), i % 7)).alias("name"), F.col("text").alias("message"), F.when(i % 2 == 0, F.col("text")).alias("stack"))
+    return _docs(spark, d).select("doc_id", F.col("source").alias("boundary"), error.alias("error"), F.col("text").alias("component_stack"), F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("handled"), F.when(i % 4 == 0, "fatal").alias("severity"), F.split("text", " ").alias("tags"))
 
 
 def errors_normalize(spark, d):
@@ -92,7 +92,8 @@ def errors_normalize(spark, d):
 def errors_extract(spark, d):
     i = F.col("doc_id")
     error = F.when(i % 4 < 2, F.struct(F.when(i % 2 == 0, "Named").otherwise("  ").alias("name"), F.when(i % 8 < 4, F.col("source")).otherwise("").alias("message"), F.lit("s").alias("stack")))
-    e = errors.extract(_docs(spark, d).withColumns({"error": error, "raw": F.when(i % 4 == 2, F.col("text"))}))
+    thrown = F.when(i % 8 == 7, "other").when(i % 8 == 4, "error")
+    e = errors.extract(_docs(spark, d).withColumns({"error": error, "raw": F.when((i % 4 == 2) | (i % 16 == 7), F.col("text")), "thrown": thrown}))
     return e.select("doc_id", F.col("_name").alias("name"), F.col("_message").alias("message"), F.col("_stack").alias("stack"))
 
 
@@ -141,8 +142,8 @@ def _turns(spark, d):
 
 
 def _queued(spark, d):
-    """Records of two clients, one per channel."""
-    return tables.events(spark, d).withColumn("queue_key", F.col("channel"))
+    """Records of clients: one per session."""
+    return tables.events(spark, d).withColumn("queue_key", F.col("session_id"))
 
 
 def queue_cap(spark, d):
@@ -155,7 +156,7 @@ def flush_batches(spark, d):
 
 def flush_envelopes(spark, d):
     b = delivery.cut_batches(_queued(spark, d).drop("user_id", "value", "k"), CFG.batch_size)
-    return delivery.envelopes(b, CFG, sent_at_ms=AS_OF).select("queue_key", "batch_no", "source", "channel", "runtime", "sent_at", "n_events", "first_seq", "last_seq", F.size(F.from_json("body", "struct<events:array<string>>").events).alias("n_body"))
+    return delivery.envelopes(b, CFG, sent_at_ms=AS_OF).select("queue_key", "batch_no", "source", "channel", "runtime", "sent_at", "n_events", "first_seq", "last_seq", "body")
 
 
 def batch_admission(spark, d):
@@ -206,13 +207,13 @@ def sanitize_multiline(spark, d):
 
 
 def tags_normalize(spark, d):
-    words = F.split(F.substring("text", 1, 120), "[ \n]")
+    words = F.split("text", "[ \n]")
     t = text.tags(F.concat(words, F.array(F.lit(" "), F.lit("last"))), 10, 240)
     return _docs(spark, d).select("doc_id", F.array_join(t, "|").alias("tags"), F.size(t).alias("n_tags"))
 
 
 def storage_key(spark, d):
-    source = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" My App/"), F.substring("text", 1, 12)))
+    source = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" My App/"), "text"))
     return _docs(spark, d).select("doc_id", text.storage_key(source, F.lit("backend")).alias("storage_key"))
 
 
@@ -244,9 +245,7 @@ def issue_reports(spark, d):
 
 
 def issue_reports_ranked(spark, d):
-    r = issues.ranked(_issues(spark, d))
-    from pyspark.sql import Window
-
+    r = issues.ranked(_issues(spark, d), 20)  # what a report shows: so few rows that one task numbers them
     place = F.row_number().over(Window.orderBy(F.desc("count"), F.desc("last_seen"), F.asc("first_seq")))
     return r.select(place.alias("place"), "fingerprint", "count", "last_seen")
 
@@ -255,6 +254,23 @@ def issue_window_count(spark, d):
     return issues.window_counts(tables.error_records(spark, d), WINDOW)
 
 
+def issue_window_count_late(spark, d):
+    r = tables.error_records(spark, d).withColumn("seq", (F.col("seq") * 7919) % 100_003)
+    return issues.folded_counts(r, WINDOW)
+
+
+def issue_triggers_late(spark, d):
+    r = tables.error_records(spark, d).withColumn("seq", (F.col("seq") * 7919) % 100_003)
+    t = issues.trigger_rows(r, issue_config(), in_order=False)
+    return t.select("seq", "fired_at", F.col("report.fingerprint").alias("fingerprint"), F.col("report.count").alias("count"))
+
+
+def issue_reports_of_errors(spark, d):
+    """Issues of whole error reports, with fingerprints computed from them."""
+    r = issues.issue_reports(errors.errors_to_records(tables.reports(spark, d), CFG), 7 * 86_400_000, AS_OF - 86_400_000)
+    return r.select("fingerprint", "boundary", "count", "first_seen", "last_seen", "severity", F.col("sample.message").alias("message"))
+
+
 def issue_triggers(spark, d):
     t = issues.trigger_rows(tables.error_records(spark, d), issue_config())
     return t.select("source", "channel", "runtime", "threshold_count", "window_ms", "seq", "fired_at", F.col("report.fingerprint").alias("fingerprint"), F.col("report.count").alias("count"), F.col("report.severity").alias("severity"))
@@ -290,7 +306,7 @@ _ALL = (
     events_normalize, events_mixed_channels, events_component_bound, events_disabled, events_with_error, errors_normalize, errors_extract, errors_to_records, errors_context, errors_gated,
     context_merge, context_inject, context_redact, context_breadth, context_tree, identifiers_explode, endpoint_secure, batch_admission, queue_cap, flush_batches, flush_envelopes, queue_restore,
     redact_text, sanitize_single_line, sanitize_multiline, tags_normalize, storage_key, string_hash, storage_hash, fingerprint, crash_identity,
-    issue_reports, issue_reports_ranked, issue_window_count, issue_triggers, issue_seeded,
+    issue_reports, issue_reports_ranked, issue_reports_of_errors, issue_window_count, issue_window_count_late, issue_triggers, issue_triggers_late, issue_seeded,
 )
 
 

@@ -14,7 +14,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 ERROR = _struct(boundary=_S, name=_S, message=_S, fingerprint=_S, handled=T.BooleanType(), severity=_S, stack=_S, component_stack=_S, tags=T.ArrayType(_S))
 EVENT = _struct(seq=_L, component=_S, action=_S, kind=_S, channel=_S, label=_S, href=_S, variant=_S, request_id=_S, context=_S, timestamp=_L, error=ERROR)
-REPORT = _struct(seq=_L, boundary=_S, error=_struct(name=_S, message=_S, stack=_S), raw=_S, component_stack=_S, handled=T.BooleanType(), severity=_S, tags=T.ArrayType(_S), context=_S, channel=_S, timestamp=_L)
+REPORT = _struct(seq=_L, boundary=_S, error=_struct(name=_S, message=_S, stack=_S), raw=_S, thrown=_S, component_stack=_S, handled=T.BooleanType(), severity=_S, tags=T.ArrayType(_S), context=_S, channel=_S, timestamp=_L)
 RECORD = _struct(id=_S, seq=_L, kind=_S, component=_S, action=_S, channel=_S, runtime=_S, label=_S, href=_S, variant=_S, request_id=_S, source=_S, session_id=_S, timestamp=_L, context=_S, error=ERROR)
 ISSUE = _struct(fingerprint=_S, boundary=_S, count=_L, first_seen=_L, last_seen=_L, severity=_S, sample=ERROR)
 TRIGGER = _struct(source=_S, channel=_S, runtime=_S, threshold_count=T.IntegerType(), window_ms=_L, report=ISSUE)

@@ -46,11 +46,17 @@ def send_batch(records: DataFrame, cfg: Config, sent_at_ms: int) -> DataFrame:
     return made.where(~ok).drop("has_error")
 
 
-def deliver(records: DataFrame, cfg: Config, checkpoint: str, clock: Callable[[], int], drain: bool = False, refused: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Starts delivery every flush interval; ``drain``: sends what is there and stops. ``refused`` gets the envelopes that the endpoint may not have."""
+def deliver(records: DataFrame, cfg: Config, checkpoint: str, clock: Callable[[], int], drain: bool = False, refused: Callable[[DataFrame], None] | None = None, dead_letters: str | None = None) -> StreamingQuery:
+    """Starts delivery every flush interval; ``drain``: sends what is there and stops.
 
-    def each(batch: DataFrame, _: int) -> None:
+    ``refused`` gets the envelopes that the endpoint may not have; they are also appended to the Parquet
+    table ``dead_letters``, with ``batch_id`` (a repeated micro-batch replaces its own) and ``reason``.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
         left = send_batch(batch, cfg, clock())
+        if dead_letters is not None and cfg.endpoint:
+            left.withColumn("reason", F.lit(f"errors need an https or local endpoint, not {cfg.endpoint}")).write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch_id={batch_id}")
         if refused is not None:
             refused(left)
 

@@ -1,6 +1,6 @@
 """Issue counts and triggers over a stream, with keyed state.
 
-State of a fingerprint: the timestamps in its window and when it fired last. Rows of a
+State of a fingerprint: the timestamps in its window (a heap) and when it fired last. Rows of a
 micro-batch come in no order, so they are sorted by seq. There is no watermark: late
 errors count as they do in the batch form. ``ttl_ms`` bounds the state of keys that fell silent; it
 must be the window at least, and is by processing time.
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.issues import errors_of
+from ..operators.issues import arrived, errors_of
 
 OUT = "fingerprint string, seq long, timestamp long, cnt long, fired boolean"
 
@@ -36,10 +36,10 @@ class IssueState(StatefulProcessor):
         counts, fired = [], []
         seeded = pdf["restored"].tolist() if "restored" in pdf else [False] * len(pdf)
         for t, quiet in zip(pdf["timestamp"].tolist(), seeded, strict=True):
-            alive = [x for x in [*alive, t] if x >= t - self.window]
-            ok = not quiet and len(alive) >= self.threshold and (last is None or t - last >= self.window)
+            n = arrived(alive, t, self.window)
+            ok = not quiet and n >= self.threshold and (last is None or t - last >= self.window)
             last = t if ok else last
-            counts.append(len(alive))
+            counts.append(n)
             fired.append(ok)
         self.state.update(([int(x) for x in alive], None if last is None else int(last)))
         yield pd.DataFrame({"fingerprint": key[0], "seq": pdf["seq"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy(), "cnt": counts, "fired": fired})

@@ -13,7 +13,7 @@ def test_matches_duckdb(spark, sf, name):
 
 
 def test_every_query_is_known(spark, sf):
-    assert set(queries.queries()) - set(SQL) == {"context_tree"}
+    assert set(queries.queries()) == set(SQL)
 
 
 def test_entry(spark):
