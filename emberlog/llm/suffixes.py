@@ -6,7 +6,7 @@ positions whose gram has the smallest hash of such a string (anchors, about one
 same wherever the string stands. So only suffixes that begin at anchors are sorted, each with the
 bytes before it that a string around the anchor can reach.
 
-1. Documents are dealt to blocks. A block sends the hashes of its anchors' grams; those of two documents
+1. Documents are dealt to blocks of about ``block_bytes``. A block sends the hashes of its anchors' grams; those of two documents
    or more return to it.
 2. For these anchors the block sends its batch: a sorted array of suffixes with the smallest
    doc_id of each. Batches that meet in a bucket of grams go into a family: a batch is a level, and levels of like size
@@ -371,12 +371,15 @@ def _cut_block(table: pa.Table, back: pa.Table) -> pa.Table:
     return _cut(table, first, second)
 
 
-def spans(docs: DataFrame, per_block: int = 600) -> DataFrame:
-    """doc_id, n_bytes, starts and ends (of the removed runs) and kept (the remaining bytes) of every document."""
+def spans(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, n_bytes, starts and ends (of the removed runs) and kept (the remaining bytes) of every document.
+
+    ``block_bytes``: of the texts of a block, on average; a task needs some 50 times as much memory.
+    """
     d = texts(docs).select("doc_id", order_id().alias("id"), row_key().alias("uid"), "text")
-    n = docs.count()
+    n = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = shuffle_partitions(docs.sparkSession)
-    blocks, buckets = max(2 * parts, n // per_block), max(2 * parts, 2 * n // per_block)
+    blocks, buckets = max(2 * parts, n // block_bytes), max(2 * parts, 2 * n // block_bytes)
     d = d.select("doc_id", "id", "text", F.pmod(F.xxhash64("id", "uid"), F.lit(blocks)).cast("int").alias("block"))
     grams = d.groupBy("block").applyInArrow(_send_grams(buckets), _schema(GRAMS))
     again = grams.groupBy("bucket").applyInArrow(_repeated, _schema(AGAIN))

@@ -173,7 +173,7 @@ def test_names_that_the_operators_use(spark):
 
 
 def test_strings(spark):
-    got = suffixes.spans(documents(spark), per_block=3).collect()
+    got = suffixes.spans(documents(spark), block_bytes=500).collect()
     assert len(got) == len(DOCUMENTS) + 2
     least = {}
     rows = [(NULL if i is None else i, (t or "").encode()) for i, t in DOCUMENTS]
@@ -195,7 +195,7 @@ def test_strings(spark):
 
 def test_zero_bytes_and_periods(spark):
     rows = [(1, "\0" * 70 + "abc"), (2, "x" + "\0" * 60), (3, "ab" * 80), (4, "ba" * 40 + "q" + "ab" * 30), (5, "y" * 49), (6, "y" * 49), (7, "y" * 50), (8, "y" * 51)]
-    got = {r.doc_id: bytes(r.kept) for r in suffixes.spans(documents(spark, rows), per_block=1).collect()}
+    got = {r.doc_id: bytes(r.kept) for r in suffixes.spans(documents(spark, rows), block_bytes=20).collect()}
     assert got == {1: rows[0][1].encode(), 2: b"x", 3: rows[2][1].encode(), 4: b"q", 5: b"y" * 49, 6: b"y" * 49, 7: b"y" * 50, 8: b""}
 
 
