@@ -1,20 +1,25 @@
 """Removal of every 50-byte string that also starts in a document with a smaller doc_id.
 
-Suffixes are sorted in batches and merged per bucket into one array; no index is kept. A full suffix array of all positions
-isn't needed: a string of ``LENGTH`` bytes holds ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes, and the
+Documents come in batches of ascending doc_ids (``BATCHES``; their limits are approximate quantiles). A batch's suffixes are sorted
+into an array, the array is merge-scanned against the levels of those before it for matches of ``LENGTH`` bytes,
+and then it joins them as a level; levels of like size are merged, so that sizes grow geometrically. What a
+batch loses is thus found in itself and in the levels of smaller doc_ids alone.
+
+A suffix array of all positions isn't needed: a string of ``LENGTH`` bytes holds ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes, and the
 positions whose gram has the smallest hash of such a string (anchors, about one in 14) are the
 same wherever the string stands. So only suffixes that begin at anchors are sorted, each with the
 bytes before it that a string around the anchor can reach.
 
-1. Documents are dealt to blocks of about ``block_bytes``. A block sends the hashes of its anchors' grams; those of two documents
+1. A batch is dealt to blocks of about ``block_bytes``. A block sends the hashes of its anchors' grams; those of two documents
    or more return to it.
-2. For these anchors the block sends its batch: a sorted array of suffixes with the smallest
-   doc_id of each. Batches that meet in a bucket of grams go into a family: a batch is a level, and levels of like size
-   are merged, so that sizes grow geometrically. That only bounds the work of merging: before strings are matched, all levels
-   become one array. Strings around suffixes of one gram are then grouped by 64-bit hashes, and every string gets its smallest doc_id.
+2. For these anchors the block sends its sorted suffixes with the smallest doc_id of each, by buckets of grams. A bucket has a family
+   of levels: batches are scanned in turn. Suffixes of the array and of a level that share their gram are a range of
+   both; the strings around them are compared by 64-bit hashes.
 3. What a block's suffixes found returns to it, and the covered bytes are removed.
 
-A gram that is everywhere arrives once per block, not once per occurrence. All three
+A gram that is everywhere arrives once per block and surroundings, not once per occurrence. A gram of more than
+``HOT`` blocks is parted by its neighbours: strings that begin close to it go to the bucket of the gram and the bytes after it, the
+others to that of the gram and the bytes before. Every string is still judged in one place. All three
 passes read one shuffle of the texts.
 
 Overlaps count, strings are judged on the input, and matches never cross documents. Null
@@ -34,6 +39,9 @@ from .common import encoded, mix, order_id, row_key, shuffle_partitions, texts
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
 LEFT = SPAN - 1
+NEAR = SPAN // 2  # strings around a frequent gram that begin at most so far before it are parted from the others
+HOT = 64
+BATCHES = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(501, 757, dtype=np.uint64))
 KEY = np.dtype(f"S{LENGTH + LEFT + 2}")  # suffix, bytes before it, their lengths
@@ -94,11 +102,11 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, h[found]
 
 
-def contexts(data: np.ndarray, at: np.ndarray, where: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Keys of anchors: LENGTH bytes from the anchor, LEFT bytes before it (nearest first), both filled with zeros, and their numbers plus 1."""
+def contexts(data: np.ndarray, at: np.ndarray, where: np.ndarray, doc: np.ndarray, before: np.ndarray | int = LEFT, after: np.ndarray | int = LENGTH) -> np.ndarray:
+    """Keys of anchors: LENGTH bytes from the anchor (``after`` at most), LEFT bytes before it (``before`` at most, nearest first), both filled with zeros, and their numbers plus 1."""
     padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
     out = np.zeros((len(where), KEY.itemsize), np.uint8)
-    left, right = np.minimum(where - at[doc], LEFT), np.minimum(at[doc + 1] - where, LENGTH)
+    left, right = np.minimum(where - at[doc], before), np.minimum(at[doc + 1] - where, after)
     for k in range(LENGTH):
         out[:, k] = np.where(k < right, padded[where + (LEFT + k)], 0)
     for k in range(LEFT):
@@ -118,6 +126,9 @@ def key_hashes(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+NONE = np.iinfo(np.int64).max
+
+
 class Level:
     """Sorted distinct suffixes with the smallest id of each."""
 
@@ -130,6 +141,10 @@ class Level:
     def __len__(self) -> int:
         return len(self.keys)
 
+    def grams(self) -> np.ndarray:
+        rows = self.keys.view(np.uint8).reshape(len(self), KEY.itemsize)
+        return np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").ravel()
+
 
 class Family:
     """Levels whose sizes grow geometrically."""
@@ -138,70 +153,107 @@ class Family:
         self.levels: list[Level] = []
 
     def add(self, keys: np.ndarray, ids: np.ndarray) -> None:
-        """Takes a batch in; levels no larger than twice what comes above them are merged with it."""
-        level = Level(keys, ids)
+        """Takes a batch in as a level."""
+        self.join(Level(keys, ids))
+
+    def join(self, level: Level) -> None:
+        """Levels no larger than twice what comes above them are merged with it."""
         while self.levels and len(self.levels[-1]) <= 2 * len(level):
             low = self.levels.pop()
             level = Level(np.concatenate([low.keys, level.keys]), np.concatenate([low.ids, level.ids]))
         self.levels.append(level)
 
-    def smallest(self) -> tuple[Level, np.ndarray]:
-        """All suffixes, and for each the smallest id of the SPAN strings around it (by bytes before the anchor; NONE: no such string)."""
-        while len(self.levels) > 1:
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level(np.concatenate([b.keys, a.keys]), np.concatenate([b.ids, a.ids])))
-        level = self.levels[0] if self.levels else Level(np.zeros(0, KEY), np.zeros(0, np.int64))
-        return level, _strings(level)
+    def scan(self, new: Level) -> np.ndarray:
+        """For each suffix of a batch the smallest id, in the batch and in all levels, of the SPAN strings around it (by bytes before the anchor; NONE: no such string)."""
+        n = len(new)
+        out = np.where(_whole(new.keys), new.ids[:, None], NONE)
+        if not n:
+            return out
+        grams = new.grams()
+        heads = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        counts = np.diff(np.r_[heads, n])
+        grams = grams[heads]
+        shared, ranges = counts > 1, []
+        for level in self.levels:
+            # neither array is searched as a whole but for ranges of equal grams
+            known = level.grams()
+            low, high = np.searchsorted(known, grams, "left"), np.searchsorted(known, grams, "right")
+            shared |= high > low
+            ranges.append(_each(low, high))
+        some = np.flatnonzero(np.repeat(shared, counts))
+        if not len(some):
+            return out
+        found = _Strings(new.keys[some], new.ids[some])
+        for level, at in zip(self.levels, ranges, strict=True):
+            if len(at):
+                found.lower(*_smallest(*_flat(level.keys[at], level.ids[at])[:2]))
+        out[some] = found.table()
+        return out
 
 
-NONE = np.iinfo(np.int64).max
+def _each(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0], ..., high[0] - 1, low[1], ..."""
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _strings(level: Level) -> np.ndarray:
-    n = len(level)
-    rows = level.keys.view(np.uint8).reshape(n, KEY.itemsize)
+def _whole(keys: np.ndarray) -> np.ndarray:
+    """Which of the SPAN strings around each anchor lie within its key."""
+    rows = keys.view(np.uint8).reshape(len(keys), KEY.itemsize)
     left, right = rows[:, -2].astype(np.int64) - 1, rows[:, -1].astype(np.int64) - 1
-    taken = np.arange(SPAN)[None, :]
-    valid = (taken <= left[:, None]) & (LENGTH - taken <= right[:, None])
-    out = np.where(valid, level.ids[:, None], NONE)
-    if n < 2:
-        return out
-    # suffixes that share their gram are neighbours; bytes are compared in full, so zeros within texts don't matter
-    same = (rows[1:, :GRAM] == rows[:-1, :GRAM]).all(1)
-    shared = np.r_[same, False] | np.r_[False, same]
-    some = np.flatnonzero(shared)
-    if not len(some):
-        return out
-    group = np.cumsum(np.r_[True, ~same])[some].astype(np.uint64)
+    before = np.arange(SPAN)[None, :]
+    return (before <= left[:, None]) & (LENGTH - before <= right[:, None])
+
+
+def _flat(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and ids of all strings around the anchors, and which strings these are. Zeros within texts don't matter, since only whole strings are taken."""
+    ok = _whole(keys)
+    rows = keys.view(np.uint8).reshape(len(keys), KEY.itemsize)
     order = [*range(LENGTH + LEFT - 1, LENGTH - 1, -1), *range(LENGTH)]  # as in the text
-    text = _BYTE[rows[some][:, order]]
+    text = _BYTE[rows[:, order]]
     power = _powers(LENGTH + 1)
     # hashes of all strings around the anchor by one rolling pass over the columns
-    h = np.zeros(len(some), np.uint64)
+    h = np.zeros(len(keys), np.uint64)
     for k in range(LENGTH):
         h = h * _BASE + text[:, k]
-    hashes = np.zeros((len(some), SPAN), np.uint64)
+    hashes = np.zeros((len(keys), SPAN), np.uint64)
     hashes[:, LEFT] = h
     for first in range(1, SPAN):
         h = (h - text[:, first - 1] * power[LENGTH - 1]) * _BASE + text[:, first + LENGTH - 1]
         hashes[:, LEFT - first] = h
-    hashes = mix(hashes + mix(group)[:, None] + mix(np.arange(SPAN, dtype=np.uint64))[None, :])
-    ok = valid[some]
-    ids = np.broadcast_to(level.ids[some][:, None], ok.shape)[ok]
-    flat = hashes[ok]
-    by = np.argsort(flat, kind="stable")
-    new = np.flatnonzero(np.r_[True, flat[by][1:] != flat[by][:-1]])
-    least = np.minimum.reduceat(ids[by], new)
-    back = np.empty(len(flat), np.int64)
-    back[by] = least[np.cumsum(np.r_[False, flat[by][1:] != flat[by][:-1]])]
-    part = out[some]
-    part[ok] = back
-    out[some] = part
-    return out
+    hashes += mix(np.arange(SPAN, dtype=np.uint64))[None, :]
+    return mix(hashes[ok]), np.broadcast_to(ids[:, None], ok.shape)[ok], ok
+
+
+def _smallest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, and the smallest id of each."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, ids = hashes[order], ids[order]
+    new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else order
+    return hashes[new], np.minimum.reduceat(ids, new) if len(new) else ids
+
+
+class _Strings:
+    """The distinct strings around a batch's suffixes with the smallest id that is known of each."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        flat, ids, self.ok = _flat(keys, ids)
+        self.hashes, self.ids = _smallest(flat, ids)
+        self.at = np.searchsorted(self.hashes, flat)
+
+    def lower(self, hashes: np.ndarray, ids: np.ndarray) -> None:
+        if len(hashes) and len(self.hashes):
+            place = np.minimum(np.searchsorted(hashes, self.hashes), len(hashes) - 1)
+            self.ids = np.where(hashes[place] == self.hashes, np.minimum(self.ids, ids[place]), self.ids)
+
+    def table(self) -> np.ndarray:
+        out = np.full(self.ok.shape, NONE)
+        out[self.ok] = self.ids[self.at]
+        return out
 
 
 GRAMS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("several", pa.binary())])
-AGAIN = pa.schema([("block", pa.int32()), ("grams", pa.binary())])
+AGAIN = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("hot", pa.binary())])
 BATCH = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("most", pa.binary())])
 FOUND = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -227,6 +279,11 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 _SHORT = np.uint64((1 << 48) - 1)  # with the bucket, that is a gram's hash but for a few bits; what is taken too much costs time, no result
 
 
+def _named(short: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """One number for both, so that all blocks take a gram as frequent or none does."""
+    return mix(short + mix(np.asarray(bucket, np.uint64) + np.uint64(1)))
+
+
 def _short(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -276,39 +333,59 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    blocks = table.column("block").to_pylist()
+    blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
     parts = [_wide(x) for x in table.column("grams").to_pylist()]
     marks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
     every = np.sort(np.concatenate(parts))
     twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(p[m] for p, m in zip(parts, marks, strict=True))]))
+    hot = np.searchsorted(every, twice, "right") - np.searchsorted(every, twice, "left") > HOT
     del every
     rows = []
     if len(twice):
-        for block, p in zip(blocks, parts, strict=True):
-            hit = p[twice[np.minimum(np.searchsorted(twice, p), len(twice) - 1)] == p]
-            if len(hit):
-                rows.append((block, _short(hit)))
+        for block, bucket, p in zip(blocks, buckets, parts, strict=True):
+            place = np.minimum(np.searchsorted(twice, p), len(twice) - 1)
+            hit = twice[place] == p
+            if hit.any():
+                rows.append((block, bucket, _short(p[hit]), np.packbits(hot[place[hit]]).tobytes()))
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(AGAIN)], schema=AGAIN)
 
 
-def _wanted(table: pa.Table, again: pa.Table):
-    """The block's anchors whose grams returned, with their keys."""
+def _wanted(table: pa.Table, again: pa.Table, buckets: int):
+    """The block's anchors whose grams returned, with their keys and buckets; a frequent gram has two of each."""
     data, at, where, h, doc, ids = _block(table)
-    known = np.sort(np.concatenate([np.zeros(0, "<u8"), *map(_wide, again.column("grams").to_pylist())]))
-    short = h & _SHORT
-    hit = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short if len(known) else np.zeros(len(h), bool)
-    where, h, doc = where[hit], h[hit], doc[hit]
-    return data, at, where, h, doc, ids
+    parts = [_wide(x) for x in again.column("grams").to_pylist()]
+    known = np.concatenate([np.zeros(0, "<u8"), *(_named(p, b) for p, b in zip(parts, again.column("bucket").to_pylist(), strict=True))])
+    often = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(again.column("hot").to_pylist(), parts, strict=True))]).astype(bool)
+    order = np.argsort(known)
+    known, often = known[order], often[order]
+    bucket = _bucket(h, buckets)
+    named = _named(h & _SHORT, bucket)
+    place = np.minimum(np.searchsorted(known, named), max(0, len(known) - 1))
+    hit = known[place] == named if len(known) else np.zeros(len(h), bool)
+    where, doc, bucket, often = where[hit], doc[hit], bucket[hit], often[place[hit]] if len(known) else hit[:0]
+    left, right = where - at[doc], at[doc + 1] - where
+    # strings with at most NEAR bytes before the anchor; those with more
+    first, second = np.flatnonzero(often & (right >= LENGTH - NEAR)), np.flatnonzero(often & (left > NEAR))
+    rest = np.flatnonzero(~often)
+    take = np.concatenate([rest, first, second])
+    before = np.repeat([LEFT, NEAR, LEFT], [len(rest), len(first), len(second)])
+    after = np.repeat([LENGTH, LENGTH, LENGTH - NEAR - 1], [len(rest), len(first), len(second)])
+    keys = contexts(data, at, where[take], doc[take], before, after)
+    # the bytes that all strings of a part hold
+    core = keys[len(rest) :].copy().view(np.uint8).reshape(-1, KEY.itemsize)
+    core[: len(first), LENGTH - NEAR :] = 0
+    core[len(first) :, GRAM:LENGTH] = 0
+    core[len(first) :, LENGTH + NEAR + 1 :] = 0
+    bucket = np.concatenate([bucket[rest], _bucket(key_hashes(core.reshape(-1).view(KEY)), buckets)])
+    return data, at, where[take], doc[take], ids, keys, bucket
 
 
 def _send_batch(buckets: int):
     def run(table: pa.Table, again: pa.Table) -> pa.Table:
         if not table.num_rows:
             return BATCH.empty_table()
-        data, at, where, h, doc, ids = _wanted(table, again)
-        block = table.column("block")[0].as_py()
-        keys, who = contexts(data, at, where, doc), ids[doc]
-        bucket = _bucket(h, buckets)
+        _, _, _, doc, ids, keys, bucket = _wanted(table, again, buckets)
+        block, who = table.column("block")[0].as_py(), ids[doc]
         order = np.argsort(bucket, kind="stable")
         rows = []
         for b, x, y in _split(bucket[order]):
@@ -320,25 +397,33 @@ def _send_batch(buckets: int):
     return run
 
 
-def _scan(table: pa.Table) -> pa.Table:
-    blocks = table.column("block").to_pylist()
-    batches = [(_unpack(k, KEY), _unpack(i, "<i8"), _unpack(i, "<i8") + _unpack(m, "<i8")) for k, i, m in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "most")), strict=True)]
-    family = Family()
-    for keys, ids, _ in batches:
-        family.add(keys, ids)
-    level, least = family.smallest()
-    lowest = least.min(1)
-    rows = []
-    for block, (keys, _, most) in zip(blocks, batches, strict=True):
-        at = np.searchsorted(level.keys, keys)
-        useful = lowest[at] < most  # some document of the block loses something
-        if useful.any():
-            rows.append((block, key_hashes(keys[useful]).tobytes(), _pack(least[at[useful]])))
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(FOUND)], schema=FOUND)
+def _scan(first: list[int]):
+    """``first``: the first block of each batch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = np.array(table.column("block").to_pylist(), np.int64)
+        batch = np.searchsorted(first, blocks, "right")
+        columns = [table.column(c).to_pylist() for c in ("keys", "ids", "most")]
+        family, rows = Family(), []
+        for b in np.unique(batch).tolist():
+            own = np.flatnonzero(batch == b).tolist()
+            keys, ids, span = ([_unpack(column[k], kind) for k in own] for column, kind in zip(columns, (KEY, "<i8", "<i8"), strict=True))
+            level = Level(np.concatenate(keys), np.concatenate(ids))
+            least = family.scan(level)
+            lowest = least.min(1)
+            for k, part, low, more in zip(own, keys, ids, span, strict=True):
+                at = np.searchsorted(level.keys, part)
+                useful = lowest[at] < low + more  # some document of the block loses something
+                if useful.any():
+                    rows.append((int(blocks[k]), key_hashes(part[useful]).tobytes(), _pack(least[at[useful]])))
+            family.join(level)
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(FOUND)], schema=FOUND)
+
+    return run
 
 
-def _cut(table: pa.Table, again: pa.Table, found: pa.Table) -> pa.Table:
-    data, at, where, _, doc, ids = _wanted(table, again)
+def _cut(table: pa.Table, again: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
+    data, at, where, doc, ids, keys, _ = _wanted(table, again, buckets)
     n = len(data)
     edge = np.zeros(n + 1, np.int64)
     if found.num_rows:
@@ -346,7 +431,7 @@ def _cut(table: pa.Table, again: pa.Table, found: pa.Table) -> pa.Table:
         least = np.concatenate([_unpack(x, "<i8").reshape(-1, SPAN) for x in found.column("ids").to_pylist()])
         order = np.argsort(known)
         known, least = known[order], least[order]
-        h = key_hashes(contexts(data, at, where, doc))
+        h = key_hashes(keys)
         place = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[place] == h
         where, doc, place = where[hit], doc[hit], place[hit]
@@ -362,13 +447,14 @@ def _cut(table: pa.Table, again: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(CUT)], schema=CUT)
 
 
-def _cut_block(table: pa.Table, back: pa.Table) -> pa.Table:
-    if not table.num_rows:
-        return CUT.empty_table()
-    kind = np.array(back.column("kind").to_pylist(), bool) if back.num_rows else np.zeros(0, bool)
-    first = back.filter(pa.array(~kind)).select(["block", "keys"]).rename_columns(["block", "grams"])
-    second = back.filter(pa.array(kind)).select(["block", "keys", "ids"])
-    return _cut(table, first, second)
+def _cut_block(buckets: int):
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return CUT.empty_table()
+        kind = np.array(back.column("bucket").is_null().to_pylist(), bool) if back.num_rows else np.zeros(0, bool)
+        return _cut(table, back.filter(pa.array(~kind)).rename_columns(AGAIN.names), back.filter(pa.array(kind)).rename_columns(["block", "bucket", "keys", "ids"]), buckets)
+
+    return run
 
 
 def spans(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
@@ -377,16 +463,24 @@ def spans(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
     ``block_bytes``: of the texts of a block, on average; a task needs some 50 times as much memory.
     """
     d = texts(docs).select("doc_id", order_id().alias("id"), row_key().alias("uid"), "text")
-    n = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = shuffle_partitions(docs.sparkSession)
-    blocks, buckets = max(2 * parts, n // block_bytes), max(2 * parts, 2 * n // block_bytes)
-    d = d.select("doc_id", "id", "text", F.pmod(F.xxhash64("id", "uid"), F.lit(blocks)).cast("int").alias("block"))
+    limits = d.agg(F.percentile_approx("id", [k / BATCHES for k in range(1, BATCHES)], 1000).alias("x")).first().x or []
+    batch = sum((F.when(F.col("id") > x, 1).otherwise(0) for x in sorted(set(limits))), F.lit(0))
+    # one row per batch
+    size = {r.batch: r.n for r in d.groupBy(batch.alias("batch")).agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    n, last = sum(size.values()), max(size, default=0)
+    count = [max(1, size.get(k, 0) // block_bytes, 2 * parts * size.get(k, 0) // max(1, n)) for k in range(last + 1)]
+    first = np.cumsum([0, *count[:-1]]).tolist()
+    buckets = max(2 * parts, 2 * n // block_bytes)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), batch + 1)
+    block = (pick(first) + F.pmod(F.xxhash64("id", "uid"), pick(count))).cast("int")
+    d = d.select("doc_id", "id", "text", block.alias("block"))
     grams = d.groupBy("block").applyInArrow(_send_grams(buckets), _schema(GRAMS))
     again = grams.groupBy("bucket").applyInArrow(_repeated, _schema(AGAIN))
-    batch = d.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_batch(buckets), _schema(BATCH))
-    found = batch.groupBy("bucket").applyInArrow(_scan, _schema(FOUND))
-    back = again.select("block", F.col("grams").alias("keys"), F.lit(None).cast("binary").alias("ids"), F.lit(False).alias("kind")).unionByName(found.withColumn("kind", F.lit(True)))
-    return d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut_block, _schema(CUT))
+    batches = d.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_batch(buckets), _schema(BATCH))
+    found = batches.groupBy("bucket").applyInArrow(_scan(first), _schema(FOUND))
+    back = again.unionAll(found.select("block", F.lit(None).cast("int"), "keys", "ids"))
+    return d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut_block(buckets), _schema(CUT))
 
 
 def dedup_strings(docs: DataFrame) -> DataFrame:

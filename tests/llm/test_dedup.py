@@ -172,7 +172,9 @@ def test_names_that_the_operators_use(spark):
     assert [tuple(r) for r in minhash.without_copies(d, 5, 80).collect()] == [(1, "a b c d e f g", "x", "y", "z")]
 
 
-def test_strings(spark):
+@pytest.mark.parametrize("hot", [0, 64])
+def test_strings(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = suffixes.spans(documents(spark), block_bytes=500).collect()
     assert len(got) == len(DOCUMENTS) + 2
     least = {}
@@ -207,6 +209,44 @@ def test_family_sizes_grow():
     assert sum(sizes) == 33 and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+def test_batches_are_scanned_against_the_levels():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(np.frombuffer(b"ab", np.uint8), 90)) for _ in range(6)]
+    texts = [b"".join(texts[i] for i in rng.integers(0, 6, 4)) for _ in range(60)]
+    family, seen, hits, levels = suffixes.Family(), {}, 0, 0
+    for first, end in ((0, 50), (50, 53), (53, 56), (56, 60)):
+        part = texts[first:end]
+        data, at = np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])
+        where, _ = suffixes.anchors(data, at)
+        doc = np.searchsorted(at, where, "right") - 1
+        level = suffixes.Level(suffixes.contexts(data, at, where, doc), first + doc)
+        least = family.scan(level)
+        for i, t in enumerate(part):
+            for k in range(len(t) - 49):
+                seen.setdefault(t[k : k + 50], first + i)
+        found = {}
+        for key, row in zip(level.keys.view(np.uint8).reshape(-1, suffixes.KEY.itemsize), least.tolist(), strict=True):
+            text = bytes(key[50:76][::-1]) + bytes(key[:50])
+            for before, got in enumerate(row):
+                if before < key[-2] and 50 - before < key[-1]:
+                    w = text[26 - before : 76 - before]
+                    found[w] = min(found.get(w, got), got)
+                else:
+                    assert got == suffixes.NONE
+        assert all(found[t[k : k + 50]] == seen[t[k : k + 50]] for t in part for k in range(len(t) - 49))
+        hits += sum(i < first for i in found.values())
+        family.join(level)
+        levels = max(levels, len(family.levels))
+    assert hits > 1000 and levels > 1
+
+
+def test_ids_that_cannot_be_parted(spark):
+    rows = [(None, prose(80, 1)), (None, prose(80, 1) + " x"), (7, prose(80, 2)), (7, prose(80, 2) + " y"), (7, prose(60, 1))]
+    got = {(r.doc_id, r.n_bytes): r.n_bytes - len(r.kept) for r in suffixes.spans(documents(spark, rows), block_bytes=100).collect()}
+    for i, t in rows:
+        assert (got[i, len(t.encode())] > 300) == (i is None)
+
+
 def test_chunks(spark):
     rows = DOCUMENTS + [(50, prose(300, 70) + PASSAGE), (51, "shifted " + prose(300, 70) + "! and more " + prose(30, 71))]
     got = {r.doc_id: r for r in chunks.dedup_chunks(documents(spark, rows)).where("doc_id is not null").collect()}
