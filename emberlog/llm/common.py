@@ -93,10 +93,9 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces_of(batch: pa.RecordBatch, most: int = 8 << 20):
+def pieces_of(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
     """Slices of a batch with about ``most`` bytes of text each, or one row if it is longer."""
-    column = batch.column(batch.schema.get_field_index("text"))
-    _, at = encoded(column)
+    _, at = encoded(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)

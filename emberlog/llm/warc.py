@@ -3,7 +3,8 @@
 Writing: a page becomes an HTTP response record. Of records with equal payloads of
 ``least`` bytes or more, that with the largest page_id is the response, and the others
 are revisit records without a payload. Spark's text writer puts the CR LF CR LF after
-each record. Files are gzip-compressed and hold ``per_file`` records at most; offsets count bytes of the archive inside.
+each record. Files are gzip-compressed and hold ``per_file`` records and ``file_bytes`` of payload at most (or one record), for which pages are
+written by classes of size; offsets count bytes of the archive inside.
 
 Reading: the marker ``WARC/1.1`` may also stand inside a payload. Every marker in a file
 is a candidate with a successor offset (the end of the record that it would begin). Pointer jumping
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, pieces_of
 
 MARK = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -50,23 +51,42 @@ def record(page: int | None, url: str | None, html: bytes, digest: str, refers:
 def _records(date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True)
+            for part in pieces_of(batch, column="html"):
+                rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
                 made = [record(p, u, h.encode(), d, r, date).decode() for p, u, h, d, r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
 
     return run
 
 
-def write(pages: DataFrame, path: str, least: int = 1000, per_file: int = 4000, date: str = "2024-01-01T00:00:00Z") -> None:
+def _classes(per_file: int, file_bytes: int) -> list[tuple[int, int | None, int]]:
+    """(from, below, records in a file) of the sizes of payloads."""
+    out, low = [], 0
+    while per_file > 1:
+        out.append((low, max(low, file_bytes // per_file), per_file))
+        low, per_file = out[-1][1], per_file // 64
+    return [*out, (low, None, 1)]
+
+
+def write(pages: DataFrame, path: str, least: int = 1000, per_file: int = 4000, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> None:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    long = F.octet_length("html") >= least
+    n, digest = F.octet_length("html"), F.sha1(F.col("html").cast("binary")).alias("digest")
     # one row per digest: partial maxima are made before the shuffle
-    best = p.where(long).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").drop("n")
-    p = p.join(best, "digest", "left").withColumn("refers", F.when(long & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")))
-    out = p.select("page_id", "url", "html", "digest", "refers").mapInArrow(_records(date), "value string")
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    best = p.where(n >= least).select("page_id", digest).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").drop("n")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers")
+    kinds = _classes(per_file, file_bytes)
+    held = [(n >= low) if high is None else (n >= low) & (n < high) for low, high, _ in kinds]
+    used = p.agg(*[F.count_if(h).alias(f"n{k}") for k, h in enumerate(held)]).first()
+    for k, (low, high, records) in enumerate(kinds):
+        if k and not used[k]:
+            continue
+        own = p.where(held[k])
+        # payloads that are too short for revisits aren't shuffled
+        out = own.where(n >= least).select("*", digest).join(best, "digest", "left").select("page_id", "url", "html", "digest", refers)
+        if low < least:
+            out = out.unionAll(own.where(n < least).select("page_id", "url", "html", digest, F.lit(None).cast("long")))
+        out = out.mapInArrow(_records(date), "value string")
+        out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).option("compression", "gzip").text(f"{path}/size-{k}")
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +144,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, file, offset of every record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(_read, RECORD)
 
 

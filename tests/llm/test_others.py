@@ -457,6 +457,19 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", "x" * (10 if i % 3 else 40 * i)) for i in range(120)] + [(200, "u", "y" * 9000), (201, "u", "y" * 9000), (202, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w", per_file=100, file_bytes=4000)
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in got} == {(i, len(h or ""), 201 if i == 200 else None) for i, _, h in rows}
+    files = {}
+    for r in got:
+        n, size = files.get(r.file, (0, 0))
+        files[r.file] = n + 1, size + (r.payload_bytes if r.record_type == "response" else 0)
+    assert all(n == 1 or (n <= 100 and size <= 4000) for n, size in files.values())
+
+
 def test_only_reachable_records():
     payload = warc.record(2, "u", b"inner", "0" * 40, None, "2024-01-01T00:00:00Z") + warc.END
     data = b"".join(warc.record(i, "u", payload * 2, hashlib.sha1(payload * 2).hexdigest(), None, "2024-01-01T00:00:00Z") + warc.END for i in range(5))
