@@ -29,6 +29,8 @@ of fewer than 50 bytes keep everything. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,16 +137,17 @@ class Level:
     def __init__(self, keys: np.ndarray, ids: np.ndarray):
         order = np.argsort(keys, kind="stable")  # merges runs that are sorted already
         keys, ids = keys[order], ids[order]
-        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        fresh = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        new = np.flatnonzero(fresh)
         self.keys, self.ids = keys[new], np.minimum.reduceat(ids, new) if len(new) else ids
+        self.place = np.empty(len(keys), np.int64)  # of each key that was given
+        self.place[order] = np.cumsum(fresh) - 1
+        rows = self.keys.view(np.uint8).reshape(len(self), KEY.itemsize)
+        self.grams = np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").ravel()
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def grams(self) -> np.ndarray:
-        rows = self.keys.view(np.uint8).reshape(len(self), KEY.itemsize)
-        return np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").ravel()
-
 
 class Family:
     """Levels whose sizes grow geometrically."""
@@ -169,15 +172,17 @@ class Family:
         out = np.where(_whole(new.keys), new.ids[:, None], NONE)
         if not n:
             return out
-        grams = new.grams()
+        grams = new.grams
         heads = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         counts = np.diff(np.r_[heads, n])
         grams = grams[heads]
         shared, ranges = counts > 1, []
         for level in self.levels:
             # neither array is searched as a whole but for ranges of equal grams
-            known = level.grams()
-            low, high = np.searchsorted(known, grams, "left"), np.searchsorted(known, grams, "right")
+            low = np.searchsorted(level.grams, grams, "left")
+            high = low.copy()
+            held = np.flatnonzero(level.grams[np.minimum(low, len(level) - 1)] == grams)
+            high[held] = np.searchsorted(level.grams, grams[held], "right")
             shared |= high > low
             ranges.append(_each(low, high))
         some = np.flatnonzero(np.repeat(shared, counts))
@@ -186,7 +191,8 @@ class Family:
         found = _Strings(new.keys[some], new.ids[some])
         for level, at in zip(self.levels, ranges, strict=True):
             if len(at):
-                found.lower(*_smallest(*_flat(level.keys[at], level.ids[at])[:2]))
+                hashes, ids, _ = _flat(level.keys[at], level.ids[at])
+                found.lower(*_smallest(hashes, ids)[:2])
         out[some] = found.table()
         return out
 
@@ -225,12 +231,15 @@ def _flat(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return mix(hashes[ok]), np.broadcast_to(ids[:, None], ok.shape)[ok], ok
 
 
-def _smallest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes, sorted, and the smallest id of each."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, ids = hashes[order], ids[order]
-    new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else order
-    return hashes[new], np.minimum.reduceat(ids, new) if len(new) else ids
+def _smallest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, the smallest id of each, and where each of the given ones stands."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    fresh = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
+    new = np.flatnonzero(fresh)
+    place = np.empty(len(hashes), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return hashes[new], np.minimum.reduceat(ids[order], new) if len(new) else ids, place
 
 
 class _Strings:
@@ -238,8 +247,7 @@ class _Strings:
 
     def __init__(self, keys: np.ndarray, ids: np.ndarray):
         flat, ids, self.ok = _flat(keys, ids)
-        self.hashes, self.ids = _smallest(flat, ids)
-        self.at = np.searchsorted(self.hashes, flat)
+        self.hashes, self.ids, self.at = _smallest(flat, ids)
 
     def lower(self, hashes: np.ndarray, ids: np.ndarray) -> None:
         if len(hashes) and len(self.hashes):
@@ -264,16 +272,19 @@ def _schema(s: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in s)
 
 
-def _pack(a: np.ndarray) -> bytes:
+@cache
+def _zstd():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    import zstandard
+def _pack(a: np.ndarray) -> bytes:
+    return _zstd()[0].compress(a.tobytes())
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_zstd()[1].decompress(b), kind)
 
 
 _SHORT = np.uint64((1 << 48) - 1)  # with the bucket, that is a gram's hash but for a few bits; what is taken too much costs time, no result
@@ -314,14 +325,11 @@ def _send_grams(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         _, _, _, h, doc, ids = _block(table)
         block = table.column("block")[0].as_py()
-        order = np.lexsort((ids[doc], h))
+        order = np.argsort(h)
         h, who = h[order], ids[doc][order]
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        ends = np.r_[new[1:], len(h)] - 1 if len(h) else new
-        grams, several = h[new], who[new] != who[ends]
-        bucket = _bucket(grams, buckets)
-        order = np.argsort(bucket, kind="stable")
-        grams, several, bucket = grams[order], several[order], bucket[order]
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        grams, several = h[new], np.maximum.reduceat(who, new) != np.minimum.reduceat(who, new) if len(new) else np.zeros(0, bool)
+        bucket = _bucket(grams, buckets)  # ascending, as grams are
         rows = [(b, block, _short(grams[x:y]), np.packbits(several[x:y]).tobytes()) for b, x, y in _split(bucket)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(GRAMS)], schema=GRAMS)
 
@@ -386,12 +394,13 @@ def _send_batch(buckets: int):
             return BATCH.empty_table()
         _, _, _, doc, ids, keys, bucket = _wanted(table, again, buckets)
         block, who = table.column("block")[0].as_py(), ids[doc]
-        order = np.argsort(bucket, kind="stable")
-        rows = []
-        for b, x, y in _split(bucket[order]):
-            k, i = keys[order[x:y]], who[order[x:y]]
-            level = Level(k, i)
-            rows.append((b, block, _pack(level.keys), _pack(level.ids), _pack(-Level(k, -i).ids - level.ids)))
+        order = np.argsort(keys, kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        keys, who, bucket = keys[order], who[order], bucket[order]
+        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])][: len(keys)])
+        low, high = (f.reduceat(who, new) if len(new) else who for f in (np.minimum, np.maximum))
+        keys, bucket = keys[new], bucket[new]
+        rows = [(b, block, _pack(keys[x:y]), _pack(low[x:y]), _pack(high[x:y] - low[x:y])) for b, x, y in _split(bucket)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(BATCH)], schema=BATCH)
 
     return run
@@ -411,8 +420,9 @@ def _scan(first: list[int]):
             level = Level(np.concatenate(keys), np.concatenate(ids))
             least = family.scan(level)
             lowest = least.min(1)
-            for k, part, low, more in zip(own, keys, ids, span, strict=True):
-                at = np.searchsorted(level.keys, part)
+            ends = np.cumsum([0, *map(len, keys)]).tolist()
+            for k, part, low, more, x, y in zip(own, keys, ids, span, ends[:-1], ends[1:], strict=True):
+                at = level.place[x:y]
                 useful = lowest[at] < low + more  # some document of the block loses something
                 if useful.any():
                     rows.append((int(blocks[k]), key_hashes(part[useful]).tobytes(), _pack(least[at[useful]])))
