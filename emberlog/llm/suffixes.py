@@ -292,7 +292,7 @@ _SHORT = np.uint64((1 << 48) - 1)  # with the bucket, that is a gram's hash but
 
 def _named(short: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
     """One number for both, so that all blocks take a gram as frequent or none does."""
-    return mix(short + mix(np.asarray(bucket, np.uint64) + np.uint64(1)))
+    return mix(short + mix(np.atleast_1d(np.asarray(bucket, np.uint64)) + np.uint64(1)))
 
 
 def _short(h: np.ndarray) -> bytes:
