@@ -88,3 +88,38 @@ def _down(text: bytes, i: int) -> int:
 def dedup_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_copied_chunks, n_removed (bytes), n_spans, kept_sha256 and the remaining text."""
     return applied(texts(docs), digests, cut, RESULT, RESULT_SCHEMA, keep=("doc_id",))
+
+
+#: DuckDB: the same rows as dedup_chunks() where ids are unique; bytes as hexadecimal digits, chunks compared as a whole.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+m0 AS (SELECT b, (b + 1)::UHUGEINT * 13787848793156543929 % 18446744073709551616 AS x FROM range(256) AS t(b)),
+m1 AS (SELECT b, xor(x, x >> 27) * 10723151780598845931 % 18446744073709551616 AS x FROM m0),
+gear AS (SELECT printf('%02X', b) AS c, (xor(x, x >> 31) >> 32)::BIGINT AS g FROM m1),
+q AS (SELECT doc_id, q, substring(h, 2 * q + 1, 1024) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS q FROM d)),
+y AS (SELECT doc_id, q + i + 1 AS p, substring(part, 2 * i + 1, 2) AS c FROM (SELECT doc_id, q, part, unnest(range(0, length(part) // 2)) AS i FROM q)),
+h0 AS (SELECT doc_id, p, g AS v FROM y JOIN gear USING (c)),
+h1 AS (SELECT doc_id, p, (v + 2 * lag(v, 1, 0) OVER o) % 4294967296 AS v FROM h0 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+h2 AS (SELECT doc_id, p, (v + 4 * lag(v, 2, 0) OVER o) % 4294967296 AS v FROM h1 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+h3 AS (SELECT doc_id, p, (v + 16 * lag(v, 4, 0) OVER o) % 4294967296 AS v FROM h2 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+h4 AS (SELECT doc_id, p, (v + 256 * lag(v, 8, 0) OVER o) % 4294967296 AS v FROM h3 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+h5 AS (SELECT doc_id, p, (v + 65536 * lag(v, 16, 0) OVER o) % 4294967296 AS v FROM h4 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+u AS (SELECT doc_id, p, p - lag(p, 1, -17) OVER (PARTITION BY doc_id ORDER BY p) AS room FROM h5 WHERE v < 134217728),
+l AS (SELECT doc_id, p FROM u WHERE room > 16 UNION SELECT doc_id, 0 FROM d UNION SELECT doc_id, length(h) // 2 FROM d),
+e AS (SELECT doc_id, p AS a, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS z FROM l),
+c AS (SELECT doc_id, s, least(s + 4096, z) AS z FROM (SELECT doc_id, unnest(range(a, z, 4096)) AS s, z FROM e WHERE z IS NOT NULL)),
+x AS (SELECT doc_id, s, z, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1 AS copied
+      FROM (SELECT doc_id, s, c.z, substring(h, 2 * s + 1, 2 * (c.z - s)) AS w FROM c JOIN d USING (doc_id))),
+i AS (SELECT *, sum((NOT copied)::INTEGER) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM x),
+r0 AS (SELECT doc_id, min(s) AS a, max(z) AS z FROM i WHERE copied GROUP BY doc_id, span),
+r1 AS (SELECT doc_id, h, a + length(regexp_extract(substring(h, 2 * a + 1, 8), '^([89AB].)*')) // 2 AS a,
+       CASE WHEN 2 * z = length(h) THEN z ELSE z - length(regexp_extract(substring(h, 2 * greatest(z - 3, 0) + 1, 2 * (1 + least(z, 3))), '([89AB].)*$')) // 2 END AS z
+       FROM r0 JOIN d USING (doc_id)),
+k AS (SELECT doc_id, h, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM r1 WHERE z > a),
+t AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS n_spans, max(z) AS rest, string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM k GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (copied) AS n_copied FROM x GROUP BY doc_id),
+o AS (SELECT *, unhex(coalesce(kept, '') || substring(h, 2 * coalesce(rest, 0) + 1)) AS left_over FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id))
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_chunks, 0)::INTEGER AS n_chunks, coalesce(n_copied, 0)::INTEGER AS n_copied_chunks,
+       coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::INTEGER AS n_spans, sha256(left_over) AS kept_sha256, decode(left_over) AS text
+FROM o
+"""

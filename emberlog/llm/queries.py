@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.ORACLE, "op2_line_dedup": lines.ORACLE, "op5_winnowing": winnow.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op2_line_dedup": lines.ORACLE, "op5_winnowing": winnow.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op9_warc": warc.ORACLE, "op10_chunk_dedup": chunks.ORACLE}

@@ -496,3 +496,24 @@ def spans(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
 def dedup_strings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     return spans(docs).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB: the same rows as dedup_strings() where ids are unique; every 50-byte string is grouped by itself, as hexadecimal digits.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, q, length(h) // 2 - 49 - q AS last, substring(h, 2 * q + 1, 2 * (512 + 49)) AS part
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) AS q FROM d)),
+w AS (SELECT doc_id, q + i AS p, substring(part, 2 * i + 1, 100) AS w
+      FROM (SELECT doc_id, q, part, unnest(range(0, least(512, last))) AS i FROM b)),
+f AS (SELECT w, min(doc_id) AS least_id FROM w GROUP BY w HAVING max(doc_id) > min(doc_id)),
+r AS (SELECT doc_id, p FROM w JOIN f USING (w) WHERE doc_id > least_id),
+n AS (SELECT *, p - lag(p, 1, -51) OVER (PARTITION BY doc_id ORDER BY p) > 50 AS begins FROM r),
+g AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM n),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM s),
+t AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS n_spans, max(z) AS rest,
+      string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""

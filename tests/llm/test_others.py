@@ -501,7 +501,7 @@ def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_minhash", "op2_line_dedup", "op5_winnowing", "op9_warc"])
+@pytest.mark.parametrize("name", ["op1_minhash", "op2_line_dedup", "op5_winnowing", "op6_suffix_dedup", "op9_warc", "op10_chunk_dedup"])
 def test_sql(spark, sf, name):
     import __spark_entry__ as e
     from tests.oracle import connect, same
