@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, lines, middle, minhash, packing, resample, suffixes, toxicity, warc, wavelet, winnow
+from . import chunks, decontaminate, lines, middle, minhash, packing, resample, secret_scan, suffixes, toxicity, warc, wavelet, winnow
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.dedup_chunks(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +63,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_decontamination, op4_best_fit_packing, op5_winnowing, op6_suffix_dedup, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup, op12_importance_resampling, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_minhash, op2_line_dedup, op3_decontamination, op4_best_fit_packing, op5_winnowing, op6_suffix_dedup, op7_token_ids, op8_toxicity, op9_warc, op10_chunk_dedup, op11_secret_scan, op12_importance_resampling, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
