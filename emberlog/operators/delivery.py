@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import secure_endpoint
+from .ranks import positions
 
 
 def queue_cap(records: DataFrame, most: int, queue: Column | str = "queue_key", order: str = "seq") -> DataFrame:
@@ -16,9 +17,10 @@ def queue_cap(records: DataFrame, most: int, queue: Column | str = "queue_key",
 
 
 def cut_batches(records: DataFrame, size: int, queue: str = "queue_key", order: str = "seq") -> DataFrame:
-    """records with ``batch_no`` (from 0) and ``batch_pos`` within their queue."""
-    n = F.row_number().over(Window.partitionBy(queue).orderBy(order)) - 1
-    return records.withColumns({"batch_no": F.floor(n / size).cast("long"), "batch_pos": (n % size).cast("int")})
+    """records with ``batch_no`` (from 0) and ``batch_pos`` within their queue. A queue with most of the rows is dealt by slices of its order."""
+    n = F.col("_place")
+    placed = positions(records, [queue], order, "_place")
+    return placed.withColumns({"batch_no": F.floor(n / size).cast("long"), "batch_pos": (n % size).cast("int")}).drop("_place")
 
 
 def admission(batches: DataFrame, endpoint: Column, secure_only: bool, keys: list[str]) -> DataFrame:
@@ -48,7 +50,7 @@ def event_json(df: DataFrame) -> Column:
 def envelopes(batches: DataFrame, cfg: Config, sent_at_ms: int, queue: str = "queue_key") -> DataFrame:
     """One envelope per batch: its events in order, as JSON. A batch holds ``batch_size`` events at most."""
     rows = batches.withColumn("_json", event_json(batches))
-    g = rows.groupBy(queue, "batch_no").agg(F.count("*").cast("int").alias("n_events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.array_sort(F.collect_list(F.struct("batch_pos", "_json"))).alias("_events"))
+    g = rows.groupBy(queue, "batch_no").agg(F.count("*").cast("int").alias("n_events"), F.bool_or(F.col("kind") == "error").alias("has_error"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.array_sort(F.collect_list(F.struct("batch_pos", "_json"))).alias("_events"))
     head = F.to_json(F.struct(F.lit(cfg.source).alias("source"), F.lit(cfg.channel).alias("channel"), F.lit(cfg.runtime).alias("runtime"), F.lit(sent_at_ms).cast("long").alias("sentAt")))
     body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"events":['), F.array_join(F.transform("_events", lambda e: e["_json"]), ","), F.lit("]}"))
-    return g.select(queue, "batch_no", F.lit(cfg.source).alias("source"), F.lit(cfg.channel).alias("channel"), F.lit(cfg.runtime).alias("runtime"), F.lit(sent_at_ms).cast("long").alias("sent_at"), "n_events", "first_seq", "last_seq", body.alias("body"))
+    return g.select(queue, "batch_no", F.lit(cfg.source).alias("source"), F.lit(cfg.channel).alias("channel"), F.lit(cfg.runtime).alias("runtime"), F.lit(sent_at_ms).cast("long").alias("sent_at"), "n_events", "has_error", "first_seq", "last_seq", body.alias("body"))

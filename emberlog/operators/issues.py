@@ -1,19 +1,18 @@
 """Errors of one fingerprint as issues: counts in a sliding window, reports and triggers.
 
-``seq`` is the order of arrival. A hot fingerprint is one sequential fold, so what is
-collected for it is cut down first: rows that can't fire never reach the fold.
+``seq`` is the order of arrival. A hot fingerprint is dealt by slices of time or of arrivals, never to one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from heapq import heappop, heappush
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.shared import stored
+from . import folds, ranks
 
 
 def errors_of(records: DataFrame) -> DataFrame:
@@ -33,12 +32,20 @@ def issue_reports(records: DataFrame, window_ms: int, as_of_ms: int) -> DataFram
     return g.where("count > 0").select("fingerprint", F.col("sample.boundary").alias("boundary"), "count", "first_seen", "last_seen", F.col("sample.severity").alias("severity"), "sample", "first_seq")
 
 
+_BEST_FIRST = (F.desc, "count"), (F.desc, "last_seen"), (F.asc, "first_seq")
+
+
 def ranked(reports: DataFrame, most: int | None = None) -> DataFrame:
     """Most frequent first, then latest, then first arrived."""
-    out = reports.orderBy(F.desc("count"), F.desc("last_seen"), F.asc("first_seq"))
+    out = reports.orderBy(*[order(c) for order, c in _BEST_FIRST])
     return out.limit(most) if most else out
 
 
+def placed(reports: DataFrame) -> DataFrame:
+    """All reports with their ``place`` in that order, from 1, without one task that holds them all."""
+    return ranks.numbered(reports, [order(c) for order, c in _BEST_FIRST]).withColumn("place", F.col("place") + 1)
+
+
 def window_counts(records: DataFrame, window_ms: int) -> DataFrame:
     """seq, fingerprint, timestamp and ``cnt``: errors in the window when each arrived. For arrivals in order of time.
 
@@ -59,22 +66,9 @@ def _window_counts(e: DataFrame, window_ms: int) -> DataFrame:
 def folded_counts(records: DataFrame, window_ms: int) -> DataFrame:
     """The same for arrivals in any order: an error stays only while no later arrival has put it out of its window.
 
-    A fold in order of arrival over sorted rows that come in parts; a heap holds what is in the window.
+    A fingerprint is cut into blocks of arrivals; see folds.windows().
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, alive = None, []
-        for pdf in batches:
-            counts = []
-            for f, t in zip(pdf["fingerprint"].tolist(), pdf["timestamp"].tolist(), strict=True):
-                if f != key:
-                    key, alive = f, []
-                counts.append(arrived(alive, t, window_ms))
-            yield pdf.assign(cnt=counts)
-
-    e = errors_of(records).select("seq", "fingerprint", "timestamp")
-    ordered = e.repartition("fingerprint").sortWithinPartitions("fingerprint", "seq")
-    return ordered.mapInPandas(run, "seq long, fingerprint string, timestamp long, cnt long")
+    return folds.windows(errors_of(records).select("seq", "fingerprint", "timestamp"), window_ms)
 
 
 def arrived(alive: list[int], t: int, window_ms: int) -> int:
@@ -88,37 +82,22 @@ def arrived(alive: list[int], t: int, window_ms: int) -> int:
 def triggers(counts: DataFrame, threshold: int, window_ms: int) -> DataFrame:
     """The rows of counts that fire: enough errors, and none of the key fired within the window before.
 
-    A fold per fingerprint over its rows that reach the threshold, in order of arrival.
+    Only rows that reach the threshold are looked at, in order of arrival and in blocks; see folds.cooldowns().
     """
-    able = counts.where(F.col("cnt") >= threshold)
-
-    # rows of a key arrive sorted and in parts, so a hot key needn't fit in memory
-    ordered = able.repartition("fingerprint").sortWithinPartitions("fingerprint", "seq")
+    return folds.cooldowns(counts.where(F.col("cnt") >= threshold), window_ms)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, int] = {}
-        for pdf in batches:
-            keep = []
-            for f, t in zip(pdf["fingerprint"].tolist(), pdf["timestamp"].tolist(), strict=True):
-                if f not in last:
-                    ok, last = True, {f: t}
-                else:
-                    ok = t - last[f] >= window_ms
-                    if ok:
-                        last[f] = t
-                keep.append(ok)
-            yield pdf[keep]
 
-    return ordered.mapInPandas(run, counts.schema)
+#: fired rows are broadcast to their errors up to this number, which is counted first
+MOST_BROADCAST = 100_000
 
 
 def trigger_rows(records: DataFrame, cfg: Config, in_order: bool = True) -> DataFrame:
     """Alerts: the client's source, channel and runtime, the settings, and the report at that moment."""
     limit, width = cfg.errors.threshold_count, cfg.errors.threshold_window_ms
     counts = window_counts(records, width) if in_order else folded_counts(records, width)
-    fired = triggers(counts, limit, width).withColumnRenamed("timestamp", "fired_at")
+    fired = stored(triggers(counts, limit, width).withColumnRenamed("timestamp", "fired_at"), "fired")
     e = errors_of(records).select("seq", "fingerprint", "error")
-    e = fired.join(e, ["seq", "fingerprint"])
+    e = e.join(F.broadcast(fired) if fired.count() <= MOST_BROADCAST else fired, ["seq", "fingerprint"])
     client = {"source": cfg.source, "channel": cfg.channel, "runtime": cfg.runtime, "threshold_count": limit, "window_ms": width}
     return e.select(*[F.lit(v).alias(k) for k, v in client.items()], "seq", "fired_at", F.struct("fingerprint", F.col("error.boundary").alias("boundary"), F.col("cnt").alias("count"), F.col("fired_at").alias("last_seen"), F.col("error.severity").alias("severity"), F.col("error").alias("sample")).alias("report"))
 

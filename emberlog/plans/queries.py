@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, backend
@@ -245,9 +245,20 @@ def issue_reports(spark, d):
 
 
 def issue_reports_ranked(spark, d):
-    r = issues.ranked(_issues(spark, d), 20)  # what a report shows: so few rows that one task numbers them
-    place = F.row_number().over(Window.orderBy(F.desc("count"), F.desc("last_seen"), F.asc("first_seq")))
-    return r.select(place.alias("place"), "fingerprint", "count", "last_seen")
+    return issues.placed(_issues(spark, d)).select("place", "fingerprint", "count", "last_seen")
+
+
+def _own_issues(spark, d):
+    """Every session's errors are an issue of their own."""
+    r = tables.error_records(spark, d)
+    mark = F.concat(F.lit("f"), F.pmod(F.col("seq") * 7919, F.lit(1009)))
+    return r.withColumn("error", F.col("error").withField("fingerprint", mark))
+
+
+def issue_reports_ranked_all(spark, d):
+    """A thousand issues, with ties."""
+    r = issues.issue_reports(_own_issues(spark, d), 7 * 86_400_000, AS_OF - 86_400_000)
+    return issues.placed(r).select("place", "fingerprint", "count", "last_seen")
 
 
 def issue_window_count(spark, d):
@@ -306,7 +317,7 @@ _ALL = (
     events_normalize, events_mixed_channels, events_component_bound, events_disabled, events_with_error, errors_normalize, errors_extract, errors_to_records, errors_context, errors_gated,
     context_merge, context_inject, context_redact, context_breadth, context_tree, identifiers_explode, endpoint_secure, batch_admission, queue_cap, flush_batches, flush_envelopes, queue_restore,
     redact_text, sanitize_single_line, sanitize_multiline, tags_normalize, storage_key, string_hash, storage_hash, fingerprint, crash_identity,
-    issue_reports, issue_reports_ranked, issue_reports_of_errors, issue_window_count, issue_window_count_late, issue_triggers, issue_triggers_late, issue_seeded,
+    issue_reports, issue_reports_ranked, issue_reports_ranked_all, issue_reports_of_errors, issue_window_count, issue_window_count_late, issue_triggers, issue_triggers_late, issue_seeded,
 )
 
 

@@ -21,8 +21,20 @@ TRIGGER = _struct(source=_S, channel=_S, runtime=_S, threshold_count=T.IntegerTy
 ENVELOPE = _struct(batch_id=_L, source=_S, channel=_S, runtime=_S, sent_at=_L, n_events=T.IntegerType(), body=_S)
 
 
+#: keyed state of the streams lies in RocksDB
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_store(spark: SparkSession) -> SparkSession:
+    """Raises unless the session's state store is one that keyed state needs; settings() sets it."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
+        raise RuntimeError(f"keyed state needs spark.sql.streaming.stateStore.providerClass = {STATE_STORE}; call settings(spark) first")
+    return spark
+
+
 def settings(spark: SparkSession) -> SparkSession:
-    """Times are UTC; later map keys win."""
+    """Times are UTC; later map keys win; keyed state of streams in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark

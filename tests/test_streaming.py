@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.config import Config
@@ -29,6 +30,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.seq, r.cnt, r.seq in fired) for r in counts.collect()} and fired
 
 
+def test_restored_errors_are_counted_and_never_fire(spark, tmp_path):
+    old = [(i, "ab"[i % 3 == 0], t) for i, t in enumerate([100, 500, 90, 120, 130, 95, 140, 150])]  # 500 comes before the others
+    new = [(20, "a", 151), (21, "b", 152), (22, "a", 160), (23, "c", 160), (24, "b", 700)]
+    df = error_rows(spark, new)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run(issue_stream(stream, 3, 60, restored=error_rows(spark, old)), "seeded_rows", tmp_path)
+    got = {r.seq: (r.cnt, r.fired) for r in spark.sql("select * from seeded_rows").collect()}
+    alive, last, want = {}, {}, {}
+    for seq, f, t in old + new:
+        alive[f] = [x for x in [*alive.get(f, []), t] if x >= t - 60]
+        if seq >= 20:
+            ok = len(alive[f]) >= 3 and (f not in last or t - last[f] >= 60)
+            last[f] = t if ok else last.get(f, -1000)
+            want[seq] = (len(alive[f]), ok)
+    assert got == want and any(x[1] for x in want.values())
+
+
 def test_delivery(spark, tmp_path):
     cfg = Config.resolve(source="app", session_id="s", batch_size=2, endpoint="https://in.example", transport=Post(str(tmp_path / "sent")))
     (tmp_path / "sent").mkdir()
@@ -57,3 +76,15 @@ class Post:
 
         with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
             f.write(request["body"])
+
+
+def test_delivery_needs_an_endpoint_and_a_place_for_what_is_refused(spark, tmp_path):
+    rows = records.normalize_events(pushed(spark, [{"component": "c", "action": "x", "kind": "error"}]), Config.resolve(source="app", session_id="s"), now_ms=1).withColumn("queue_key", F.lit("q"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for endpoint in (None, "http://far.example"):
+        with pytest.raises(ValueError, match="deliver_queues"):
+            delivery.deliver(stream, Config.resolve(source="app", endpoint=endpoint), str(tmp_path / "cp"), clock=lambda: 5)
+    cfg = Config.resolve(source="app", endpoint="http://far.example", transport=Post("/nowhere"))
+    delivery.deliver(stream, cfg, str(tmp_path / "cp"), clock=lambda: 5, drain=True, dead_letters=str(tmp_path / "dead")).awaitTermination()
+    assert [(r.batch_id, r.n_events) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [(0, 1)]
