@@ -27,6 +27,26 @@ def dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+_PARTS = '"(?:[^"\\\\]|\\\\.)*+"|[-+.0-9Ee]++|[^-+.0-9E"]++|.'
+_ODD_NUMBER = "[0-9]\\.0(?![0-9])|[0-9]E"
+
+
+def plain_numbers(json_text: Column) -> Column:
+    """JSON with numbers as JavaScript prints them: 100.0 is 100, 1.0E7 is 10000000, 1.0E21 is 1e+21. Texts stay. Numbers of more digits than a double has stay too."""
+
+    def number(x: Column) -> Column:
+        power = F.regexp_extract(x, "E(-?[0-9]+)$", 1)
+        e = F.when(power != "", power.cast("int"))
+        short = F.regexp_replace(x, "\\.0(?=E|$)", "")
+        placed = F.regexp_replace(F.regexp_replace(x.try_cast("decimal(38,16)").cast("string"), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+        return F.when(e.isNull(), short).when(e.between(-6, 20), placed).when(e > 0, F.regexp_replace(short, "E", "e+")).otherwise(F.regexp_replace(short, "E", "e"))
+
+    def plain(x: Column) -> Column:
+        return F.when(x.rlike("^-?[0-9]"), number(x)).otherwise(x)
+
+    return F.when(json_text.rlike(_ODD_NUMBER), F.array_join(F.transform(F.regexp_extract_all(json_text, F.lit(_PARTS), F.lit(0)), plain), "")).otherwise(json_text)
+
+
 def merge_json(default: Column, event: Column) -> Column:
     """Two JSON objects in one, keys in order of first mention; the event's values win. What isn't an object is {}."""
     empty = F.from_json(F.lit("{}"), "map<string,variant>")
@@ -34,7 +54,7 @@ def merge_json(default: Column, event: Column) -> Column:
 
     def merged(a: Column, b: Column) -> Column:
         won = F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), F.when(F.map_contains_key(b, e["key"]), F.element_at(b, e["key"])).otherwise(e["value"]).alias("value")))
-        return F.to_json(F.map_concat(F.map_from_entries(won), F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k))))
+        return plain_numbers(F.to_json(F.map_concat(F.map_from_entries(won), F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k)))))
 
     return text.let(entries(default), lambda a: text.let(entries(event), lambda b: merged(a, b)))
 

@@ -25,7 +25,8 @@ def inject_channel(context: Column, channel: Column, runtime: Column) -> Column:
     keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
 
     def pair(key: str, value: Column) -> Column:
-        return F.when(~F.array_contains(keys, key), F.concat(F.lit(f'"{key}":'), F.concat(F.lit('"'), value, F.lit('"'))))
+        shown = F.to_json(F.struct(value.alias(key)))
+        return F.when(~F.array_contains(keys, key), F.substring(shown, F.lit(2), F.length(shown) - 2))
 
     added = F.concat_ws(",", pair("analyticsChannel", channel), pair("analyticsRuntime", runtime))
     opened = F.rtrim(F.substring(body, F.lit(1), F.length(body) - 1))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.config import Config
+from emberlog.functions import context
 from emberlog.operators import delivery, errors, issues, records, restore
 from emberlog.sources.tables import nothing, pushed
 
@@ -127,3 +128,22 @@ def test_queue_round_trip(spark):
     r = records.normalize_events(pushed(spark, rows), CFG, now_ms=1).withColumn("queue_key", F.lit("q"))
     back = restore.restore_queue(restore.persist_queue(r), CFG).orderBy("pos").collect()
     assert [(x.action, x.timestamp) for x in back] == [("a", 1), ("b", 1)] and json.loads(back[0].context)["a"] is None
+
+
+def test_channels_are_escaped(spark):
+    rows = [{"component": "c", "action": "a", "timestamp": 5, "context": '{"x":1}', "channel": 'a"b\\c\n'}]
+    got = records.normalize_events(pushed(spark, rows), CFG, now_ms=9).first()
+    assert json.loads(got.context) == {"x": 1, "analyticsChannel": 'a"b\\c\n', "analyticsRuntime": "server"}
+
+
+def test_merged_numbers_are_plain(spark):
+    given = [("1.0", "1"), ("1e2", "100"), ("1.5", "1.5"), ("1e7", "10000000"), ("12345678.25", "12345678.25"), ("1.5e10", "15000000000"), ("-2.5e20", "-250000000000000000000"), ("1e21", "1e+21"), ("1.25e-7", "1.25e-7"), ("1e-5", "0.00001"), ("-0.0", "0"), ('[1.0,{"b":2e1}]', '[1,{"b":20}]'), ('"1.0 and 1.0E7 \\\\" "'.replace('\\\\"', '\\"'), '"1.0 and 1.0E7 \\" "'), ("true", "true"), ("null", "null")]
+    df = spark.createDataFrame([(f'{{"n":{a}}}',) for a, _ in given], "c string")
+    got = [r[0] for r in df.select(context.merge_json(F.lit('{"k":1.0}'), F.col("c"))).collect()]
+    assert got == [f'{{"k":1,"n":{b}}}' for _, b in given]
+
+
+def test_long_texts_in_merged_contexts(spark):
+    long = '\\"a' * 50_000 + "b" * 200_000
+    got = spark.createDataFrame([(f'{{"n":2.0e1,"t":"{long}"}}',)], "c string").select(context.merge_json(F.lit("{}"), F.col("c"))).first()[0]
+    assert got == f'{{"n":20,"t":"{long}"}}'
