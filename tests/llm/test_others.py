@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -218,6 +219,46 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_at_any_window(spark, monkeypatch):
+    """However the first round is cut, the number of sequences stays near that of one best-fit pass over all pieces."""
+    rng = random.Random(11)
+    words = "alpha beta gamma delta".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(150, 700)))) for i in range(1500)]
+    df = documents(spark, rows, clash=False).repartition(16)
+    pieces = None
+    for window in (200_000, 100, 10):
+        got = packing.pack(df, window=window)
+        rows_ = got.collect()
+        if pieces is None:
+            pieces = len(packing.best_fit(np.array([r.length for r in rows_]), 1024))
+        # a task of the first round sees some 90 pieces here, or 10 with the last window
+        assert len({r.sequence_id for r in rows_}) <= pieces * (1.03 if window > 10 else 1.06)
+        assert sum(r.length for r in rows_) == sum({(r.doc_id, r.piece): r.length for r in rows_}.values())
+        ends = {}
+        for r in rows_:
+            ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for s in ends.values():
+            at = 0
+            for offset, length in sorted(s):
+                assert offset == at
+                at += length
+            assert at <= 1024
+
+
+def test_patterns_are_best_fit():
+    for seed in range(60):
+        rng = random.Random(seed)
+        limit = rng.choice([10, 100, 1024])
+        sizes = np.array([rng.randrange(1, limit + 1) if rng.random() < 0.7 else rng.choice([1, limit // 2, limit // 3]) for _ in range(rng.randrange(1, 400))])
+        found = packing.patterns(dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True)), limit)
+        assert all(sum(size * n for size, n in held.items()) <= limit and bins > 0 for held, bins in found)
+        total = Counter()
+        for held, bins in found:
+            total.update({size: n * bins for size, n in held.items()})
+        assert total == Counter(sizes.tolist())
+        assert sum(bins for _, bins in found) == len(packing.best_fit(sizes, limit))
+
+
 def test_best_fit():
     rng = random.Random(4)
     sizes = np.array([rng.randrange(1, 101) for _ in range(500)])
