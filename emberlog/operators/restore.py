@@ -31,7 +31,13 @@ def restore_queue(queues: DataFrame, cfg: Config, column: str = "value") -> Data
     other columns of queues stay.
     """
     others = [c for c in queues.columns if c != column]
-    items = queues.select(*others, F.posexplode(F.from_json(column, "array<string>")).alias("pos", "item")).withColumn("v", F.try_parse_json("item"))
+    return restore_records(queues.select(*others, F.posexplode(F.from_json(column, "array<string>")).alias("pos", "item")), cfg)
+
+
+def restore_records(items: DataFrame, cfg: Config) -> DataFrame:
+    """The same of a table with one stored record a row: its JSON in ``item``, its place in ``pos``."""
+    others = [c for c in items.columns if c not in ("pos", "item")]
+    items = items.withColumn("v", F.try_parse_json("item"))
     v = F.col("v")
     ok = _is(v, "$.timestamp", "number")
     for shown in _TEXTS.values():
@@ -54,10 +60,16 @@ def restore_queue(queues: DataFrame, cfg: Config, column: str = "value") -> Data
     )
 
 
-def persist_queue(records: DataFrame, queue: str = "queue_key") -> DataFrame:
-    """One row per queue: its records in order as one JSON array, as restore_queue() reads it."""
-    from .delivery import event_json
+def persist_records(records: DataFrame, most: int | None = None, queue: str = "queue_key") -> DataFrame:
+    """One row per record: its queue, ``pos`` (its seq) and ``item`` (its JSON), as restore_records() reads it. ``most``: what a queue keeps."""
+    from .delivery import event_json, queue_cap
+
+    kept = records if most is None else queue_cap(records, most, queue)
+    return kept.select(queue, F.col("seq").alias("pos"), event_json(kept).alias("item"))
+
 
-    rows = records.withColumn("_json", event_json(records))
-    g = rows.groupBy(queue).agg(F.array_sort(F.collect_list(F.struct("seq", "_json"))).alias("_all"))
-    return g.select(queue, F.concat(F.lit("["), F.array_join(F.transform("_all", lambda x: x["_json"]), ","), F.lit("]")).alias("value"))
+def persist_queue(records: DataFrame, queue: str = "queue_key", most: int = 500) -> DataFrame:
+    """One row per queue: its last ``most`` records in order as one JSON array, as restore_queue() reads it."""
+    rows = persist_records(records, most, queue)
+    g = rows.groupBy(queue).agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_all"))
+    return g.select(queue, F.concat(F.lit("["), F.array_join(F.transform("_all", lambda x: x["item"]), ","), F.lit("]")).alias("value"))
