@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..config import Config
 from ..operators.delivery import event_json
 from ..schema import state_store
+from .callbacks import observed
 from .delivery import envelope_id, http_post, is_secure
 
 #: a row of the log: one try to send an envelope; status is sent, refused or failed
@@ -135,6 +136,6 @@ def delivery_log(records: DataFrame, cfg: Config, restored: DataFrame | None = N
 
 
 def deliver_queues(records: DataFrame, cfg: Config, checkpoint: str, log: str, restored: DataFrame | None = None, clock: Callable[[], int] | None = None) -> StreamingQuery:
-    """Starts delivery_log(); the log is appended to the Parquet table ``log``."""
-    out = delivery_log(records, cfg, restored, clock)
+    """Starts delivery_log(); the log is appended to the Parquet table ``log``, and callbacks.listen() hears of what wasn't sent."""
+    out = observed(delivery_log(records, cfg, restored, clock))
     return out.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).trigger(processingTime=f"{cfg.flush_interval_ms} milliseconds").start()

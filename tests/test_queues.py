@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from emberlog.config import Config
 from emberlog.operators import delivery, records
 from emberlog.sources.tables import pushed
-from emberlog.streaming import queues
+from emberlog.streaming import callbacks, queues
 
 
 class Receiver:
@@ -126,7 +126,11 @@ def test_failures_and_refusals_stay_until_they_can_go(spark, tmp_path):
     feed(df, tmp_path, "0")
     stream = source(spark, df, tmp_path)
     tried = lambda: {(r.queue_key, r.status) for r in spark.read.schema(queues.LOG).parquet(str(tmp_path / "log")).collect()} if (tmp_path / "log").exists() else set()
-    log = run(stream, cfg, tmp_path, lambda: tried() >= {("plain", "failed"), ("errors", "refused")})
+    heard = []
+    listener = callbacks.listen(spark, heard.append)
+    log = run(stream, cfg, tmp_path, lambda: tried() >= {("plain", "failed"), ("errors", "refused")} and heard)
+    spark.streams.removeListener(listener)
+    assert all(isinstance(e, callbacks.DeliveryError) for e in heard) and sum(e.failed for e in heard) >= 1 and sum(e.refused for e in heard) >= 1 and any("no way" in str(e) or "https" in str(e) for e in heard)
     assert {(r.queue_key, r.status, r.waiting) for r in log} == {("plain", "failed", 2), ("errors", "refused", 2)} and not received(tmp_path / "sent")
     (tmp_path / "sent" / "fail").unlink()
     run(stream, Config.resolve(previous=cfg, endpoint="https://far.example"), tmp_path, lambda: len(received(tmp_path / "sent")) == 2)

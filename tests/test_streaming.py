@@ -7,6 +7,7 @@ from emberlog.config import Config
 from emberlog.operators import issues, records
 from emberlog.sources.tables import pushed
 from emberlog.streaming import delivery
+from emberlog.streaming.callbacks import ThresholdConsumer, on_threshold, trigger_reports
 from emberlog.streaming.issues import issue_stream
 from tests.test_operators import error_rows
 
@@ -30,6 +31,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.seq, r.cnt, r.seq in fired) for r in counts.collect()} and fired
 
 
+def test_fired_rows_call_back_once(spark, tmp_path):
+    df = error_rows(spark, [(i, "ab"[i % 2], i) for i in range(12)])
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    called, failed = [], []
+
+    def callback(row):
+        called.append((row["fingerprint"], row["seq"]))
+        if row["fingerprint"] == "b":
+            raise RuntimeError("not now")
+
+    on_threshold(issue_stream(stream, 3, 60), callback, str(tmp_path / "fired"), str(tmp_path / "cp"), failed.append, availableNow=True).awaitTermination()
+    assert called == [("a", 4), ("b", 5)] and [str(e) for e in failed] == ["not now"]
+    # the same micro-batch once more, as after a crash
+    again = ThresholdConsumer(callback, str(tmp_path / "fired"))
+    batch = spark.read.parquet(str(tmp_path / "fired" / "batch_id=0"))
+    again(batch, 0)
+    assert len(called) == 2
+    again(batch, 7)
+    assert called[2:] == [("a", 4), ("b", 5)]
+    reports = trigger_reports(batch, df, Config.resolve(source="app", errors={"threshold_count": 3})).orderBy("seq").collect()
+    assert [(r.source, r.threshold_count, r.report["fingerprint"], r.report["count"], r.report["boundary"]) for r in reports] == [("app", 3, "a", 3, "b4"), ("app", 3, "b", 3, "b5")]
+
+
 def test_restored_errors_are_counted_and_never_fire(spark, tmp_path):
     old = [(i, "ab"[i % 3 == 0], t) for i, t in enumerate([100, 500, 90, 120, 130, 95, 140, 150])]  # 500 comes before the others
     new = [(20, "a", 151), (21, "b", 152), (22, "a", 160), (23, "c", 160), (24, "b", 700)]
