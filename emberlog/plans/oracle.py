@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "fingerprint": f"WITH {REPORTS} SELECT id, 'err_' || {hexed('''(boundary || '|' || name || '|' || message || '|' || CASE WHEN seq % 2 = 0 THEN 'at f' || k ELSE '' END || '|error')''')} AS fingerprint FROM r",
         "crash_identity": f"WITH {EVENTS} SELECT id, 'Check App' AS source, 'frontend' AS channel, 'hash_' || {hexed('session_id')} AS session_hash, 'hash_' || {hexed('''('agent/' || k)''')} AS agent_hash, 'hash_' || {hexed('''(CASE WHEN k % 2 = 0 THEN 'de' ELSE 'en' END)''')} AS language_hash, (k * 10)::INTEGER AS screen_width FROM e",
         "issue_reports": f"WITH {ERRORS}, {ISSUES} SELECT fingerprint, fingerprint AS boundary, count, first_seen, last_seen, severity, sample_name FROM i WHERE count > 0",
+        "issue_reports_panes": f"WITH {ERRORS}, {ISSUES} SELECT fingerprint, fingerprint AS boundary, count, first_seen, last_seen, severity, sample_name FROM i WHERE count > 0",
         "issue_reports_ranked": f"WITH {ERRORS}, {ISSUES} SELECT row_number() OVER (ORDER BY count DESC, last_seen DESC, first_seq)AS place, fingerprint, count, last_seen FROM i WHERE count > 0",
         "issue_reports_ranked_all": f"WITH {ERRORS.replace('component AS fingerprint', "'f' || (seq * 7919 % 1009) AS fingerprint")}, {ISSUES} SELECT row_number() OVER (ORDER BY count DESC, last_seen DESC, first_seq) AS place, fingerprint, count, last_seen FROM i WHERE count > 0",
         "issue_reports_of_errors": f"""WITH {REPORTS}, x AS (SELECT *, {_report_mark()} AS mark, {single('message', 240)} AS shown FROM r) SELECT mark AS fingerprint, arg_max(boundary, seq) AS boundary, count(*) FILTER ({INSIDE}) AS count,

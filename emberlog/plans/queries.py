@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Config, backend
 from ..functions import context as ctx
 from ..functions import hashing, text
-from ..operators import delivery, errors, identity, issues, records, restore
+from ..operators import delivery, errors, identity, issues, panes, records, restore
 from ..schema import settings
-from ..sources import tables
+from ..sources import shared, tables
 
 CFG = backend(source="Check App", session_id="session_0")
 N, WINDOW = 3, 6 * 3_600_000
@@ -244,6 +244,17 @@ def issue_reports(spark, d):
     return _issues(spark, d).select("fingerprint", "boundary", "count", "first_seen", "last_seen", "severity", F.col("sample.name").alias("sample_name"))
 
 
+def issue_reports_panes(spark, d):
+    """The same from a store of panes that took the errors up in two batches, the later ones first."""
+    e = tables.error_records(spark, d)
+    store = panes.IssuePanes(spark, shared.new_path(spark, "panes"), 3_600_000)
+    middle = F.col("timestamp") >= 1_705_500_000_000
+    store.add(e.where(middle), 0)
+    store.add(e.where(~middle), 1)
+    r = store.reports(7 * 86_400_000, AS_OF - 86_400_000)
+    return r.select("fingerprint", "boundary", "count", "first_seen", "last_seen", "severity", F.col("sample.name").alias("sample_name"))
+
+
 def issue_reports_ranked(spark, d):
     return issues.placed(_issues(spark, d)).select("place", "fingerprint", "count", "last_seen")
 
@@ -317,7 +328,7 @@ _ALL = (
     events_normalize, events_mixed_channels, events_component_bound, events_disabled, events_with_error, errors_normalize, errors_extract, errors_to_records, errors_context, errors_gated,
     context_merge, context_inject, context_redact, context_breadth, context_tree, identifiers_explode, endpoint_secure, batch_admission, queue_cap, flush_batches, flush_envelopes, queue_restore,
     redact_text, sanitize_single_line, sanitize_multiline, tags_normalize, storage_key, string_hash, storage_hash, fingerprint, crash_identity,
-    issue_reports, issue_reports_ranked, issue_reports_ranked_all, issue_reports_of_errors, issue_window_count, issue_window_count_late, issue_triggers, issue_triggers_late, issue_seeded,
+    issue_reports, issue_reports_panes, issue_reports_ranked, issue_reports_ranked_all, issue_reports_of_errors, issue_window_count, issue_window_count_late, issue_triggers, issue_triggers_late, issue_seeded,
 )
 
 
