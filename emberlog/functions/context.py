@@ -1,9 +1,10 @@
-"""JSON contexts: a native form for flat ones, one Arrow UDF for trees."""
+"""JSON contexts: flat ones and trees as SQL expressions, and trees by one Arrow UDF, which costs less."""
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +15,6 @@ from . import model, text
 
 CLEANED = "context string, identifiers array<struct<key: string, value: string>>"
 
-
 def _object(raw: str | None) -> dict:
     try:
         value = json.loads(raw) if raw else {}
@@ -126,8 +126,82 @@ class Cleaner:
         return model.single_line(str(value), self.longest)
 
 
+def _quoted(value: Column) -> Column:
+    """A text as JSON."""
+    return text.let(F.to_json(F.array(value)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+
+
+def _children(node: Column, opening: Column, breadth: int) -> Column:
+    """(key, raw, shown) of the first entries of an object, or elements of an array, given as JSON: as text, and as JSON by which types are told.
+
+    Both are read from the node's own text, since a variant would put the keys of inner objects in another order.
+    """
+
+    def of(kind: str, entries: Callable[[Column], Column], key: Callable[[Column], Column], raw: Callable[[Column], Column]) -> Column:
+        texts, values = (F.slice(entries(F.from_json(node, kind.format(t))), 1, breadth) for t in ("string", "variant"))
+        shown = F.transform(values, lambda e: F.coalesce(F.to_json(raw(e)), F.lit("null")))
+        return F.zip_with(texts, shown, lambda e, x: F.struct(key(e).alias("key"), raw(e).alias("raw"), x.alias("shown")))
+
+    none = F.lit(None).cast("string")
+    objects = of("map<string,{}>", F.map_entries, lambda e: e["key"], lambda e: e["value"])
+    arrays = of("array<{}>", lambda x: x, lambda e: none, lambda e: e)
+    return F.when(opening == "{", objects).when(opening == "[", arrays)
+
+
+_PAIR = "\\\\u[dD][89abAB][0-9a-fA-F]{2}\\\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+
+
+def _unescaped(json_text: Column) -> Column:
+    """JSON whose characters beyond the first plane stand for themselves, not as two escapes."""
+    parts = F.regexp_extract_all(json_text, F.lit(f"{_PAIR}|\\\\.|[^\\\\]++"), F.lit(0))
+    plain = lambda x: F.when(x.rlike(f"^{_PAIR}$"), F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0]).otherwise(x)
+    return F.when(json_text.contains("\\uD"), F.array_join(F.transform(parts, plain), "")).otherwise(json_text)
+
+
+_FOUND = "array<struct<key:string,value:string>>"
+
+
+def _walk(node: Column, opening: Column, path: Column, depth: int, cfg: ErrorReporting) -> Column:
+    """struct(context, identifiers) of an object's or array's JSON, one level of expressions for each level of depth."""
+    nothing = F.array().cast(_FOUND)
+    plain = lambda json_text: F.struct(json_text.alias("context"), nothing.alias("identifiers"))
+
+    def value(raw: Column, shown: Column, kind: Column, here: Column) -> Column:
+        inner = _walk(raw, kind, here, depth + 1, cfg) if depth + 1 < cfg.max_context_depth else plain(F.lit('"[truncated]"'))
+        number = F.when(shown.rlike("^-?[0-9]"), plain_numbers(shown)).otherwise("null")
+        leaf = F.when(kind == '"', _quoted(text.single_line(raw, cfg.max_message_length))).when(kind.isin("t", "f", "n"), shown).otherwise(number)
+        return F.when(kind.isin("{", "["), inner).otherwise(plain(leaf))
+
+    def identifier(raw: Column, shown: Column, kind: Column) -> Column:
+        given = F.when(kind == '"', raw).when(kind.isin("{", "["), _unescaped(plain_numbers(raw))).when(kind.isin("t", "f", "n"), shown).otherwise(plain_numbers(shown))
+        return F.when(shown == "null", "null").otherwise(text.or_else(text.single_line(given, cfg.max_message_length), "empty"))
+
+    def child(c: Column) -> Column:
+        here = F.when(opening == "[", F.concat(path, F.lit("[]"))).when(path == "", c["key"]).otherwise(F.concat(path, F.lit("."), c["key"]))
+        # bound once, since the next level names both many times
+        return text.let(F.struct(F.substring(c["shown"], 1, 1).alias("kind"), here.alias("here")), lambda bound: placed(c, bound["kind"], bound["here"]))
+
+    def placed(c: Column, kind: Column, here: Column) -> Column:
+
+        def told(x: Column) -> Column:
+            found = F.array(F.struct(text.single_line(here, 160).alias("key"), identifier(c["raw"], c["shown"], kind).alias("value")))
+            secret = F.coalesce(text.is_sensitive(c["key"], cfg.redact_keys), F.lit(False))
+            return F.when(secret, F.struct(F.lit(json.dumps(REDACTED)).alias("context"), found.alias("identifiers"))).otherwise(x)
+
+        done = told(value(c["raw"], c["shown"], kind, here))
+        name = F.when(c["key"].isNotNull(), F.concat(_quoted(c["key"]), F.lit(":"))).otherwise("")
+        return text.let(done, lambda d: F.struct(F.concat(name, d["context"]).alias("context"), d["identifiers"].alias("identifiers")))
+
+    def joined(parts: Column) -> Column:
+        inside = F.array_join(F.transform(parts, lambda p: p["context"]), ",")
+        whole = F.concat(opening, inside, F.when(opening == "{", "}").otherwise("]"))
+        return F.struct(whole.alias("context"), F.flatten(F.transform(parts, lambda p: p["identifiers"])).alias("identifiers"))
+
+    return text.let(F.transform(_children(node, opening, cfg.max_context_breadth), child), joined)
+
+
 def clean_tree(context: Column, cfg: ErrorReporting) -> Column:
-    """struct(context, identifiers) of a JSON object; {} for what isn't one."""
+    """struct(context, identifiers) of a JSON object; {} for what isn't one. An Arrow UDF: a third of clean_tree_native()'s time."""
 
     @F.pandas_udf(CLEANED)
     def cleaned(raw: pd.Series) -> pd.DataFrame:
@@ -138,6 +212,13 @@ def clean_tree(context: Column, cfg: ErrorReporting) -> Column:
     return cleaned(context)
 
 
+def clean_tree_native(context: Column, cfg: ErrorReporting) -> Column:
+    """The same in SQL expressions, unrolled to the depth that is kept (deeper parts are cut anyway), where no Python worker is wanted."""
+    nothing = F.struct(F.lit("{}").alias("context"), F.array().cast(_FOUND).alias("identifiers"))
+    there = F.try_parse_json(context).isNotNull() & F.ltrim(context).startswith("{")
+    return F.when(there, _walk(context, F.lit("{"), F.lit(""), 0, cfg)).otherwise(nothing)
+
+
 def flat_entries(context: Column, breadth: int) -> Column:
     """The first entries of a flat JSON object, in order, with values as text."""
     return F.slice(F.coalesce(F.map_entries(F.from_json(context, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>")), 1, breadth)

@@ -89,9 +89,22 @@ def or_else(text: Column, default: str | Column) -> Column:
 
 
 def tags(values: Column, most: int, longest: int) -> Column:
-    """Sanitized, without blanks and repeats, the first ones; null if none are left."""
-    clean = F.filter(F.transform(values, lambda x: single_line(x, longest)), lambda x: F.length(x) > 0)
-    return let(F.slice(F.array_distinct(clean), 1, most), lambda kept: F.when(F.size(kept) > 0, kept))
+    """Sanitized, without blanks and repeats, the first ones; null if none are left.
+
+    Most lists have enough in their first few different values, so the others are sanitized only where these don't do.
+    """
+    few = 4 * most
+
+    def clean(some: Column) -> Column:
+        return F.array_distinct(F.filter(F.transform(some, lambda x: single_line(x, longest)), lambda x: F.length(x) > 0))
+
+    def chosen(given: Column) -> Column:
+        def enough(first: Column) -> Column:
+            return F.when((F.size(first) >= most) | (F.size(given) <= few), first).otherwise(clean(given))
+
+        return let(clean(F.slice(given, 1, few)), enough)
+
+    return let(F.slice(let(F.array_distinct(values), chosen), 1, most), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def storage_segment(source: Column) -> Column:
@@ -104,8 +117,8 @@ def storage_key(source: Column, channel: Column) -> Column:
 
 def is_sensitive(key: Column, keys: tuple[str, ...]) -> Column:
     """Does the key contain one of the redact keys?"""
-    # one pass over the keys; the key itself is trimmed and lower-cased once
-    return let(F.lower(trim(key)), lambda low: reduce(or_, [F.contains(low, F.lit(k)) for k in keys], F.lit(False)))
+    # one pass over the keys; the key itself is lower-cased once. Redact keys have no white space around them, so none has to go first.
+    return let(F.lower(key), lambda low: reduce(or_, [F.contains(low, F.lit(k)) for k in keys], F.lit(False)))
 
 
 def secure_endpoint(url: Column) -> Column:

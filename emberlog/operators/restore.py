@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, RUNTIMES, Config
+from ..functions.text import let
 from ..schema import ERROR
 from .errors import stored_error
 
 _TEXTS = {"id": "id", "component": "component", "action": "action", "source": "source", "session_id": "sessionId"}
+_DETAILS = {"boundary": "boundary", "name": "name", "message": "message", "fingerprint": "fingerprint", "severity": "severity", "stack": "stack", "component_stack": "componentStack"}
+_MORE = {"label": "label", "href": "href", "variant": "variant", "request_id": "requestId"}
+#: a stored record read in one pass: every field is a variant, which keeps the type that it was given
+_STORED = (
+    ", ".join(f"`{n}` variant" for n in (*_TEXTS.values(), *_MORE.values(), "timestamp", "kind", "channel", "runtime", "context"))
+    + f", error struct<{', '.join(f'`{n}`: variant' for n in (*_DETAILS.values(), 'handled', 'tags'))}>"
+)
 
 
-def _is(v: Column, path: str, kind: str) -> Column:
-    """Is the value at path a text, a number or an object?"""
-    found = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    wanted = {"text": found == "STRING", "number": found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL"), "object": found.startswith("OBJECT"), "boolean": found == "BOOLEAN"}[kind]
-    return F.coalesce(wanted, F.lit(False))
+def _text(v: Column) -> Column:
+    """The value if it is a text."""
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.when(_is(v, path, "text"), F.try_variant_get(v, path, "string"))
+def _is_number(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False))
 
 
 def restore_queue(queues: DataFrame, cfg: Config, column: str = "value") -> DataFrame:
@@ -37,26 +47,29 @@ def restore_queue(queues: DataFrame, cfg: Config, column: str = "value") -> Data
 def restore_records(items: DataFrame, cfg: Config) -> DataFrame:
     """The same of a table with one stored record a row: its JSON in ``item``, its place in ``pos``."""
     others = [c for c in items.columns if c not in ("pos", "item")]
-    items = items.withColumn("v", F.try_parse_json("item"))
-    v = F.col("v")
-    ok = _is(v, "$.timestamp", "number")
-    for shown in _TEXTS.values():
-        ok = ok & _is(v, f"$.{shown}", "text")
-    rows = items.where(ok)
-    domain = lambda path, known, default: F.when(_text(v, path).isin(*known), _text(v, path)).otherwise(F.lit(default))
-    kind = F.when(_text(v, "$.kind") == "error", "error").otherwise("interaction")
-    e = F.struct(*[_text(v, f"$.error.{s}").alias(n) for n, s in (("boundary", "boundary"), ("name", "name"), ("message", "message"), ("fingerprint", "fingerprint"))], F.when(_is(v, "$.error.handled", "boolean"), F.try_variant_get(v, "$.error.handled", "boolean")).alias("handled"), _text(v, "$.error.severity").alias("severity"), _text(v, "$.error.stack").alias("stack"), _text(v, "$.error.componentStack").alias("component_stack"), F.try_variant_get(v, "$.error.tags", "array<string>").alias("tags"))
+    rows = items.withColumn("v", F.from_json("item", _STORED))
+    v, e = F.col("v"), F.col("v.error")
+    rows = rows.withColumns({f"_{n}": _text(v[shown]) for n, shown in _TEXTS.items()})
+    rows = rows.where(reduce(and_, [F.col(f"_{n}").isNotNull() for n in _TEXTS], _is_number(v["timestamp"])))
+
+    def domain(field: str, known: tuple[str, ...], default: str) -> Column:
+        return let(_text(v[field]), lambda x: F.when(x.isin(*known), x).otherwise(F.lit(default)))
+
+    kind = F.when(_text(v["kind"]) == "error", "error").otherwise("interaction")
+    handled = F.when(F.schema_of_variant(e["handled"]) == "BOOLEAN", e["handled"].try_cast("boolean"))
+    details = {n: _text(e[shown]) for n, shown in _DETAILS.items()} | {"handled": handled, "tags": e["tags"].try_cast("array<string>")}
+    error = F.struct(*[details[n].alias(n) for n in ERROR.names])
     return rows.select(
         *others,
         "pos",
-        *[_text(v, f"$.{s}").alias(n) for n, s in _TEXTS.items()],
+        *[F.col(f"_{n}").alias(n) for n in _TEXTS],
         kind.alias("kind"),
-        domain("$.channel", CHANNELS, cfg.channel).alias("channel"),
-        domain("$.runtime", RUNTIMES, cfg.runtime).alias("runtime"),
-        *[_text(v, f"$.{s}").alias(n) for n, s in (("label", "label"), ("href", "href"), ("variant", "variant"), ("request_id", "requestId"))],
-        F.try_variant_get(v, "$.timestamp", "double").cast("long").alias("timestamp"),
-        F.when(_is(v, "$.context", "object"), F.get_json_object("item", "$.context")).otherwise("{}").alias("context"),
-        F.when(kind == "error", stored_error(e, cfg.errors)).otherwise(F.lit(None).cast(ERROR)).alias("error"),
+        domain("channel", CHANNELS, cfg.channel).alias("channel"),
+        domain("runtime", RUNTIMES, cfg.runtime).alias("runtime"),
+        *[_text(v[shown]).alias(n) for n, shown in _MORE.items()],
+        v["timestamp"].try_cast("double").cast("long").alias("timestamp"),
+        F.when(F.schema_of_variant(v["context"]).startswith("OBJECT"), F.get_json_object("item", "$.context")).otherwise("{}").alias("context"),
+        F.when(kind == "error", stored_error(error, cfg.errors)).otherwise(F.lit(None).cast(ERROR)).alias("error"),
     )
 
 

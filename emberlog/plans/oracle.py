@@ -188,6 +188,8 @@ def oracle_sql() -> dict[str, str]:
         "context_breadth": f"WITH {CONTEXTS} SELECT id, len(entries)::INTEGER AS n_entries, array_to_string(list_transform(entries, lambda x: x.k), ',') AS entry_keys FROM f",
         "context_tree": f"""WITH {EVENTS} SELECT id, '{{"a":{{"b":{{"c":{{"d":"[truncated]"}},"email":"[REDACTED]"}}}},"list":[{{"token":"[REDACTED]"}},[1,2.5,null]],"n":' || k || '}}' AS context,
             '[{{"key":"[REDACTED]","value":"[REDACTED]"}},{{"key":"list[].token","value":"t' || seq || '"}}]' AS identifiers FROM e""",
+        "context_tree_native": f"""WITH {EVENTS} SELECT id, '{{"a":{{"b":{{"c":{{"d":"[truncated]"}},"email":"[REDACTED]"}}}},"list":[{{"token":"[REDACTED]"}},[1,2.5,null]],"n":' || k || '}}' AS context,
+            '[{{"key":"[REDACTED]","value":"[REDACTED]"}},{{"key":"list[].token","value":"t' || seq || '"}}]' AS identifiers FROM e""",
         "identifiers_explode": f"""WITH {CONTEXTS}, g AS (SELECT id, list_filter(entries, lambda x: {sensitive('x.k')}) AS s FROM f), u AS (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM g)
             SELECT id AS record_id, (i - 1)::INTEGER AS pos, s[i].k AS key, {single('s[i].v', 240)} AS value, 'hash_' || {hexed(f"({single('s[i].v', 240)})")} AS value_hash FROM u""",
         "endpoint_secure": _ENDPOINT,

@@ -182,13 +182,21 @@ def context_breadth(spark, d):
     return _contexts(spark, d).select("id", F.size(e).alias("n_entries"), F.array_join(F.transform(e, lambda x: x["key"]), ",").alias("entry_keys"))
 
 
-def context_tree(spark, d):
+def _tree_query(spark, d, clean):
     s = F.col("seq")
     tree = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":1}},"email":"x@y.example"}},"list":[{"token":"t'), s, F.lit('"},[1,2.5,null]],"n":'), "k", F.lit("}"))
-    t = tables.events(spark, d).select("id", ctx.clean_tree(tree, CFG.errors).alias("t"))
+    t = tables.events(spark, d).select("id", clean(tree, CFG.errors).alias("t"))
     return t.select("id", F.col("t.context").alias("context"), F.to_json("t.identifiers").alias("identifiers"))
 
 
+def context_tree(spark, d):
+    return _tree_query(spark, d, ctx.clean_tree)
+
+
+def context_tree_native(spark, d):
+    return _tree_query(spark, d, ctx.clean_tree_native)
+
+
 def identifiers_explode(spark, d):
     i = ctx.flat_identifiers(F.col("context"), CFG.errors)
     return _contexts(spark, d).select(F.col("id").alias("record_id"), F.posexplode(i).alias("pos", "e")).select("record_id", "pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"), identity.pseudonym(F.col("e.value")).alias("value_hash"))
@@ -326,7 +334,7 @@ def queue_restore(spark, d):
 
 _ALL = (
     events_normalize, events_mixed_channels, events_component_bound, events_disabled, events_with_error, errors_normalize, errors_extract, errors_to_records, errors_context, errors_gated,
-    context_merge, context_inject, context_redact, context_breadth, context_tree, identifiers_explode, endpoint_secure, batch_admission, queue_cap, flush_batches, flush_envelopes, queue_restore,
+    context_merge, context_inject, context_redact, context_breadth, context_tree, context_tree_native, identifiers_explode, endpoint_secure, batch_admission, queue_cap, flush_batches, flush_envelopes, queue_restore,
     redact_text, sanitize_single_line, sanitize_multiline, tags_normalize, storage_key, string_hash, storage_hash, fingerprint, crash_identity,
     issue_reports, issue_reports_panes, issue_reports_ranked, issue_reports_ranked_all, issue_reports_of_errors, issue_window_count, issue_window_count_late, issue_triggers, issue_triggers_late, issue_seeded,
 )

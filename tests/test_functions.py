@@ -3,7 +3,9 @@ import random
 import re
 import time
 
+import hypothesis
 import pytest
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from emberlog.config import Config, ErrorReporting, backend, frontend, redact_keys
@@ -168,3 +170,38 @@ def test_config():
     assert Config.resolve(previous=d, source="new").storage_key == "emberlog.queue.backend.new"
     assert Config.resolve(previous=Config.resolve(previous=d, storage_key="own"), source="new").storage_key == "own"
     assert redact_keys([" A ", "a", ""]) == ("a",) and len(redact_keys([" "])) == 13
+
+
+_KEYS = ["a", "b", "user id", "Email", "naïve", "token_x", "", " ", 'q"uote', "1"]
+_LEAVES = st.one_of(st.none(), st.booleans(), st.integers(-(10**15), 10**15), st.sampled_from([0.5, 1.5, -2.25, 12345678.5]), st.sampled_from(["", " x  y ", "mail a@b.co now", "\n\t", "null", "12", '{"a":1}', "ü\u00a0😀", 'say "hi" \\\\ there', "x" * 300]))
+_TREES = st.dictionaries(st.sampled_from(_KEYS), st.recursive(_LEAVES, lambda x: st.one_of(st.lists(x, max_size=4), st.dictionaries(st.sampled_from(_KEYS), x, max_size=4)), max_leaves=12), max_size=5)
+
+
+@hypothesis.settings(max_examples=6, deadline=None, suppress_health_check=list(hypothesis.HealthCheck))
+@hypothesis.given(st.lists(_TREES, min_size=20, max_size=40), st.integers(1, 5), st.integers(1, 4))
+def test_trees_against_the_plain_walk(spark, trees, depth, breadth):
+    cfg = ErrorReporting.resolve({"max_context_depth": depth, "max_context_breadth": breadth})
+    df = spark.createDataFrame([(i, json.dumps(t, ensure_ascii=i % 2 == 0)) for i, t in enumerate(trees)], "i int, c string")
+    got = {r.i: (r.t.context, [(x.key, x.value) for x in r.t.identifiers]) for r in df.select("i", context.clean_tree_native(F.col("c"), cfg).alias("t")).collect()}
+    for i, t in enumerate(trees):
+        tree, found = context.Cleaner(cfg).clean(json.loads(json.dumps(t)))
+        assert got[i] == (context.dumps(tree), found), t
+
+
+def test_no_python_walks_trees(spark):
+    df = spark.createDataFrame([('{"a":1}',)], "c string").select(context.clean_tree_native(F.col("c"), ErrorReporting()).alias("t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and df.first().t.context == '{"a":1}'
+
+
+def test_texts_that_are_no_objects(spark):
+    given = [None, "", "null", "[1]", '"x"', "{", '{"a":}', "  {}", '{"a":{}, "b":[]}']
+    got = [r.t.context for r in spark.createDataFrame([(x,) for x in given], "c string").select(context.clean_tree_native(F.col("c"), ErrorReporting()).alias("t")).collect()]
+    assert got == ["{}"] * 8 + ['{"a":{},"b":[]}']
+
+
+def test_tags_beyond_the_first_values(spark):
+    many = [" "] * 3 + [f" {'x' * (k % 3)}\t" for k in range(200)] + [f"\x07{' ' * k}same" for k in range(60)] + [f"late{k}" for k in range(20)]
+    got = spark.createDataFrame([(many,), (many[::-1],), ([None, "a"],)], "t array<string>").select(text.tags(F.col("t"), 5, 240).alias("x")).collect()
+    want = lambda values: list(dict.fromkeys(x for x in (model.single_line(v, 240) for v in values) if x))[:5]
+    assert [r.x for r in got] == [want(many), want(many[::-1]), ["a"]]
