@@ -25,16 +25,18 @@ class ChunkEncoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
     ``leading_space``: a chunk's ids depend on the space before it (byte-level BPE);
-    otherwise white space only separates (word-end BPE). ``most``: chunks kept.
+    otherwise white space only separates (word-end BPE). ``most``: chunks kept, of ``most_bytes`` with their ids at most;
+    a cache that is full is emptied.
     """
 
-    def __init__(self, path: str, leading_space: bool, most: int = 250_000, special_as_text: bool = False):
+    def __init__(self, path: str, leading_space: bool, most: int = 1_000_000, most_bytes: int = 64 << 20, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.leading, self.most = leading_space, most
+        self.leading, self.most, self.most_bytes = leading_space, most, most_bytes
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
         self.feed = self._raw(["\n"])[0]
         self.cut = int(np.frombuffer(self.feed if leading_space else self._raw(["|"])[0], "<u4")[0])
@@ -57,14 +59,16 @@ class ChunkEncoder:
         split = pc.split_pattern(lines, " ")
         chunks = split.flatten().dictionary_encode()
         words, at = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.held > self.most_bytes:
             self.known.clear()
+            self.held = 0
         blobs = list(map(self.known.get, words))
         new = [i for i, x in enumerate(blobs) if x is None]
         if new:
             self._learn([words[i] for i in new])
             for i in new:
                 blobs[i] = self.known[words[i]]
+                self.held += len(words[i]) + len(blobs[i])
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         ids, first = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
         n = size[at]
