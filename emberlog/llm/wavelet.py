@@ -138,7 +138,7 @@ def encode_shards(path: str, end_id: int, bits: int, most: int):
         part, shard, start, n = TaskContext.get().partitionId(), 0, 0, 0
         encoder, docs, ids, lengths = encoder_of(path, False), [], [], []
         for batch in batches:
-            for some in pieces_of(batch):
+            for some in pieces_of(batch, 4 << 20):
                 for doc, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     docs.append(doc)
                     ids += (got, tail)
