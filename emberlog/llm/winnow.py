@@ -2,13 +2,17 @@
 
 Tokens are code points at every length. A k-gram's hash is its rolling (Karp-Rabin) value: the k code points as the
 digits of a number to the base ``BASE`` modulo the prime ``PRIME``, so that h[i + 1] is h[i] less its first digit, times
-the base, plus the next code point. Here the values of all positions come from those of shorter grams (1, 2, 4, 8 and 12 code points),
+the base, plus the next code point. Here a gram's value comes from those of its three groups of four code points,
 which is the same number. A k-gram's packed value has the hash, spread over 32 bits, above and, below it, the
 position counted backwards; so the smallest value of a window of ``W`` k-grams is the smallest hash and,
 among equal ones, the rightmost. A fingerprint is the windows' minima with positions (code points from the start).
 Texts that share ``K + W - 1`` code points in a row share a selected k-gram. A text of fewer
 than ``K`` code points is one k-gram; one of fewer than ``W`` k-grams is one window.
 
+Texts are dealt into rows of ``BLOCK`` windows, which overlap by the code points that their last windows reach. A block's
+code points, grams and windows are columns, so Spark compiles the arithmetic; array functions with lambdas, which it
+interprets, see blocks and selected grams only.
+
 The likeness of two fingerprints is the Jaccard similarity of their hashes. Windows of an edited text that lie in what
 is left of its original have the same minima, so only the rest is hashed again.
 
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import order_id, row_key, shuffle_partitions, texts
 
 K, W = 12, 16
+# with blocks of this size a step has over 100 columns, so Spark compiles it by itself, in many small methods; fewer columns would make one method of all steps, too large to compile
+BLOCK, REACH = 96, K + W - 2
 BASE, PRIME, SPREAD = 1_540_483_477, (1 << 31) - 1, 2_654_435_769
 _LAST = (1 << 31) - 1
 MOST_BUCKETS, PER_BUCKET = 1 << 13, 20
@@ -42,57 +48,53 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _power(n: int) -> Column:
-    return _long(pow(BASE, n, PRIME))
-
-
-def packed(h: Column, i: Column) -> Column:
-    return F.shiftleft(F.shiftright(h * _long(SPREAD), 31), 31) + (_long(_LAST) - i)
-
-
-def _with_later(values: Column, n: int, later: Column, body) -> Column:
-    """body of every element and the one n places after it in ``later``; null where there is none."""
-    return F.zip_with(values, F.slice(later, n + 1, F.greatest(F.size(later) - n, F.lit(0))), body)
-
-
-def _joined(n: int):
-    """Values of grams, followed by grams of n code points."""
-    return lambda x, y: (x * _power(n) + y) % _long(PRIME)
-
-
-def grams(codes: Column) -> Column:
-    """Packed values of all k-grams of an array of code points (longs)."""
-
-    def double(n: int, body):
-        return lambda h: _let(_with_later(h, n, h, _joined(n)), body)
-
-    def twelves(h4: Column) -> Column:
-        whole = _let(_with_later(h4, 4, h4, _joined(4)), lambda h8: _with_later(h8, 8, h4, _joined(4)))
-        return F.transform(F.slice(whole, 1, F.size(h4) - (K - 1)), packed)
+def blocks(text: Column, kind: int, start: Column) -> Column:
+    """kind, the text's first window counted from ``start`` and the code points of every block of windows, whose number is 1 at least."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{0,{BLOCK + REACH}}})).{{1,{BLOCK}}}"), 1)
+    held = F.when(F.length(text) > BLOCK + REACH, F.slice(found, 1, F.ceil((F.length(text) - REACH) / BLOCK).cast("int"))).otherwise(F.array(text))
+    return F.transform(held, lambda part, k: F.struct(F.lit(kind).alias("kind"), (start + k * BLOCK).cast("long").alias("at"), part.alias("part")))
 
-    def one(c: Column) -> Column:
-        return F.array(packed(F.aggregate(c, _long(0), lambda h, x: (h * _long(BASE) + x) % _long(PRIME)), F.lit(0)))
 
-    return _let(codes, lambda c: F.when(F.size(c) >= K, double(1, double(2, twelves))(c)).otherwise(one(c)))
+def window_minima(d: DataFrame) -> DataFrame:
+    """d with ``least``, the smallest packed value of every window of its block ``part``, which begins at code point ``at``.
 
-
-def minima(values: Column) -> Column:
-    """The smallest value of every window, by those of windows of half its size."""
-
-    def halves(n: int, body):
-        return lambda g: _let(_with_later(g, n, g, lambda x, y: F.least(x, y)), body)
-
-    whole = halves(1, halves(2, halves(4, lambda g: _with_later(g, 8, g, lambda x, y: F.least(x, y)))))
-    return _let(values, lambda g: F.slice(whole(g), 1, F.greatest(F.size(g) - (W - 1), F.lit(1))))
-
-
-def window_minima(text: Column) -> Column:
-    return minima(grams(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))))
-
-
-def selected(text: Column) -> Column:
-    """Packed values of a text, by position."""
-    return F.array_distinct(window_minima(text))
+    Every step is a projection of its own, whose columns the next ones use several times.
+    """
+    d = d.withColumn("size", F.length("part"))
+    kept = d.columns
+    for step in _steps():
+        d = d.selectExpr(*kept, *step)
+        kept = [c for c in kept if c != "part"]
+    return d
+
+
+def _steps() -> list[list[str]]:
+    n = BLOCK + REACH  # code points; grams and windows are fewer by what they reach
+    power = [pow(BASE, i, PRIME) for i in range(K + 1)]
+    # a text of fewer than K code points is read as if zeros followed, which are divided out
+    back = ", ".join(f"{pow(power[K - i], -1, PRIME)}L" for i in range(K))
+    short = f"CASE WHEN size < {K} THEN {{0}} * get(array({back}), size) % {PRIME}L ELSE {{0}} END"
+    gram = "(h{0} * {3}L + h{1} * {4}L + h{2}) % {5}L"
+
+    def packed(i: int) -> str:
+        h = gram.format(i, i + 4, i + 8, power[8], power[4], PRIME)
+        v = f"shiftleft(shiftright(({short.format('(' + h + ')') if i == 0 else h}) * {SPREAD}L, 31), 31) + ({_LAST - i}L - at)"
+        # grams of the first window that a short text hasn't
+        return f"CASE WHEN size >= {i + K} THEN {v} ELSE {(1 << 63) - 1}L END" if 0 < i < W else v
+
+    return [
+        ["split(part, '') AS points"],
+        [f"coalesce(cast(ascii(get(points, {i})) AS bigint), 0L) AS c{i}" for i in range(n)],
+        [f"(c{i} * {power[3]}L + c{i + 1} * {power[2]}L + c{i + 2} * {power[1]}L + c{i + 3}) % {PRIME}L AS h{i}" for i in range(n - 3)],
+        [f"{packed(i)} AS v{i}" for i in range(n - K + 1)],
+        [f"least(v{i}, v{i + 1}, v{i + 2}, v{i + 3}) AS v{i}" for i in range(n - K - 2)],
+        [f"slice(array({', '.join(f'least(v{i}, v{i + 4}, v{i + 8}, v{i + 12})' for i in range(BLOCK))}), 1, greatest(least(size, {n}) - {REACH}, 1)) AS least"],
+    ]
+
+
+def joined(parts: Column) -> Column:
+    """Packed values of a text, by position, from those of its blocks."""
+    return F.array_distinct(F.flatten(F.transform(F.sort_array(parts), lambda x: x.picked)))
 
 
 def as_text(values: Column) -> Column:
@@ -142,21 +144,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     firsts = firsts.select(F.col("first.id").alias("id"), F.col("first.uid").alias("uid"), "bucket", F.coalesce(F.lag("bucket").over(by), over).alias("before"))
     ghosts = d.join(F.broadcast(firsts), ["id", "uid", "bucket"]).dropDuplicates(["bucket"]).select("doc_id", "id", "uid", "text", F.col("before").alias("bucket"), F.lit(True).alias("ghost"))
     both = d.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("bucket")
-    both = both.withColumn("n_chars", F.length("text").cast("int")).withColumn("moved", F.floor(F.col("n_chars") / 4).cast("int"))
-    # windows that an edit at the end leaves as they are; 0: the edited text is read whole
-    both = both.withColumn("whole", F.greatest(F.col("n_chars") - F.col("moved") - (K + W - 2), F.lit(0)))
-    both = both.withColumn("made", _let(window_minima(F.col("text")), lambda m: F.struct(F.array_distinct(m).alias("picked"), F.array_distinct(F.slice(m, 1, F.least("whole", F.size(m)))).alias("head"))))
-    both = both.select("doc_id", "bucket", "ghost", "id", "uid", "text", "n_chars", "moved", "whole", F.col("made.picked").alias("picked"), F.col("made.head").alias("head"))
     order = Window.partitionBy("bucket").orderBy("ghost", "id", "uid")
-    both = both.withColumns({"next": F.lead("text").over(order), "next_picked": F.lead("picked").over(order)}).where("not ghost")
+    both = both.withColumns({"place": F.row_number().over(order), "next": F.lead("text", 1, "").over(order)})
+    both = both.withColumn("n_chars", F.length("text")).withColumn("moved", F.floor(F.col("n_chars") / 4).cast("int"))
+    # windows that an edit at the end leaves as they are; 0: the edited text is read whole
+    both = both.withColumn("whole", F.greatest(F.col("n_chars") - F.col("moved") - REACH, F.lit(0)))
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("moved")), F.substring("next", F.lit(1), F.col("moved"))))
-    rest = F.transform(selected(F.substring("edited", F.col("whole") + 1, F.length("edited"))), lambda v: v - F.col("whole"))
-    both = both.withColumn("edited_picked", F.array_distinct(F.concat("head", rest)))
-    both = both.withColumns({"h": hashes(F.col("picked")), "h_edited": hashes(F.col("edited_picked")), "h_next": hashes(F.col("next_picked"))})
+    row = F.struct("doc_id", "ghost", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    both = both.withColumns({"row": row, "rest": F.substring("edited", F.col("whole") + 1, F.length("edited"))})
+    parts = F.concat(blocks(F.col("text"), 0, F.lit(0)), blocks(F.col("rest"), 1, F.col("whole")))
+    both = both.select("bucket", "place", "row", "whole", F.explode(parts).alias("b")).select("bucket", "place", "row", "whole", "b.kind", "b.at", "b.part")
+    own, first = F.col("kind") == 0, (F.col("kind") == 0) & (F.col("at") == 0)
+    both = window_minima(both.withColumns({"row": F.when(first, F.col("row")), "stay": F.when(own, F.col("whole") - F.col("at"))}).drop("whole"))
+    found = F.struct("at", F.array_distinct("least").alias("picked"))
+    # the last of the windows that stay
+    last = F.when(F.col("stay").between(1, BLOCK), F.get("least", F.col("stay").cast("int") - 1))
+    both = both.select("bucket", "place", "row", last.alias("last"), F.when(own, found).alias("own"), F.when(~own, found).alias("rest"))
+    # blocks of a text lie in one task already
+    both = both.groupBy("bucket", "place").agg(F.first("row", True).alias("row"), F.max("last").alias("last"), F.collect_list("own").alias("own"), F.collect_list("rest").alias("rest"))
+    both = both.select("bucket", "place", "row.*", "last", joined(F.col("own")).alias("picked"), joined(F.col("rest")).alias("rest"))
+    head = F.slice("picked", 1, F.coalesce(F.array_position("picked", F.col("last")), F.lit(0)).cast("int"))
+    both = both.withColumns({"h": hashes(F.col("picked")), "edited_picked": F.array_distinct(F.concat(head, "rest"))})
+    both = both.withColumn("h_next", F.lead("h").over(Window.partitionBy("bucket").orderBy("place"))).where("not ghost")
+    both = both.withColumn("h_edited", hashes(F.col("edited_picked")))
     return both.select(
         "doc_id",
-        F.col("n_chars").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         as_text(F.col("picked")).alias("fingerprint"),
         as_text(F.col("edited_picked")).alias("edited_fingerprint"),
         likeness(F.col("h"), F.col("h_edited")).alias("near_edited"),

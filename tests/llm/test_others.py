@@ -353,6 +353,25 @@ def test_winnowing_guarantee_and_ties():
     assert positions[0] < winnow.W and all(q - p <= winnow.W for p, q in zip(positions, positions[1:], strict=False)) and len(a) - winnow.K - positions[-1] < winnow.W
 
 
+def test_blocks_of_windows(spark):
+    """Texts that end at, before and after the end of a block, with line ends and characters of four bytes in it."""
+    b, r = winnow.BLOCK, winnow.REACH
+    long = "".join("ab\n\r\u2028😀é\x00 "[i * i * 7 % 11 % 9] + "xyz"[i % 7 % 3] for i in range(300))
+    lengths = [b * k + r + x for k in (1, 2) for x in (-1, 0, 1)] + [b, b + 1, 2 * b]
+    rows = [(k, long[:n]) for k, n in enumerate(lengths)]
+    got = {x.doc_id: x for x in winnow.fingerprints(documents(spark, rows, clash=False)).collect()}
+    for k, t in rows:
+        m, nxt = len(t) // 4, rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - m] + nxt[:m]
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (shown(plain_fingerprint(t)), shown(plain_fingerprint(edited))), len(t)
+
+
+def test_code_points_are_compiled(spark):
+    """Lambdas, which Spark interprets, see blocks and selected grams but not every code point."""
+    plan = winnow.fingerprints(documents(spark, clash=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(" not in plan and "transform(split(" not in plan
+
+
 def test_buckets_follow_the_ids(spark, monkeypatch):
     """A far id, and ids that are all null, leave the buckets of like size; the next document is right across them."""
     from pyspark.sql import functions as F
