@@ -36,6 +36,8 @@ from .words import lower_ascii, powers_up_to, words
 
 W, LEAST_WORDS = 8, 3
 MOST, MOST_BYTES = 1 << 18, 64 << 20
+#: bytes of text taken at once; a worker's arrays of numbers take some 80 times as much
+SLICE = 1 << 19
 NUMBER, NAME, UNIT = 1, 2, 3
 # fixed values: units and number words
 UNITS = "mm cm m km kg g mg lb lbs oz ft feet foot inch inches mile miles meter meters metre metres liter liters litre litres ml l gallon gallons hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh kw kwh mb gb tb hz khz mhz ghz kelvin celsius fahrenheit pound pounds ton tons"
@@ -203,7 +205,7 @@ def _hits(known: np.ndarray, sizes: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 2 << 20):
+            for part in pieces_of(batch, SLICE):
                 data, at = encoded(part.column(2))
                 ids, uids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows, raw = [], None
@@ -227,7 +229,7 @@ def _places(sizes: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 1 << 20):
+            for part in pieces_of(batch, SLICE):
                 data, at = encoded(part.column(2))
                 ids, uids = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
                 for names in (True, False):

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from emberlog.llm import decontaminate, packing, token_ids, toxicity, warc, wavelet, winnow
+from emberlog.llm import decontaminate, minhash, packing, token_ids, toxicity, warc, wavelet, winnow
 from emberlog.llm.common import tokenizer_path
 from tests.llm.fixtures import DOCUMENTS, documents, empty, key, prose
 
@@ -154,6 +154,30 @@ def reference_ids(name, texts, end=2):
 ODD = ["", "a  b", " x", "x ", "a\n\nb", "a\n b", "a \nb", "it's, don't. I'll", "  ", "\n", "É.\nÀ!", "İstanbul ΣΑΣ, ΟΔΟΣ.", "tab\tx, y", "12,5. 3.", "<|endoftext|> x.", "a b", "ﬁ x́, é.", "| a|b |", "x y z"]
 
 
+@pytest.mark.parametrize("stage", ["hits", "places", "sketches", "sets"])
+def test_workers_hold_little_of_a_large_batch(stage):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = pa.array([prose(400, k % 7) for k in range(3000)])
+    key = pa.array(np.arange(len(text)))
+    run, columns = {
+        "hits": (decontaminate._hits(np.zeros(0, np.uint64), [8]), [key, key, text]),
+        "places": (decontaminate._places([8]), [key, key, text]),
+        "sketches": (minhash._sketch(5), [key, key, key, text]),
+        "sets": (minhash._sets(5), [key, text]),
+    }[stage]
+    batch = pa.RecordBatch.from_arrays(columns, names=[*"abcd"[: len(columns) - 1], "text"])
+    assert batch.nbytes > 4 << 20
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
 @pytest.mark.parametrize("name,leading", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunked_ids(name, leading):
     import pyarrow as pa
