@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, pieces_of, texts, tokenizer_path
+from .common import new_path, pieces_of, texts, tidied, tokenizer_path
 from .token_ids import encoder as encoder_of
 
 BLOCK = 512
@@ -48,9 +48,9 @@ class WaveletMatrix:
             packed = np.packbits(one)
             planes[k, : len(packed)] = packed
             ranks[k, 1:] = np.cumsum(np.bitwise_count(planes[k].view("<u8")).reshape(blocks, BLOCK // 64).sum(1, dtype=np.uint32))
-            low = now[~one]
+            low = now.compress(~one)
             zeros[k] = len(low)
-            now = np.concatenate([low, now[one]])
+            now = np.concatenate([low, now.compress(one)])
         return cls(n, planes, zeros, ranks)
 
     def decode(self) -> np.ndarray:
@@ -59,8 +59,9 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n).view(bool)
             was = np.empty_like(now)
-            was[~one] = now[: self.zeros[k]]
-            was[one] = now[self.zeros[k] :] | now.dtype.type(1 << (len(self.planes) - 1 - k))
+            # places are numbers: numpy is slower with masks
+            was[np.flatnonzero(~one)] = now[: self.zeros[k]]
+            was[np.flatnonzero(one)] = now[self.zeros[k] :] | now.dtype.type(1 << (len(self.planes) - 1 - k))
             now = was
         return now
 
@@ -158,7 +159,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, b
     path = path or tokenizer_path("word_bpe_49k.json")
     d = texts(docs)
     d = d.repartitionByRange(tasks, "doc_id") if tasks else d.repartitionByRange("doc_id")
-    (d.sortWithinPartitions("doc_id", "text").mapInArrow(encode_shards(path, end_id, bits, most), SHARD).write.option("compression", "zstd").parquet(out))
+    (d.sortWithinPartitions("doc_id", "text").mapInArrow(tidied(encode_shards(path, end_id, bits, most)), SHARD).write.option("compression", "zstd").parquet(out))
 
 
 def matrix(row: dict) -> WaveletMatrix:
@@ -186,7 +187,7 @@ def read(spark, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     # a row per written file, so the broadcast side doesn't grow with the rows
-    return shards.join(F.broadcast(before), "part").select("start", "before", "n_tokens", "doc_ids", "null_ids", "lengths", "planes", "zeros", "ranks").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(F.broadcast(before), "part").select("start", "before", "n_tokens", "doc_ids", "null_ids", "lengths", "planes", "zeros", "ranks").mapInArrow(tidied(_documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

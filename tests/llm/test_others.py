@@ -187,6 +187,25 @@ def test_chunked_ids(name, leading):
     assert [x.tolist() for x in got] == [x[:-1] for x in reference_ids(name, texts)]
 
 
+@pytest.mark.parametrize("name,leading", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_learned_without_the_signs_after_them(name, leading):
+    import os
+
+    import pyarrow as pa
+
+    texts = ["wordone wordone. wordone!!! wordone$%$ wordone\"), wordone's, wordone1. wordoné.", "wordone<| wordone<|endoftext|> <|endoftext|>. wordone|> ...", "... wordone\nwordone. <|startoftext|>wordone>>"]
+    encoder = token_ids.ChunkEncoder(tokenizer_path(name), leading)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x[:-1] for x in reference_ids(name, texts)]
+    assert {x for x in encoder.known if x.startswith("wordone")} == {"wordone", "wordone's", "wordone1.", "wordone<|endoftext|>", "wordone|>"}
+    assert set(encoder.tails) == {"", ".", "!!!", "$%$", "\"),", ",", "<|"}
+    # a task has one core
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    # where runs of letters can't be told apart by their ids they are joined by a sign
+    encoder = token_ids.ChunkEncoder(tokenizer_path(name), leading)
+    encoder.ends[:] = True
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x[:-1] for x in reference_ids(name, texts)]
+
+
 def test_special_tokens_as_text():
     import pyarrow as pa
     from tokenizers import Tokenizer
