@@ -92,12 +92,18 @@ MOST_BROADCAST = 100_000
 
 
 def trigger_rows(records: DataFrame, cfg: Config, in_order: bool = True) -> DataFrame:
-    """Alerts: the client's source, channel and runtime, the settings, and the report at that moment."""
+    """Alerts: the client's source, channel and runtime, the settings, and the report at that moment.
+
+    Late arrivals may share a seq: they fire in order of time, and equal ones are one alert (the least error is its sample).
+    """
     limit, width = cfg.errors.threshold_count, cfg.errors.threshold_window_ms
     counts = window_counts(records, width) if in_order else folded_counts(records, width)
     fired = stored(triggers(counts, limit, width).withColumnRenamed("timestamp", "fired_at"), "fired")
-    e = errors_of(records).select("seq", "fingerprint", "error")
-    e = e.join(F.broadcast(fired) if fired.count() <= MOST_BROADCAST else fired, ["seq", "fingerprint"])
+    keys = ["seq", "fingerprint"] if in_order else ["seq", "fingerprint", "fired_at"]
+    e = errors_of(records).withColumnRenamed("timestamp", "fired_at").select(*keys, "error")
+    e = e.join(F.broadcast(fired) if fired.count() <= MOST_BROADCAST else fired, keys)
+    if not in_order:
+        e = e.groupBy(*fired.columns).agg(F.min("error").alias("error"))
     client = {"source": cfg.source, "channel": cfg.channel, "runtime": cfg.runtime, "threshold_count": limit, "window_ms": width}
     return e.select(*[F.lit(v).alias(k) for k, v in client.items()], "seq", "fired_at", F.struct("fingerprint", F.col("error.boundary").alias("boundary"), F.col("cnt").alias("count"), F.col("fired_at").alias("last_seen"), F.col("error.severity").alias("severity"), F.col("error").alias("sample")).alias("report"))
 

@@ -46,6 +46,14 @@ def test_counts_and_triggers_in_any_order(spark, seed):
     assert sorted(x.seq for x in issues.triggers(got, 3, 50).collect()) == fired
 
 
+def test_late_alerts_of_one_seq(spark):
+    rows = [(0, "a", 0), (1, "a", 900), (1, "a", 5000), (2, "a", 5100), (2, "a", 5100), (3, "b", 5), (3, "b", 5)]
+    cfg = Config.resolve(source="app", errors={"threshold_count": 2, "threshold_window_ms": 1000})
+    # of seq 1 both fire, each once; b's two equal ones are one alert whose count is 2
+    got = issues.trigger_rows(error_rows(spark, rows), cfg, in_order=False)
+    assert sorted((x.seq, x.fired_at, x.report["fingerprint"], x.report["count"]) for x in got.collect()) == [(1, 900, "a", 2), (1, 5000, "a", 2), (3, 5, "b", 2)]
+
+
 def test_window_is_inclusive_and_cooldown_ends(spark):
     rows = [(0, "a", 0), (1, "a", 50), (2, "a", 50), (3, "a", 99), (4, "a", 100)]
     got = issues.window_counts(error_rows(spark, rows), 50)

@@ -20,6 +20,12 @@ def test_late_windows_with_arrivals_of_one_seq(spark, sf, tmp_path, hours):
     assert same(queries.queries()["issue_window_count_late"](spark, str(tmp_path)), connect(tmp_path), SQL["issue_window_count_late"])
 
 
+def test_late_triggers_with_equal_arrivals(spark, sf, tmp_path):
+    """Arrivals of one seq are equal here, so the SQL's answer doesn't hang on the order that it leaves open."""
+    connect(sf).sql("SELECT event_id + 100003 * k AS event_id, ts, user_id, event_type, value, props FROM events, range(3) r(k)").write_parquet(str(tmp_path / "events.parquet"))
+    assert same(queries.queries()["issue_triggers_late"](spark, str(tmp_path)), connect(tmp_path), SQL["issue_triggers_late"])
+
+
 def test_every_query_is_known(spark, sf):
     assert set(queries.queries()) == set(SQL)
 
